@@ -97,10 +97,17 @@ METRIC_LABELS = {
 }
 
 
+def title_case(col: str | Column) -> Column:
+    """Every letter that does not follow a letter in upper case, the others in lower case."""
+    chars = F.split(_c(col), "")
+    follows = lambda i: (i > 0) & F.get(chars, i - 1).rlike(r"\p{L}")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(follows(i), F.lower(c)).otherwise(F.upper(c))), "")
+
+
 def metric_label(col: str | Column) -> Column:
     name = _c(col)
     known = F.create_map(*[F.lit(v) for pair in METRIC_LABELS.items() for v in pair])
-    return F.coalesce(F.try_element_at(known, name), F.initcap(F.replace(name, F.lit("_"), F.lit(" "))))
+    return F.coalesce(F.try_element_at(known, name), title_case(F.replace(name, F.lit("_"), F.lit(" "))))
 
 
 def split_sentences(col: str | Column, min_len: int = 15) -> Column:

@@ -144,7 +144,7 @@ def _(t):
 @query("merge_messages", """
 WITH m AS (
   SELECT 0 AS s, conv_id, turn, role, CASE WHEN role = 'user' THEN 'x' ELSE 'planner' END AS agent, text AS content, '' AS card_type, '' AS card_data FROM conversations
-  UNION ALL SELECT 1, conv_id, turn, role, CASE WHEN role = 'user' THEN 'y' ELSE 'planner' END, CASE WHEN turn % 2 = 0 THEN upper(text) ELSE '  ' || text || ' ' END,
+  UNION ALL SELECT 1, conv_id, turn, role, CASE WHEN role = 'user' THEN 'y' ELSE 'planner' END, CASE WHEN turn % 2 = 0 THEN replace(text, 'e', 'E') ELSE '  ' || text || ' ' END,
     CASE WHEN turn % 3 = 0 THEN 'plan' ELSE '' END, '' FROM conversations
   UNION ALL SELECT 1, conv_id, turn + 100, role, 'planner', text, '', CASE WHEN turn % 2 = 0 THEN '{}' ELSE '' END FROM conversations),
 k AS (SELECT *, lower(regexp_replace(trim(content, E' \\t\\r\\n'), '\\s+', ' ', 'g')) AS c, CASE WHEN role = 'user' THEN '' ELSE agent END AS a FROM m),
@@ -160,7 +160,7 @@ def _(t):
     said = t.conversations
     old = said.select("conv_id", "turn", "role", F.when(user, "x").otherwise("planner").alias("agent"), F.col("text").alias("content"),
                       F.lit("").alias("card_type"), F.lit("").alias("card_data"))
-    loud = F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.concat(F.lit("  "), "text", F.lit(" ")))
+    loud = F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.concat(F.lit("  "), "text", F.lit(" ")))
     new = said.select("conv_id", "turn", "role", F.when(user, "y").otherwise("planner").alias("agent"), loud.alias("content"),
                       F.when(F.col("turn") % 3 == 0, "plan").otherwise("").alias("card_type"), F.lit("").alias("card_data"))
     more = said.select("conv_id", (F.col("turn") + 100).alias("turn"), "role", F.lit("planner").alias("agent"), F.col("text").alias("content"),
