@@ -17,6 +17,14 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream of files, whether it is one file or a folder of them."""
+        reader = self.spark.readStream.schema(getattr(self, name).schema)
+        one_file = any(f.endswith(f"/{name}.parquet") for f in getattr(self, name).inputFiles()[:1])
+        if one_file:
+            return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        return reader.parquet(self.path(name))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in Tables.names:
             raise AttributeError(name)
@@ -117,6 +125,38 @@ def event_log(t: Tables) -> DataFrame:
         F.col("props").alias("payload"), F.col("value"), F.col("ts"))
 
 
+def result_bodies(t: Tables) -> DataFrame:
+    """Events as published experiment results (nested config and metrics)."""
+    key, kind = F.col("event_id"), F.col("event_type")
+    end = kind == "error"
+    double = lambda c: c.cast("double")
+    metrics = F.struct(
+        F.when(key % 3 != 0, F.lit("f1")).alias("primary_metric"),
+        F.when(key % 2 == 0, double(F.col("value"))).alias("primary_metric_value"), double(F.col("value") * 2).alias("f1"),
+        F.when(key % 5 == 0, F.struct(double(F.col("value")).alias("recall"))).alias("secondary_metrics"),
+        F.when(key % 5 == 1, F.struct(F.lit(0.5).alias("f1"), F.lit(0.25).alias("mcc"))).alias("evaluation"))
+    return t.events.select(
+        key.alias("id"), F.col("user_id").cast("string").alias("session_id"),
+        F.concat(F.lit("run_"), F.col("user_id") % 5, F.when(key % 4 != 0, F.concat(F.lit("_prob_"), F.col("user_id") % 3)).otherwise("")).alias("run_id"),
+        F.when(kind == "click", "AutoGluon tabular").when(kind == "view", "autorag").alias("designer"),
+        F.when(~end, (key % 4).cast("int") + 1).alias("round"), F.when(~end, F.concat(F.lit("exp_"), key)).alias("experiment_id"),
+        F.when(end, "end").alias("event_type"),
+        F.when(kind == "view", F.struct(F.lit("fast_baseline").alias("intent"))).alias("config"), metrics.alias("metrics"))
+
+
+RESULTS_SQL = """results AS (
+  SELECT event_id AS id, CAST(user_id AS VARCHAR) AS session_id,
+    'run_' || (user_id % 5) || CASE WHEN event_id % 4 <> 0 THEN '_prob_' || (user_id % 3) ELSE '' END AS run_id,
+    CASE event_type WHEN 'click' THEN 'autogluon' WHEN 'view' THEN 'autorag' ELSE 'other' END AS engine,
+    CASE WHEN event_id % 4 <> 0 THEN 'prob_' || (user_id % 3) ELSE 'problem' END AS problem_id,
+    CAST(event_id % 4 + 1 AS VARCHAR) AS round, 'exp_' || event_id AS experiment_id,
+    CASE WHEN event_type = 'view' THEN 'fast_baseline' ELSE 'N/A' END AS intent,
+    CASE WHEN event_id % 3 <> 0 THEN 'f1' ELSE 'primary_metric' END AS primary_metric,
+    CASE WHEN event_id % 2 = 0 THEN value WHEN event_id % 3 <> 0 THEN value * 2 END AS primary_metric_value,
+    event_id % 5 AS kind
+  FROM events WHERE event_type <> 'error')"""
+
+
 def heartbeats(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("experiment_id"), F.col("event_id").alias("seq"),
                            F.col("value").alias("elapsed"), (F.col("event_id") % 6).alias("completed"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trialmesh import catalog as fx
 from trialmesh.operators import profile as ops
-from trialmesh.plans.registry import query
+from trialmesh.plans.registry import query, rounded
 
 USAGE_AGG = """
   CAST(coalesce(sum(total_cost), 0) AS DOUBLE) AS spend,
@@ -152,10 +152,10 @@ WITH s AS (SELECT 'l_linestatus' AS segment, l_linestatus AS value, l_returnflag
 g AS (SELECT segment, value, count(*) AS rows, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS a FROM s GROUP BY 1, 2),
 tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS p FROM lineitem),
 m AS (SELECT *, rows - a AS b, p - a AS c, n - rows - p + a AS d FROM g, tot)
-SELECT segment, value, rows, a / rows AS positive_rate, p / n AS baseline_rate, (a / rows) / (p / n) AS lift,
-  n * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi_square FROM m""")
+SELECT segment, value, rows, round(a / rows, 6) AS positive_rate, round(p / n, 6) AS baseline_rate, round((a / rows) / (p / n), 6) AS lift,
+  round(n * pow(a * d - b * c, 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi_square FROM m""")
 def _(t):
-    return ops.segment_lift(t.lineitem, F.col("l_returnflag") == "R", ["l_linestatus", "l_linenumber"])
+    return rounded(ops.segment_lift(t.lineitem, F.col("l_returnflag") == "R", ["l_linestatus", "l_linenumber"]))
 
 
 @query("pivot_metrics", """
@@ -184,14 +184,14 @@ def _(t):
 
 
 @query("rag_run_summary", """
-SELECT user_id % 5 AS run_id, count(*) AS trials, avg(value / 500) AS mean_faithfulness,
-  avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100) AS mean_context_recall, quantile_cont(value, 0.95) AS p95_latency_ms,
+SELECT user_id % 5 AS run_id, count(*) AS trials, round(avg(value / 500), 6) AS mean_faithfulness,
+  round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100), 6) AS mean_context_recall, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM events GROUP BY 1""")
 def _(t):
     trials = t.events.select((F.col("user_id") % 5).alias("run_id"), (F.col("value") / 500).alias("faithfulness"),
                              (F.get_json_object("props", "$.k").cast("double") / 100).alias("context_recall"),
                              F.col("value").alias("latency_ms"), fx.cents("value").alias("cost"))
-    return ops.rag_run_summary(trials)
+    return rounded(ops.rag_run_summary(trials))
 
 
 GATES = {"lineitem": "tabular_multiclass_classification", "orders": "tabular_regression", "events": "time_series_forecasting",
