@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trialmesh.functions import python_text as pt
 
@@ -25,7 +25,7 @@ def filter_rows(df: DataFrame, predicate: Column | Callable[..., pd.Series], col
     if not columns:
         raise ValueError("name the columns the predicate reads")
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def passes(rows: pd.DataFrame) -> pd.Series:
         return predicate(*[rows[c] for c in columns], **options).astype(bool)
 
