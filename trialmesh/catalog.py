@@ -11,12 +11,24 @@ class Tables:
     names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
              "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+    heavy = {"documents": "doc_id", "pages": "page_id"}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table whose rows need heavy work each.
+
+        Stored in fewer splits than there are cores, it is spread by key first.  A large
+        table has more splits than cores and is read as it is.
+        """
+        df = self.spark.read.parquet(self.path(name))
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
     def stream(self, name: str) -> DataFrame:
         """The table as a stream of files, whether it is one file or a folder of them."""
         reader = self.spark.readStream.schema(getattr(self, name).schema)
@@ -28,7 +40,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in Tables.names:
             raise AttributeError(name)
-        df = self.spark.read.parquet(self.path(name))
+        df = self.spread(name, Tables.heavy[name]) if name in Tables.heavy else self.spark.read.parquet(self.path(name))
         self.__dict__[name] = df
         return df
 
@@ -210,9 +222,9 @@ def regression_preds(t: Tables) -> DataFrame:
 
 
 def train_table(t: Tables) -> DataFrame:
-    return t.lineitem.withColumn(
-        "key", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                           F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_extendedprice").cast("decimal(18,2)")))
+    return t.spread("lineitem", "l_orderkey").withColumn(
+        "key", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").cast("string"),
+                           cents("l_extendedprice")))
 
 
 def text_train(t: Tables) -> DataFrame:

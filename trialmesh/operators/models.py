@@ -168,7 +168,7 @@ FAMILY_PARAMS = {
     "RF": {"numTrees": 20, "maxDepth": 6, "seed": 42}, "XT": {"numTrees": 20, "maxDepth": 8, "seed": 43, "bootstrap": False, "featureSubsetStrategy": "onethird"},
     "GBM": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "seed": 42}, "XGB": {"maxIter": 10, "maxDepth": 5, "stepSize": 0.3, "seed": 43},
     "CAT": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "seed": 44}, "LR": {"maxIter": 50, "regParam": 0.01},
-    "KNN": {"k": 15}, "NN_TORCH": {"maxIter": 60, "seed": 42}, "FASTAI": {"maxIter": 40, "seed": 43},
+    "KNN": {"k": 5}, "NN_TORCH": {"maxIter": 60, "seed": 42}, "FASTAI": {"maxIter": 40, "seed": 43},
 }
 
 

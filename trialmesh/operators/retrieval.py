@@ -17,9 +17,10 @@ from trialmesh.functions.text import terms, words
 from trialmesh.operators.chunking import sentences
 from trialmesh.operators.ranking import sample_n
 from trialmesh.scale import top_rows
-from trialmesh.session import fits
+from trialmesh.session import fits, materialize
 
 MAX_BROADCAST_QUERIES = 4096
+MAX_QUERY_TERMS = 1_000_000
 BLOCK_ROWS = 20_000
 
 # Phrases of an answer that gives none, and the answer given instead of one.
@@ -105,25 +106,29 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int, stem: bool =
 
     ``queries``: qid, query.  ``corpus``: doc_id, contents; ``index`` (from :func:`postings`)
     and ``size`` may be passed when they are already written.  Postings are cut to the
-    query terms first.  They move once, by document; scoring a document against all
+    query terms first and written once, unless ``index`` is a stored table.  They move once, by document; scoring a document against all
     queries then happens where it lies, and only ``k`` rows per query and task move again.
     With ``stem`` the stemmer runs on distinct terms only; ``index_stemmed`` says that
     ``index`` already went through :func:`stemmed`.
     """
-    index = postings(corpus) if index is None else index
+    stored = index is not None
+    index = index if stored else postings(corpus)
     size = corpus_size(index, corpus) if size is None else size
     asked = queries.select("qid", F.inline(term_counts(terms("query")))).withColumnRenamed("tf", "qtf")
     if stem:
         asked = asked.withColumn("term", stem_terms("term")).groupBy("qid", "term").agg(F.sum("qtf").alias("qtf"))
+    small = F.broadcast if fits(asked, MAX_QUERY_TERMS) else (lambda df: df)
     if stem and not index_stemmed:
         vocabulary = index.select("term").distinct().withColumn("stem", stem_terms("term"))
-        wanted = vocabulary.join(asked.select(F.col("term").alias("stem")).distinct(), "stem")
+        wanted = vocabulary.join(small(asked.select(F.col("term").alias("stem")).distinct()), "stem")
         hits = index.join(wanted, "term").groupBy("doc_id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
     else:
-        hits = index.join(asked.select("term").distinct(), "term").select("doc_id", "dl", "term", "tf")
+        hits = index.join(small(asked.select("term").distinct()), "term").select("doc_id", "dl", "term", "tf")
+    if not stored:
+        hits = materialize(hits, "hits")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(F.broadcast(size)).select("term", "avgdl", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weights = asked.join(idf, "term").select("qid", "term", "avgdl", (F.col("idf") * F.col("qtf")).alias("w"))
+    weights = small(asked.join(small(idf), "term").select("qid", "term", "avgdl", (F.col("idf") * F.col("qtf")).alias("w")))
     tf = F.col("tf").cast("double")
     part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     placed = hits.repartition("doc_id").join(weights, "term")
@@ -361,14 +366,14 @@ def qrels_by_containment(items: DataFrame, docs: DataFrame, anchor: int = 6) ->
     """(qid, doc_id) of documents whose text contains the item's text, without comparing all pairs.
 
     An inner run of the item's words must occur as whole words in any document that
-    contains the item; documents are joined on that run and the text is then compared.
+    contains the item; documents are joined on the hash of that run and the text is then compared.
     ``items``: qid, query.  ``docs``: doc_id, text.  Items of fewer than three words have
     no inner word and are not supported.
     """
     w = words("query")
     usable = items.select("qid", "query", w.alias("_w"))
     span = F.when(F.size("_w") >= anchor + 2, F.lit(anchor)).otherwise(F.lit(1))
-    keyed = usable.where(F.size("_w") >= 3).select("qid", "query", span.alias("n"), F.array_join(F.slice("_w", F.lit(2), span), " ").alias("gram"))
+    keyed = usable.where(F.size("_w") >= 3).select("qid", "query", span.alias("n"), F.xxhash64(F.slice("_w", F.lit(2), span)).alias("gram"))
     spans = sorted(r["n"] for r in keyed.select("n").distinct().collect())
     if items.where(F.size(w) < 3).limit(1).count():
         raise ValueError("items need at least three words")
@@ -376,7 +381,7 @@ def qrels_by_containment(items: DataFrame, docs: DataFrame, anchor: int = 6) ->
 
     def runs(n: int) -> Column:
         at = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("gram")))
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("_w", i, n)).alias("gram")))
 
     found = rows.select("doc_id", F.inline(F.flatten(F.array(*[runs(n) for n in spans])))).join(keyed, ["n", "gram"])
     candidates = found.select("qid", "query", "doc_id").distinct()

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trialmesh.operators.ranking import better_first
 from trialmesh.scale import exact_percentile, running_totals
+from trialmesh.session import materialize
 
-HASH_DIGITS = 4
+BUCKET_ROWS = 100_000
 
 
 def split_holdout(df: DataFrame, label: str, task: str, key: str, seed: int = 42, frac: float = 0.25) -> DataFrame:
@@ -20,23 +21,24 @@ def split_holdout(df: DataFrame, label: str, task: str, key: str, seed: int = 42
     one) has two rows and both sides can hold all classes; quotas by largest remainder.
     Under 8 rows every row is on both sides.  Rows are counted per class and hash
     prefix; only rows with the prefix at the quota's edge are sorted, so the table
-    itself is never shuffled.  One eager job reads the class counts.
+    itself is never shuffled.  The counts per class and prefix are written first (eager).
     """
     classify = task in ("binary_classification", "multiclass_classification")
+    total = df.count()
+    if total < 8:
+        return df.withColumn("side", F.explode(F.array(F.lit("train"), F.lit("holdout"))))
+    digits = 1
+    while digits < 6 and total / 16 ** digits > BUCKET_ROWS:
+        digits += 1
     digest = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    rows = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, HASH_DIGITS)).withColumn(
+    rows = df.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, digits)).withColumn(
         "_c", F.col(label).cast("string") if classify else F.lit("all"))
-    classes = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("n"))
-    facts = classes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).first()
-    total = facts["n"] or 0
-    if total < 8:
-        both = F.array(F.lit("train"), F.lit("holdout"))
-        return df.withColumn("side", F.explode(both))
+    per = materialize(rows.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("n")), "buckets")
+    facts = per.groupBy("_c").agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).first()
     held = -(-total * int(round(frac * 10_000)) // 10_000)
-    stratified = classify and facts["k"] > 1 and facts["least"] >= 2 and held >= facts["k"] and total - held >= facts["k"]
-    if not stratified:
+    if not (classify and facts["k"] > 1 and facts["least"] >= 2 and held >= facts["k"] and total - held >= facts["k"]):
         rows = rows.withColumn("_c", F.lit("all"))
-    per = rows.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("n"))
+        per = per.groupBy(F.lit("all").alias("_c"), "_b").agg(F.sum("n").alias("n"))
     sizes = per.groupBy("_c").agg(F.sum("n").alias("n"))
     share, rest = F.expr(f"n * {held} div {total}"), F.expr(f"n * {held} % {total}")
     spare = F.row_number().over(W.orderBy(rest.desc(), F.col("_c").asc_nulls_last()))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _fallback_folder: str | None = None
 
@@ -64,3 +64,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than ``max_rows + 1``."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A broadcast hint, only after checking that ``df`` has at most ``max_rows`` rows."""
+    return F.broadcast(df) if fits(df, max_rows) else df
