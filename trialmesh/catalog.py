@@ -31,7 +31,7 @@ class Tables:
 
     def stream(self, name: str) -> DataFrame:
         """The table as a stream of files, whether it is one file or a folder of them."""
-        reader = self.spark.readStream.schema(getattr(self, name).schema)
+        reader = self.spark.readStream.schema(getattr(self, name).schema).option("maxBytesPerTrigger", 1 << 30)
         one_file = any(f.endswith(f"/{name}.parquet") for f in getattr(self, name).inputFiles()[:1])
         if one_file:
             return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)

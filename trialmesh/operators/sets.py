@@ -61,10 +61,11 @@ def merge_messages(existing: DataFrame, incoming: DataFrame, position: Sequence[
 
     A message repeats another when role, agent (not for users) and normalised content
     agree.  Scanning in order, a copy replaces the kept message when it brings a card
-    type or card data the kept one lacks.  With two fields at most two replacements can
-    happen: the kept message is the first one; the first later copy with more data;
-    and the first copy after that with the field still missing.  Each step is one
-    aggregate of positions per key, so a message repeated very often is never gathered.
+    type or card data the kept one lacks.  The outcome has a closed form: the first copy
+    with both; else, when copies with only a type and only data take turns, the first of
+    the last run; else the first copy.  Each part is an aggregate of positions per key, so
+    a message repeated very often is never gathered.
+    Keys hold a hash of the content, so long messages are not shuffled as keys.
     """
     both = existing.withColumn("_set", F.lit(0)).unionByName(incoming.withColumn("_set", F.lit(1)))
     content = F.lower(F.regexp_replace(F.trim(F.coalesce("content", F.lit("")), F.lit(" \t\r\n")), r"\s+", " "))
@@ -75,24 +76,20 @@ def merge_messages(existing: DataFrame, incoming: DataFrame, position: Sequence[
     def has(name: str) -> Column:
         return F.coalesce(F.col(name) != "", F.lit(False))
 
-    rows = both.withColumn("_agent", agent).withColumn("_content", content).withColumn("_at", place).withColumn(
+    rows = both.withColumn("_agent", agent).withColumn("_content", F.md5(content)).withColumn("_at", place).withColumn(
         "_t", has("card_type")).withColumn("_d", has("card_data"))
     lean = rows.select(*keys, "_at", "_t", "_d")
 
-    def earliest(condition: Column, name: str) -> Column:
-        return F.min(F.when(condition, F.struct("_at", "_t", "_d"))).alias(name)
-
-    one = lean.groupBy(*keys).agg(earliest(F.lit(True), "k0"))
-
-    def replace(kept: DataFrame, name: str, new: str) -> DataFrame:
-        richer = (F.col("_t") & ~F.col(f"{name}._t")) | (F.col("_d") & ~F.col(f"{name}._d"))
-        later = F.col("_at") > F.col(f"{name}._at")
-        step = lean.where("_t or _d").join(kept, keys).where(richer & later).groupBy(*keys).agg(earliest(F.lit(True), new))
-        return kept.join(step, keys, "left").withColumn(new, F.coalesce(new, name))
-
-    two = replace(one, "k0", "k1")
-    three = replace(two, "k1", "k2")
-    final = replace(three, "k2", "k3").select(*keys, F.col("k0._at").alias("_first"), F.col("k3._at").alias("_at"))
+    both_set, only_t, only_d = F.col("_t") & F.col("_d"), F.col("_t") & ~F.col("_d"), F.col("_d") & ~F.col("_t")
+    facts = lean.groupBy(*keys).agg(
+        F.min("_at").alias("_first"), F.min(F.when(both_set, F.col("_at"))).alias("_full"),
+        F.min(F.when(only_t | only_d, F.col("_at"))).alias("_some"),
+        F.max(F.when(only_t, F.col("_at"))).alias("_last_t"), F.max(F.when(only_d, F.col("_at"))).alias("_last_d"))
+    turns = facts.where("_full is null and _last_t is not null and _last_d is not null").select(
+        *keys, (F.col("_last_t") > F.col("_last_d")).alias("_ends_t"), F.least("_last_t", "_last_d").alias("_bound"))
+    tail = lean.where("_t or _d").join(turns, keys).where((F.col("_t") == F.col("_ends_t")) & (F.col("_at") > F.col("_bound"))).groupBy(
+        *keys).agg(F.min("_at").alias("_tail"))
+    final = facts.join(tail, keys, "left").select(*keys, "_first", F.coalesce("_full", "_tail", "_some", "_first").alias("_at"))
     kept = rows.join(final, [*keys, "_at"])
     return kept.select("conv_id", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in position],
                        F.col("_first._set").alias("first_set"), "role", "agent", "content", "card_type", "card_data")

@@ -16,6 +16,7 @@ def _corpus(t):
 
 
 TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+PARTS_SQL = r"""list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"""
 BM25_SQL = f"""
 d AS (SELECT doc_id, {TERMS.format('text')} AS ts FROM documents), size AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM d) GROUP BY ALL),
@@ -76,9 +77,6 @@ def _(t):
     return vectors.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_norm"))
 
 
-PARTS_SQL = r"""list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"""
-
-
 @query("rrf_fuse", f"""
 WITH {BM25_SQL}, other AS (SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score / sqrt(n_chars + 1) DESC, doc_id) AS INTEGER) AS rank
   FROM lexical JOIN documents USING (doc_id)),
@@ -92,7 +90,16 @@ def _(t):
     return rounded(ops.rrf_fuse([lexical, other], [10, 45, 80], 5), 9)
 
 
-@query("expand_queries")
+@query("expand_queries", f"""
+WITH {BM25_SQL}, plain AS (SELECT item_id AS qid, CAST(0 AS INTEGER) AS part, text AS query FROM benchmark),
+top AS (SELECT qid, doc_id, rank FROM lexical WHERE rank <= 3), dt AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+qt AS (SELECT qid, term, sum(tf) AS tf FROM top JOIN tf USING (doc_id) GROUP BY 1, 2),
+w AS (SELECT qid, term, round(qt.tf * ln(((SELECT count(DISTINCT doc_id) FROM tf) + 1) / (df + 0.5)), 9) AS w FROM qt JOIN dt USING (term)),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY w DESC, term) AS place FROM w QUALIFY place <= 5)
+SELECT *, 'none' AS method FROM plain UNION ALL SELECT *, 'multi_query_expansion' FROM plain UNION ALL SELECT *, 'hyde' FROM plain
+UNION ALL SELECT qid, 1, string_agg(term, ' ' ORDER BY place), 'multi_query_expansion' FROM h GROUP BY qid
+UNION ALL SELECT qid, 1, text, 'hyde' FROM top JOIN documents USING (doc_id) WHERE rank = 1
+UNION ALL SELECT item_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER), unnest(p), 'query_decompose' FROM (SELECT item_id, {PARTS_SQL} AS p FROM benchmark)""")
 def _(t):
     asked, corpus = fx.text_queries(t), _corpus(t)
     methods = ("none", "multi_query_expansion", "hyde", "query_decompose")
@@ -158,7 +165,15 @@ def _(t):
     return ops.extract_answers(_bm25(t).join(_corpus(t), "doc_id").join(fx.text_queries(t), "qid"))
 
 
-@query("synthesize_qa")
+@query("synthesize_qa", f"""
+WITH d AS (SELECT doc_id, text, {TERMS.format('text')} AS ts FROM documents), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ts)) AS term FROM d) GROUP BY 1),
+s AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {PARTS_SQL} AS p FROM documents ORDER BY md5('42' || doc_id), doc_id LIMIT 24)),
+t AS (SELECT doc_id, pos, sentence, unnest(list_distinct({TERMS.format('sentence')})) AS term FROM s),
+nd AS (SELECT count(*) AS n FROM documents), w AS (SELECT t.*, ln(n / df) AS idf FROM t JOIN df USING (term), nd),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY -round(idf, 9), term) AS place FROM w),
+g AS (SELECT doc_id, pos, sentence, round(sum(idf), 9) AS weight, string_agg(term, ' ' ORDER BY place) FILTER (WHERE place <= 8) AS query FROM i GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, pos) AS rn FROM g)
+SELECT md5('q' || doc_id) AS qid, query, doc_id, trim(sentence) AS generation_gt FROM b WHERE rn = 1""")
 def _(t):
     qa = ops.synthesize_qa(_corpus(t), 24)
     return qa.select("qid", "query", F.element_at("retrieval_gt", 1).alias("doc_id"), "generation_gt")
