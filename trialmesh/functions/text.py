@@ -76,16 +76,23 @@ def normalize_hits(df: DataFrame, size: int = 500, title: str = "Untitled datase
         url_domain("url").alias("domain"))
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text.  Decimals are rendered in generated code; what a decimal cannot show
+    (not a number, infinite, a negative that rounds to zero) goes through the slower formatter."""
+    plain = (F.abs(value) >= 10.0 ** -digits) & (F.abs(value) < 1e15) | (value == 0)
+    return F.when(plain, value.try_cast(f"decimal(38,{digits})").cast("string")).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def format_metric(col: str | Column) -> Column:
     """Four decimals, or N/A."""
-    return F.when(_c(col).isNull(), "N/A").otherwise(F.format_string("%.4f", _c(col).cast("double")))
+    return F.when(_c(col).isNull(), "N/A").otherwise(_fixed(_c(col).cast("double"), 4))
 
 
 def display_value(col: str | Column) -> Column:
     """Two decimals from 100 on, else four with trailing zeros cut; N/A for null."""
     v = _c(col).cast("double")
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", v), "0+$", ""), r"\.$", "")
-    return F.when(v.isNull(), "N/A").when(F.abs(v) >= 100, F.format_string("%.2f", v)).otherwise(short)
+    short = F.regexp_replace(_fixed(v, 4), r"\.?0+$", "")
+    return F.when(v.isNull(), "N/A").when(F.abs(v) >= 100, _fixed(v, 2)).otherwise(short)
 
 
 # Display names of the known metrics.
@@ -98,10 +105,9 @@ METRIC_LABELS = {
 
 
 def title_case(col: str | Column) -> Column:
-    """Every letter that does not follow a letter in upper case, the others in lower case."""
-    chars = F.split(_c(col), "")
-    follows = lambda i: (i > 0) & F.get(chars, i - 1).rlike(r"\p{L}")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(follows(i), F.lower(c)).otherwise(F.upper(c))), "")
+    """Every run of letters with a capital first letter, the others in lower case."""
+    runs = F.split(F.regexp_replace(_c(col), r"(\p{L}+)", "\u0001$1"), "\u0001")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 1 << 30)))), "")
 
 
 def metric_label(col: str | Column) -> Column:
