@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialmesh.llm.common import table
+from trialmesh.llm import byte_bpe, decontaminate, line_dedup, minhash, quality
+from trialmesh.llm.common import remove, store, table
+from trialmesh.llm.queries import split_pattern, vocabulary
 
-STAGES: list = []
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score of at least 0.7); columns as they are."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that three or more documents share; n_chars is counted anew."""
+    found = line_dedup.dedup_lines(docs).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest doc_id; rows without doc_id stay."""
+    found = minhash.near_duplicates(docs, size=5, percent=80)
+    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs; columns as they are."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, the text decoded from them, and the digests of both."""
+    return byte_bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"), split_pattern(), contents=True)
+
+
+STAGES = [("quality", quality_filter), ("line_dedup", line_filter), ("near_duplicates", near_duplicate_filter),
+          ("decontamination", benchmark_filter), ("byte_bpe", encode)]
 
 #: Several stages run code that SQL cannot express; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the last stage returns for the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows that the last stage returns for the documents of ``sf_dir``; stages are written below the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = store(stage(spark, docs, sf_dir), name)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
