@@ -60,7 +60,7 @@ class Codec:
         from tokenizers import Tokenizer
         library, letters = Tokenizer.from_str(source), dict(enumerate(byte_characters()))
         self.tokens = tokens
-        self.pieces = Pieces(pattern, lambda new: [e.ids for e in library.encode_batch(
+        self.pieces = Pieces(pattern, lambda new: [e.ids for e in library.encode_batch_fast(
             [p.encode().decode("latin-1").translate(letters) for p in new], add_special_tokens=False)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

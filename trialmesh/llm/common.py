@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trialmesh.session import new_path
 
 
+SLICE = 200
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``; one stored in fewer splits than there are cores is dealt out first."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -33,11 +36,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches of ``columns`` of ``df``, one batch in memory at a time."""
+    """``fn`` over slices of the Arrow batches of ``columns`` of ``df``: what it holds at a time is ``SLICE`` rows."""
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for start in range(0, batch.num_rows, SLICE):
+                yield fn(batch.slice(start, SLICE))
     return df.select(*columns).mapInArrow(each, schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-KEEP = 400_000
+KEEP = 200_000
 
 
 class Pieces(dict):
