@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-GRAM, WINDOW = 8, 32
+GRAM, WINDOW = 8, 16
 _LOW = (1 << 32) - 1
 
 
@@ -28,31 +28,43 @@ def positions(marks: Column) -> Column:
     return F.transform(marks, lambda m: F.lit(_LOW) - m.bitwiseAND(_LOW))
 
 
+def _held(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside the lambda it is a variable, not read from the row again."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hashed(gram: int):
+    """Marks of all grams of a text given as four bytes a code point; of the whole text where it is shorter."""
+    def of(code: Column) -> Column:
+        count = (F.octet_length(code) / 4).cast("int") - (gram - 1)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1),
+                                             lambda i: _mark(F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * gram))), i.cast("long")))).when(
+            F.octet_length(code) > 0, F.array(_mark(F.xxhash64(code), F.lit(0).cast("long")))).otherwise(F.array().cast("array<long>"))
+    return of
+
+
+def _smallest(step: int):
+    """Minima over four places that lie ``step`` apart; a list too short for that is left as it is."""
+    def of(marks: Column) -> Column:
+        last = F.size(marks) - 1 - 3 * step
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.least(*[marks[i + j * step] for j in range(4)]))).otherwise(marks)
+    return of
+
+
 def add_marks(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Add the marks of column ``text`` (not null) in the order of their positions.
 
     A text shorter than ``gram`` is hashed as a whole; one too short for a window keeps its smallest hash; an empty
-    text has no mark.  ``window`` is a power of two: minima over 2, 4, 8 ... neighbours take one pass each, and every
-    pass is a column of its own, used twice, so that the optimizer does not fold it into the next one.
+    text has no mark.  ``window`` is a power of four: minima over 4, 16, 64 neighbours take one pass each.
     """
-    if window & (window - 1) or window < 2:
-        raise ValueError("window must be a power of two")
-    code, held = f"_{out}_code", f"_{out}_min"
-    df = df.withColumn(code, F.encode(F.col(text), "UTF-32"))
-    count = (F.octet_length(code) / 4).cast("int") - (gram - 1)
-    grams = F.transform(F.sequence(F.lit(0), count - 1),
-                        lambda i: _mark(F.xxhash64(F.substring(F.col(code), i * 4 + 1, F.lit(4 * gram))), i.cast("long")))
-    whole = F.when(F.octet_length(code) > 0, F.array(_mark(F.xxhash64(code), F.lit(0).cast("long")))).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn(held, F.when(count > 0, grams).otherwise(whole))
-    size = F.size(held)
-    step = 1
-    while step < window:
-        # Too few hashes for one window: all shrink to the smallest, which takes the place of the minima.
-        late = F.when(F.lit(step == 1) & (size < window) & (size > 0), F.array(F.array_min(held))).when(
-            size > step, F.transform(F.slice(held, 1, F.greatest(size - step, F.lit(1))), lambda x, i: F.least(x, F.col(held)[i + step]))).otherwise(F.col(held))
-        df = df.withColumn(f"{held}{step}", late).drop(held).withColumnRenamed(f"{held}{step}", held)
-        step *= 2
-    return df.withColumn(out, F.array_distinct(held)).drop(code, held)
+    steps = [4 ** i for i in range(window.bit_length() // 2)]
+    if 4 ** len(steps) != window:
+        raise ValueError("window must be a power of four")
+    marks = _held(F.encode(F.col(text), "UTF-32"), _hashed(gram))
+    marks = _held(marks, lambda m: F.when((F.size(m) < window) & (F.size(m) > 0), F.array(F.array_min(m))).otherwise(m))
+    for step in steps:
+        marks = _held(marks, _smallest(step))
+    return df.withColumn(out, F.array_distinct(marks))
 
 
 def _until(marks: Column, last: Column, window: int) -> Column:
