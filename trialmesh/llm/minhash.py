@@ -3,8 +3,9 @@
 One hash per shingle: its high bits name a bin, the bin keeps its smallest hash.  An empty bin borrows from a full one
 that is found by a random walk of its own (optimal densification), so small sets keep the collision rate of MinHash.
 Bands of bins are bucket keys.  Inside a bucket only a centre is paired with the others; pairs are confirmed on the
-full sets.  A bucket whose star was not confirmed throughout gets more centres, until all its pairs of different
-components have been met, so stars lose no link that the buckets hold.
+full sets.  A bucket whose star was not confirmed throughout gets more centres, round by round, until no two of its
+components have members that have not met, so stars lose no link that the buckets hold.  In these rounds a wide
+sketch of one bit a bin drops pairs that are clearly below the similarity before they become candidates.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from trialmesh.llm.components import components
 from trialmesh.llm.shingles import WordHashes, mixed, set_key, shingle_set
 
 BINS, ROWS = 128, 4
+WIDE = 4096
 
 
 @lru_cache
 def _donors(bins: int) -> np.ndarray:
     """For each bin, all bins in an order of its own."""
     rng = np.random.default_rng(17)
-    return np.stack([rng.permutation(bins) for _ in range(bins)])
+    return np.stack([rng.permutation(bins).astype(np.int16) for _ in range(bins)])
 
 
 def sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -35,14 +37,33 @@ def sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     starts = np.searchsorted(shingles, np.arange(bins, dtype=np.uint64) << shift)
     full = np.diff(np.append(starts, len(shingles))) > 0
     values = shingles[np.minimum(starts, len(shingles) - 1)]
-    if not full.all():
-        donors = _donors(bins)
-        empty = np.flatnonzero(~full)
-        order = donors[empty]
-        values[empty] = values[order[np.arange(len(empty)), full[order].argmax(axis=1)]]
+    donors, empty = _donors(bins), np.flatnonzero(~full)
+    step = max(1, 2 * bins // max(1, int(full.sum())))
+    for at in range(0, bins, step):
+        if not len(empty):
+            break
+        order = donors[empty, at:at + step]
+        hits = full[order]
+        which = hits.argmax(axis=1)
+        rows = np.arange(len(empty))
+        found = hits[rows, which]
+        values[empty[found]] = values[order[rows, which][found]]
+        empty = empty[~found]
     return values
 
 
+def bit_sketch(shingles: np.ndarray, bins: int = WIDE) -> np.ndarray:
+    """One bit a bin, packed into longs; bits of bins whose smallest hashes differ are equal half of the time."""
+    values = mixed(sketch(shingles, bins) + np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.packbits((values >> np.uint64(63)).astype(bool)).view(np.int64)
+
+
+def most_bits(percent: int, bins: int = WIDE) -> int:
+    """How many bits may differ at the similarity: the expected number and six standard deviations."""
+    share = (100 - percent) / 200
+    return int(bins * share + 6 * (bins * share * (1 - share)) ** 0.5)
+
+
 def band_keys(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per band of ``rows`` bins; the band's number is part of the key."""
     banded = values.reshape(-1, rows)
@@ -101,71 +122,97 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return links, kept
 
 
+def wide_sketches(docs: DataFrame, size: int) -> DataFrame:
+    """id and the bit sketch of every document with shingles."""
+    words = WordHashes()
+
+    def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words.trim()
+        sets = [shingle_set(text, size, words) for text in batch.column(1).to_pylist()]
+        bits = [bit_sketch(s) if len(s) else np.zeros(WIDE // 64, np.int64) for s in sets]
+        ends = np.arange(0, WIDE // 64 * len(bits) + 1, WIDE // 64, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits)))], ["id", "bits"])
+    return map_batches(docs, ["doc_id", "text"], sketched, "id long, bits array<long>")
+
+
 def _could_link(percent: int):
     """Whether the sizes allow the similarity at all."""
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
+def _differing(left: str, right: str):
+    """Number of bits in which two sketches differ."""
+    words = [F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(WIDE // 64)]
+    while len(words) > 1:
+        words = [sum(words[i:i + 2][1:], words[i]) for i in range(0, len(words), 2)]
+    return words[0]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when their sets of ``size``-word shingles have 100 * intersection >= percent * union;
     component_id is the smallest doc_id reachable over links.  Equal sets are linked without a comparison.
 
-    With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with probability 5e-8.
+    With 32 bands of 4 bins a pair at similarity 0.8 shares no bucket with probability 5e-8; it differs in more bits
+    of the wide sketch than allowed with probability 1e-9.
     Null or empty text: no shingles, its own component, kept.  Null doc_id: in no component (component_id null), kept.
     Rows that repeat a doc_id count as one document, linked if any of its texts is.  Other columns are not used.
     Eager: work tables are written below the shared folder; all but the result's are removed.
     """
     spark, used = docs.sparkSession, []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table, path = store(df, name)
+        used.append(path)
+        return table
     docs = docs.select("doc_id", whole_text().alias("text"))
-    signed, path = store(signatures(docs, size, bins, rows), "signatures")
-    used.append(path)
+    signed = keep(signatures(docs, size, bins, rows), "signatures")
     real = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = keep(real.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("id", "n", F.explode("bands").alias("key"))
-    centres = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("_size"))
-    crowded, path = store(entries.join(centres.where("a < _last").drop("_last"), "key"), "buckets")
-    used.append(path)
+    centres = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("_last"))
+    centres = centres.where("c.id < _last").select("key", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"))
+    crowded = keep(entries.join(centres, "key"), "buckets")
 
-    sizes = real.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    star = crowded.where("id > a").select("a", F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
-    star = star.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").where(_could_link(percent))
-    links, path = confirmed(star.select("a", "b"), docs, size, percent)
-    used.append(path)
-    labels, path = components(links)
-    used.append(path)
+    star = crowded.where("id > a").select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b")).where(_could_link(percent))
+    links = _confirm(keep(star.select("a", "b").distinct(), "pairs"), docs, size, percent, used)
+    labels = _label(links, used)
 
-    def labelled(rows_: DataFrame) -> DataFrame:
-        named = labels.select(F.col("id"), F.col("component_id").alias("_label"))
-        return rows_.join(named, "id", "left").withColumn("label", F.coalesce("_label", "id")).drop("_label")
+    def labelled(table: DataFrame) -> DataFrame:
+        named = labels.select("id", F.col("component_id").alias("_label"))
+        return table.join(named, "id", "left").withColumn("label", F.coalesce("_label", "id")).drop("_label")
 
-    # Buckets whose star left a member unlinked: more centres, until no two components remain that have not met.
-    missed = crowded.where("id > a AND _size > 2").join(links.select("a", F.col("b").alias("id")), ["a", "id"], "left_anti")
-    rest = crowded.join(missed.select("key").distinct(), "key", "left_semi").where("id > a").select("key", "id", "n")
-    met, fan = 0, 1
+    # Buckets that still hold several components: more centres, until all members of different ones have met.
+    # The first centre has met everyone, and what it is not linked to is all that matters of a bucket.
+    rest, sketched, fan = crowded.where("id > a").select("key", "id", "n"), None, 16
     while True:
-        rest = labelled(rest.select("key", "id", "n"))
-        split = rest.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-        rest, path = store(rest.join(split.where("_lo < _hi").select("key"), "key", "left_semi"), "open")
-        used.append(path)
+        now = labelled(rest)
+        split = now.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+        rest = keep(now.join(split.where("_lo < _hi").select("key"), "key", "left_semi"), "open")
         if rest.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("id", F.lit(met)), F.lit(fan))
-        chosen = rest.groupBy("key", slot.alias("_slot")).agg(F.min(F.struct("id", "n", "label")).alias("c"))
-        chosen, path = store(chosen.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("n_a"), F.col("c.label").alias("_label")), "centres")
-        used.append(path)
-        pairs = rest.withColumnRenamed("n", "n_b").join(chosen, "key").where((F.col("label") != F.col("_label")) & _could_link(percent))
-        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        more, path = confirmed(pairs, docs, size, percent)
-        used.append(path)
+        if sketched is None:
+            some = docs.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            sketched = keep(wide_sketches(some, size).groupBy("id").agg(F.min("bits").alias("bits")), "sketches")
+        slot = F.pmod(F.xxhash64("label"), F.lit(fan))
+        chosen = keep(rest.groupBy("key", slot.alias("_slot")).agg(F.min("id").alias("id")).select("id").distinct(), "centres")
+        facts = rest.groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_set("key").alias("keys"))
+        facts = facts.join(sketched, "id").join(chosen.select("id", F.lit(True).alias("_c")), "id", "left")
+        facts = keep(facts.withColumn("centre", F.coalesce("_c", F.lit(False))).drop("_c"), "facts")
+        members = facts.select(F.col("id").alias("m"), F.col("n").alias("n_b"), F.col("label").alias("m_label"), F.col("keys").alias("m_keys"),
+                               F.col("bits").alias("m_bits"), F.col("centre").alias("m_centre"), F.explode("keys").alias("key"))
+        tops = facts.where("centre").select(F.col("id").alias("c"), F.col("n").alias("n_a"), F.col("label").alias("c_label"), F.col("keys").alias("c_keys"),
+                                            F.col("bits").alias("c_bits"), F.explode("keys").alias("key"))
+        once = ~F.col("m_centre") | (F.col("c") < F.col("m"))  # two centres meet once, in the first bucket they share
+        meet = (F.col("l.key") == F.col("r.key")) & (F.col("c_label") != F.col("m_label")) & once & _could_link(percent) \
+            & (_differing("c_bits", "m_bits") <= most_bits(percent)) & (F.array_min(F.array_intersect("c_keys", "m_keys")) == F.col("l.key"))
+        pairs = tops.alias("l").join(members.alias("r"), meet).select(F.least("c", "m").alias("a"), F.greatest("c", "m").alias("b"))
+        more = _confirm(keep(pairs, "pairs"), docs, size, percent, used)
         if not more.isEmpty():
-            links, path = store(links.unionByName(more).distinct(), "links")
-            used.append(path)
-            labels, path = components(links)
-            used.append(path)
-        rest = rest.join(chosen.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")
-        met, fan = met + 1, fan * 4
+            links = keep(links.unionByName(more), "links")
+            labels = _label(links, used)
+        rest, fan = rest.join(chosen, "id", "left_anti").select("key", "id", "n"), fan * 8
     named = labelled(classes.select("set_key", "id")).select("set_key", "label")
     found = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
@@ -173,3 +220,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
                                    component.eqNullSafe(F.col("doc_id")).alias("kept")), "near_duplicates")
     remove(spark, *used)
     return result
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, used: list[str]) -> DataFrame:
+    """``confirmed``, its table noted for removal."""
+    links, path = confirmed(pairs, docs, size, percent)
+    used.append(path)
+    return links
+
+
+def _label(links: DataFrame, used: list[str]) -> DataFrame:
+    """Components of the links, the table noted for removal."""
+    labels, path = components(links)
+    used.append(path)
+    return labels
