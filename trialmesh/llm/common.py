@@ -35,12 +35,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over slices of the Arrow batches of ``columns`` of ``df``: what it holds at a time is ``SLICE`` rows."""
+def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+                rows: int = SLICE) -> DataFrame:
+    """``fn`` over slices of the Arrow batches of ``columns`` of ``df``: what it holds at a time is ``rows`` rows."""
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                yield fn(batch.slice(start, SLICE))
+            for start in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(start, rows))
     return df.select(*columns).mapInArrow(each, schema)
 
 

@@ -73,7 +73,7 @@ def profiles(docs: DataFrame, size: int = PROFILE, per_language: int = 10_000) -
         return pa.RecordBatch.from_arrays([pa.array([lang for lang, keys, _ in found for _ in keys], pa.string()),
                                            pa.array(np.concatenate([k for _, k, _ in found])), pa.array(np.concatenate([c for _, _, c in found]))],
                                           ["lang", "gram", "n"])
-    counts = map_batches(chosen, ["lang", "text"], counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_batches(chosen, ["lang", "text"], counted, "lang string, gram long, n long", rows=2000).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "gram", "place")
 
