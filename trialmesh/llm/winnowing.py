@@ -102,7 +102,7 @@ def _in_cells(docs: DataFrame, cells: int) -> DataFrame:
     """doc_id, text and _cell: ranges of doc_id of about equal numbers of rows, the largest ids first, null last."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     edges = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], cells * 20).alias("e")).first()["e"] or []
-    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
+    splits = [float("-inf"), *sorted({float(e) for e in edges} or {0.0}), float("inf")]
     rows = rows.withColumn("_id", F.col("doc_id").cast("double"))
     rows = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(rows)
     return rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(-F.col("_b")).cast("int").alias("_cell"), F.col("doc_id").isNull().alias("_null"))
