@@ -28,7 +28,7 @@ def test_ties_nulls_and_failures(spark):
     assert winners == {1: 2, 3: 5}
     order = [r["seq"] for r in rk.leaderboard(runs, ["seq"]).orderBy("rank").collect()]
     assert order == [1, 2, 3, 5, 4]
-    cells = [r["seq"] for r in rk.leaderboard(runs, ["seq"], cells=4, small=0).orderBy("rank").collect()]
+    cells = [r["seq"] for r in rk.leaderboard(runs, ["seq"], cells=4).orderBy("rank").collect()]
     assert cells == order
 
 

@@ -62,10 +62,9 @@ def scores(spark, n=400):
     return rows, spark.createDataFrame(rows, "label int, score double")
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_binary_metrics(spark, small):
+def test_binary_metrics(spark):
     rows, df = scores(spark)
-    m = tb.binary_metrics(df, small=small, cells=8).first()
+    m = tb.binary_metrics(df, cells=8).first()
     pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
     auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     assert m["roc_auc"] == pytest.approx(auc)
@@ -76,7 +75,7 @@ def test_binary_metrics(spark, small):
 @pytest.mark.parametrize("metric", ["f1", "accuracy", "mcc"])
 def test_threshold(spark, metric):
     rows, df = scores(spark)
-    got = tb.calibrate_threshold(df, "label", metric, small=0, cells=8).first()
+    got = tb.calibrate_threshold(df, "label", metric, cells=8).first()
 
     def value(t):
         tp = sum(y and s >= t for y, s in rows); fp = sum((not y) and s >= t for y, s in rows)

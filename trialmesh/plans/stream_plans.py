@@ -22,6 +22,13 @@ def _(t):
     return src.read_csv_table(t.spark, path, required=["c_custkey", "c_mktsegment"])
 
 
+@query("read_csv_texts", "SELECT doc_id, text, lang FROM documents")
+def _(t):
+    path = new_path(t.spark, "csv")
+    t.documents.select("doc_id", "text", "lang").write.options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return src.read_csv_table(t.spark, path, "doc_id bigint, text string, lang string", required=["text"])
+
+
 @query("read_records_json", "SELECT * FROM supplier")
 def _(t):
     path = new_path(t.spark, "json")
@@ -64,18 +71,21 @@ def _(t):
 @query("write_leaderboard", """
 SELECT CAST(l_linenumber AS INTEGER) AS round, 's' || l_suppkey || '-' || l_orderkey AS experiment_id,
   CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'completed' END AS status, 'f1' AS primary_metric, l_discount AS primary_metric_value,
-  l_tax AS tax FROM lineitem""")
+  '{"quantity, \\"sum\\"":' || CAST(l_quantity AS VARCHAR) || ',"tax":' || CAST(l_tax AS VARCHAR) || '}' AS secondary_metrics,
+  CASE WHEN l_returnflag = 'R' THEN 'line ' || l_linenumber || chr(10) || '  says "no", twice: ""' END AS error_summary FROM lineitem""")
 def _(t):
+    failed = F.col("l_returnflag") == "R"
     runs = t.lineitem.select(
         F.col("l_linenumber").alias("round"), F.concat(F.lit("s"), "l_suppkey", F.lit("-"), "l_orderkey").alias("experiment_id"),
-        F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("status"), F.lit("f1").alias("primary_metric"),
-        F.col("l_discount").alias("primary_metric_value"), F.create_map(F.lit("tax"), "l_tax").alias("secondary_metrics"))
+        F.when(failed, "failed").otherwise("completed").alias("status"), F.lit("f1").alias("primary_metric"),
+        F.col("l_discount").alias("primary_metric_value"),
+        F.create_map(F.lit('quantity, "sum"'), "l_quantity", F.lit("tax"), "l_tax").alias("secondary_metrics"),
+        F.when(failed, F.concat(F.lit("line "), "l_linenumber", F.lit('\n  says "no", twice: ""'))).alias("error_summary"))
     path = src.write_leaderboard(runs, new_path(t.spark, "leaderboard"))
     back = src.read_csv_table(t.spark, path, required=src.LEADERBOARD_COLUMNS, schema="""round int, experiment_id string, status string,
         primary_metric string, primary_metric_value double, secondary_metrics string, holdout_metrics_path string, model_path string,
         model_manifest_path string, error_summary string""")
-    return back.select("round", "experiment_id", "status", "primary_metric", "primary_metric_value",
-                       F.regexp_extract("secondary_metrics", "([0-9.]+)", 1).cast("double").alias("tax"))
+    return back.select("round", "experiment_id", "status", "primary_metric", "primary_metric_value", "secondary_metrics", "error_summary")
 
 
 @query("upsert", """
@@ -142,7 +152,8 @@ def _(t):
 @query("dedupe_events", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def _(t):
     e = t.events.select("event_id", "ts", "user_id", "event_type", "value")
-    return ev.dedupe_events(e.unionByName(e), "event_id")
+    late = e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")).withColumn("value", F.lit(-1.0))
+    return ev.dedupe_events(late.unionByName(e), "event_id")
 
 
 @query("run_completion", """
@@ -202,14 +213,10 @@ def _(t):
 
 
 @query("stream_append_state", """
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, text AS item, role AS scalar FROM conversations""")
+SELECT conv_id, CAST(0 AS BIGINT) AS page, string_agg(text, chr(10) ORDER BY turn) AS items, arg_max(role, turn) AS role FROM conversations GROUP BY 1""")
 def _(t):
-    stream = t.stream("conversations")
-    rows = ev.stream_append_state(stream, "conv_id", "turn", "text", "role")
-    out = new_path(t.spark, "appended")
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(t.spark, "offsets")).outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(out)
+    state = ev.stream_append_state(t.stream("conversations"), "conv_id", "turn", "text", ["role"], new_path(t.spark, "appended"), new_path(t.spark, "offsets"))
+    return state.withColumn("items", F.array_join("items", "\n"))
 
 
 @query("join_completed", """
@@ -221,7 +228,7 @@ def _(t):
 
 
 @query("scope_and_group", f"""
-WITH {fx.RESULTS_SQL}, m AS (SELECT * FROM results WHERE run_id = 'run_1' OR starts_with(run_id, 'run_1_'))
+WITH {fx.RESULTS_SQL}, m AS (SELECT * FROM results WHERE run_id = 'run_1' OR starts_with(run_id, 'run_1_') OR run_id = 'autogluon')
 SELECT {RESULT_COLUMNS}, row_number() OVER (PARTITION BY engine, round ORDER BY id) AS position,
   max(CAST(round AS INTEGER)) OVER (PARTITION BY engine) AS latest_round FROM m""")
 def _(t):

@@ -15,12 +15,14 @@ LEADERBOARD_COLUMNS = ("round", "experiment_id", "status", "primary_metric", "pr
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None,
-                   required: Sequence[str] = ()) -> DataFrame:
+                   required: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
     """CSV with a header; names are trimmed and freed of a byte-order mark.
 
+    A quote inside a quoted field is doubled.  With ``multi_line`` a quoted field may hold line breaks, and a file is
+    read by one task; files without such fields are split over tasks with ``multi_line`` false.
     Pass ``schema`` when it is known: inference reads the data once more.
     """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    reader = spark.read.options(header=True, encoding="UTF-8", quote='"', escape='"', multiLine=multi_line)
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     df = df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
     if not df.columns:
@@ -65,7 +67,10 @@ def scan_status_documents(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def write_leaderboard(df: DataFrame, path: str, fmt: str = "csv") -> str:
-    """Write the fixed leaderboard columns as CSV (maps as JSON text) or JSON; returns the path."""
+    """Write the fixed leaderboard columns as CSV (maps as JSON text) or JSON; returns the path.
+
+    ``read_csv_table`` gives the same values back, quotes and line breaks in texts included.
+    """
     have = dict(df.dtypes)
 
     def column(name: str) -> Column:
@@ -77,7 +82,7 @@ def write_leaderboard(df: DataFrame, path: str, fmt: str = "csv") -> str:
 
     rows = df.select(*[column(c) for c in LEADERBOARD_COLUMNS])
     if fmt == "csv":
-        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        rows.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif fmt == "json":
         rows.write.mode("overwrite").json(path)
     else:
@@ -85,11 +90,15 @@ def write_leaderboard(df: DataFrame, path: str, fmt: str = "csv") -> str:
     return path
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], insert_only: bool = False) -> DataFrame:
-    """Insert or overwrite by key; ``insert_only`` leaves existing rows alone."""
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], insert_only: bool = False, order: str | None = None) -> DataFrame:
+    """Insert or overwrite by key; ``insert_only`` leaves existing rows alone.
+
+    A key that the source repeats counts once: the row with the largest ``order``, or any of them without it.
+    """
+    source = top_rows(source, list(keys), [F.col(order).desc_nulls_last()]) if order else source.dropDuplicates(list(keys))
     if insert_only:
         return target.unionByName(source.join(target.select(*keys), list(keys), "left_anti").select(*target.columns))
-    return target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(source)
+    return target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(source.select(*target.columns))
 
 
 def upsert_by_name(target: DataFrame, source: DataFrame, scope_key: str, name_col: str, order: str,
@@ -98,6 +107,7 @@ def upsert_by_name(target: DataFrame, source: DataFrame, scope_key: str, name_co
 
     Updated rows keep id and stored name.  When several stored names are equal, the
     lowest id is updated.  New ids come from scope and name, so a retry gives the same id.
+    Only the first row of each stored name is joined; spare ones and nameless ones are passed on beside the join.
     """
     fields = [c for c in source.columns if c not in (scope_key, name_col, order)]
     norm = F.lower(F.trim(F.col(name_col)))
@@ -105,10 +115,10 @@ def upsert_by_name(target: DataFrame, source: DataFrame, scope_key: str, name_co
     incoming = incoming.select(scope_key, "_norm", F.trim(name_col).alias("_name"), *[F.col(c).alias(f"_{c}") for c in fields],
                                F.lit(True).alias("_new"))
     stored = target.withColumn("_norm", F.lower(F.col(name_col)))
-    first = top_rows(stored, [scope_key, "_norm"], [F.col("id")]).select("id", F.lit(True).alias("_first"))
-    stored = stored.join(first, "id", "left").withColumn(
-        "_norm", F.when(F.col("_first"), F.col("_norm")))
-    both = stored.join(incoming, [scope_key, "_norm"], "full")
+    first = top_rows(stored.where("_norm IS NOT NULL"), [scope_key, "_norm"], [F.col("id")]).select("id", F.lit(True).alias("_first"))
+    stored = stored.join(first, "id", "left")
+    spare = stored.where("_first IS NULL").select(*target.columns).withColumn("id", F.col("id").cast("string"))
+    both = stored.where("_first").join(incoming, [scope_key, "_norm"], "full")
     touched = F.col("_new").isNotNull()
     fresh = F.md5(F.concat_ws("|", F.col(scope_key).cast("string"), "_norm"))
     out = {
@@ -117,4 +127,4 @@ def upsert_by_name(target: DataFrame, source: DataFrame, scope_key: str, name_co
         "status": F.when(touched, F.lit(status)).otherwise(F.col("status")),
         **{c: F.when(touched, F.col(f"_{c}")).otherwise(F.col(c)) for c in fields},
     }
-    return both.select(*[out[c].alias(c) if c in out else F.col(c) for c in target.columns])
+    return both.select(*[out[c].alias(c) if c in out else F.col(c) for c in target.columns]).unionByName(spare)

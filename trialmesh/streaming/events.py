@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trialmesh.functions.config import secondary_metrics
 from trialmesh.operators.profile import usage_columns
 from trialmesh.operators.ranking import latest_per_key
-from trialmesh.scale import rank_rows
+from trialmesh.scale import rank_rows, top_rows
 
 WATERMARK = "7 days"
 ROUTING = ("session_id", "run_id", "designer", "round", "experiment_id", "event_type")
@@ -97,11 +95,14 @@ def stream_results(spark: SparkSession, path: str, session: str | None, out: str
     return spark.read.schema(rows.schema).parquet(out)
 
 
-def dedupe_events(df: DataFrame, id_col: str, time_col: str = "ts") -> DataFrame:
-    """Each id once.  A stream forgets ids once they are older than the watermark."""
+def dedupe_events(df: DataFrame, id_col: str, time_col: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+    """Each id once: the first by ``order`` (default: the time column).
+
+    A stream keeps the first that arrives, and forgets ids once they are older than the watermark.
+    """
     if df.isStreaming:
         return df.withWatermark(time_col, WATERMARK).dropDuplicatesWithinWatermark([id_col])
-    return df.dropDuplicates([id_col])
+    return top_rows(df, [id_col], [F.col(c).asc_nulls_last() for c in order or [time_col]])
 
 
 def run_completion(events: DataFrame, statuses: DataFrame) -> DataFrame:
@@ -122,24 +123,57 @@ def merge_state(updates: DataFrame, key: str, order: str, fields: Sequence[str])
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields], F.max(order).alias(order))
 
 
-def stream_state(updates: DataFrame, key: str, order: str, fields: Sequence[str], folder: str, checkpoint: str) -> DataFrame:
-    """Streaming :func:`merge_state`: each micro-batch folds into the table of the batch before.
+def stream_state(updates: DataFrame, key: str, order: str, fields: Sequence[str], folder: str, checkpoint: str, parts: int = 64) -> DataFrame:
+    """Streaming :func:`merge_state`; returns the state after all input that is there, also when nothing is new.
 
-    One table version per batch id, so a batch that is retried overwrites its own version.
-    Returns the newest version.
+    The state lies in ``parts`` parts by key hash.  A micro-batch reads and writes only the parts its keys fall into,
+    as a version named after the batch; of every part the newest version counts.  A batch that is retried overwrites
+    its own version and reads those of earlier batches, so it may run again at any time, also after a restart.  What a
+    version replaces goes with the next batch that touches the part, so the state is stored once or twice.
     """
-    spark, last = updates.sparkSession, [None]
+    spark = updates.sparkSession
+    jvm = spark.sparkContext._jvm
+    place = lambda *steps: jvm.org.apache.hadoop.fs.Path("/".join([folder, *steps]))
+    files = place().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    when = [f"_at_{c}" for c in fields]  # the order value of each field, so that late updates find their place
+
+    def dated(rows: DataFrame) -> DataFrame:
+        return rows.select(key, order, *fields, *[F.when(F.col(c).isNotNull(), F.col(order)).alias(w) for c, w in zip(fields, when, strict=True)])
+
+    def folded(rows: DataFrame) -> DataFrame:
+        newest = [x for c, w in zip(fields, when, strict=True) for x in (F.max_by(c, w).alias(c), F.max(w).alias(w))]
+        return rows.groupBy(key).agg(F.max(order).alias(order), *newest).select(key, order, *fields, *when)
+    schema = dated(updates).schema
+
+    def versions(before: int | None = None) -> dict[int, list[int]]:
+        """The finished versions of every part in ascending order, on request those of earlier batches only."""
+        found: dict[int, list[int]] = {}
+        names = [f.getPath().getName() for f in files.listStatus(place())] if files.exists(place()) else []
+        for version in sorted(int(n[1:]) for n in names if n.startswith("v")):
+            if files.exists(place(f"v{version}", "_SUCCESS")) and (before is None or version < before):
+                for name in (f.getPath().getName() for f in files.listStatus(place(f"v{version}"))):
+                    if name.startswith("_part="):
+                        found.setdefault(int(name.removeprefix("_part=")), []).append(version)
+        return found
+
+    def read(chosen: dict[int, int]) -> DataFrame:
+        paths = [f"{folder}/v{version}/_part={part}" for part, version in chosen.items()]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        new = batch.select(key, order, *fields)
-        if epoch > 0:
-            new = new.unionByName(spark.read.parquet(f"{folder}/v{epoch - 1}").select(key, order, *fields))
-        merge_state(new, key, order, fields).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
-        last[0] = epoch
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        new = folded(dated(batch))
+        touched = {r["_part"] for r in new.select(part.alias("_part")).distinct().collect()}  # at most ``parts`` rows
+        have = {p: v for p, v in versions(epoch).items() if p in touched}
+        both = folded(new.unionByName(read({p: v[-1] for p, v in have.items()})))
+        both.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/v{epoch}")
+        for p, older in have.items():
+            for version in older[:-1]:
+                files.delete(place(f"v{version}", f"_part={p}"), True)
 
     updates.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/v{last[0]}")
+    return read({p: v[-1] for p, v in versions().items()}).select(key, *fields, order)
 
 
 def expire_keys(df: DataFrame, key: str, written: str, at: datetime, ttl_days: int = 7, tie: Sequence[str] = ()) -> DataFrame:
@@ -178,24 +212,26 @@ def append_state(updates: DataFrame, key: str, order: str, item: str, scalars: S
     return lists.join(last, key).select(key, "page", F.col(f"_l.{item}").alias("items"), *scalars)
 
 
-def stream_append_state(updates: DataFrame, key: str, order: str, item: str, scalar: str) -> DataFrame:
-    """Streaming :func:`append_state`: each new item with its position in the key's list and the newest scalar.
+def stream_append_state(updates: DataFrame, key: str, order: str, item: str, scalars: Sequence[str], folder: str, checkpoint: str,
+                        page_size: int = 1000) -> DataFrame:
+    """Streaming :func:`append_state`; returns the pages after all input that is there, also when nothing is new.
 
-    The state of a key is its item count and scalar, not the list itself.
+    A micro-batch only adds its rows to the log below ``folder``, in a folder named after the batch that a retry
+    overwrites; lists are put in ``order`` when they are read, so an item that arrives late stands where it belongs
+    and no task holds more than a page of a key.
     """
-    out = f"{key} bigint, position bigint, item string, scalar string"
+    spark = updates.sparkSession
+    rows = updates.select(key, order, item, *scalars)
 
-    def grow(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        count, newest = state.get if state.exists else (0, None)
-        rows = pd.concat(list(parts)).sort_values(order)
-        seen = []
-        for value in rows[scalar]:
-            newest = value if value is not None else newest
-            seen.append(newest)
-        yield pd.DataFrame({key: k[0], "position": range(count, count + len(rows)), "item": rows[item].tolist(), "scalar": seen})
-        state.update((count + len(rows), newest))
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
 
-    return updates.groupBy(key).applyInPandasWithState(grow, out, "count bigint, newest string", "append", GroupStateTimeout.NoTimeout)
+    rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+    log = spark.read.schema(rows.schema).option("recursiveFileLookup", True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return append_state(log.parquet(folder) if there else spark.createDataFrame([], rows.schema), key, order, item, scalars, page_size)
 
 
 def join_completed(completions: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
@@ -203,13 +239,17 @@ def join_completed(completions: DataFrame, outputs: DataFrame, key: str) -> Data
     return completions.join(outputs, key, "left")
 
 
-def scope_and_group(results: DataFrame, run_id: str) -> DataFrame:
-    """Results of a run (its id, or ids that extend it), placed in their engine and round.
+# Fixed value: run id of results that belong to every scope.
+EVERYWHERE = "autogluon"
+
+
+def scope_and_group(results: DataFrame, run_id: str, everywhere: str = EVERYWHERE) -> DataFrame:
+    """Results of a run (its id, ids that extend it, and those of ``everywhere``), placed in their engine and round.
 
     One row per result with its position in the group and the engine's newest round;
     groups stay spread over tasks instead of becoming one list each.
     """
-    mine = results.where((F.col("run_id") == run_id) | F.col("run_id").startswith(run_id + "_"))
+    mine = results.where(F.col("run_id").isin(run_id, everywhere) | F.col("run_id").startswith(run_id + "_"))
     number = F.coalesce(F.col("round").try_cast("int"), F.lit(0))
     newest = mine.groupBy("engine").agg(F.max(number).alias("latest_round"))
     placed = rank_rows(mine, ["engine", "round"], F.col("id"), ["id"], "position")
