@@ -9,6 +9,7 @@ multilayer perceptron (classification only).
 from __future__ import annotations
 
 from collections.abc import Sequence
+import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -34,8 +35,6 @@ TEMPLATES = (
     {"intent": "quality_search", "ensemble": True, "calibrate": True, "families": ("GBM", "CAT", "XGB", "RF", "XT")},
     {"intent": "imbalance_aware", "ensemble": True, "calibrate": True, "families": ("GBM", "RF", "XT")},
 )
-SMALL_DATA_ROWS = 1000
-SMALL_DATA_FAMILIES = ("GBM", "RF", "LR")
 
 
 @dataclass
@@ -328,78 +327,112 @@ def _evaluate(preds: DataFrame, label: str, task: str, threshold: float) -> dict
     return {k: v for k, v in table.first().asDict().items() if v is not None}
 
 
+class _Scores:
+    """What each family, bagged or not, gives for the validation and holdout rows; fitted once, whoever asks first."""
+
+    def __init__(self, split: DataFrame, features: Sequence[str], label: str, task: str, key: str, params: dict):
+        self.fitting, self.judged = split.where("side = 'fit'").drop("side"), split.where("side <> 'fit'")
+        self.features, self.label, self.task, self.key, self.params = list(features), label, task, key, params
+        self.classes, self.lock, self.slots, self.tables = _classes(self.fitting, label, task), threading.Lock(), {}, {}
+
+    def _one(self, train: DataFrame, family: str, out: DataFrame, name: str) -> DataFrame:
+        model = fit_family(train, self.features, self.label, self.task, family, self.params.get(family))
+        value = F.col("probability") if self.task == MULTICLASS else _main_score(model)
+        return model.transform(out).select(*out.columns, value.alias(name))
+
+    def __call__(self, family: str, folds: int) -> DataFrame:
+        """side, key, label, ``score`` (a number, or an array by class)."""
+        with self.lock:
+            slot = self.slots.setdefault((family, folds), threading.Lock())
+        with slot:
+            if (family, folds) not in self.tables:
+                out, train = self.judged, bag_folds(self.fitting, folds, self.key) if folds else self.fitting
+                for i in range(max(folds, 1)):
+                    out = self._one(train.where(F.col("fold") != i).drop("fold") if folds else train, family, out, f"_bag{i}")
+                bags = [F.col(f"_bag{i}") for i in range(max(folds, 1))]
+                score = _mean(bags, self.task)
+                self.tables[family, folds] = materialize(out.select("side", self.key, self.label, score.alias("score")), "scores")
+            return self.tables[family, folds]
+
+
+def _mean(columns: list[Column], task: str, weights: Sequence[float] | None = None) -> Column:
+    """Weighted mean of scores: numbers, or arrays by class."""
+    weights = list(weights) if weights else [1 / len(columns)] * len(columns)
+    parts = [F.transform(c, lambda x, w=w: x * w) if task == MULTICLASS else c * w for c, w in zip(columns, weights, strict=True) if w]
+    total = parts[0]
+    for part in parts[1:]:
+        total = F.zip_with(total, part, lambda a, b: a + b) if task == MULTICLASS else total + part
+    return total
+
+
 def run_rounds(df: DataFrame, features: Sequence[str], label: str, task: str, metric: str, key: str, max_rounds: int = 3,
-               per_round: int = 3, params: dict | None = None, parallel: int = 2) -> DataFrame:
+               per_round: int = 3, params: dict | None = None, parallel: int = 2, families: Sequence[str] | None = None,
+               bag_folds: int = 3) -> DataFrame:
     """Rounds of experiments on one split; returns the log, one row per experiment (eager).
 
-    Experiments take the templates in turn.  The split is written once; each family is
-    fitted once and its holdout scores are kept, since later experiments differ only in
-    which scores they combine.  Stops after ``max_rounds`` or a round without success.
-    A binary label must be 0/1.
+    Rows are split into fit, validation and holdout.  Families are fitted on the first; ensemble weights, the best
+    single family and the threshold are chosen on the second; the holdout only gives the scores of the log.
+    Experiments take the templates in turn, and ids count inside their round; when the templates are used up they
+    come back with families bagged over ``bag_folds`` folds, then one fold more.  ``families`` restricts the
+    templates; one that is left without a family fails.  Each family is fitted once per number of folds.
+    Stops after ``max_rounds`` or a round without success.  A binary label must be 0/1.
     """
     spark = df.sparkSession
-    split = materialize(split_holdout(df.select(*{*features, label, key}), label, task, key), "split")
-    train, holdout = split.where("side = 'train'").drop("side"), split.where("side = 'holdout'").drop("side")
-    small = train.limit(SMALL_DATA_ROWS + 1).count() <= SMALL_DATA_ROWS
-    scores: dict[str, DataFrame] = {}
-
-    def scored(family: str) -> DataFrame:
-        if family not in scores:
-            model = fit_family(train, features, label, task, family, (params or {}).get(family))
-            rows = model.transform(holdout)
-            extra = [] if task == REGRESSION else ["prediction", "probability"]
-            scores[family] = materialize(rows.select(key, label, _main_score(model).alias("score"), *extra), "scores")
-        return scores[family]
-
-    def experiment(number: int, index: int) -> tuple:
-        plan = TEMPLATES[index % len(TEMPLATES)]
-        name = f"r{number}_exp{index + 1}"
-        families = [f for f in plan["families"] if not small or f in SMALL_DATA_FAMILIES] or list(SMALL_DATA_FAMILIES)
+    outer = materialize(split_holdout(df.select(*{*features, label, key}), label, task, key), "split")
+    inner = split_holdout(outer.where("side = 'train'").drop("side"), label, task, key)
+    named = inner.withColumn("side", F.when(F.col("side") == "train", "fit").otherwise("validation"))
+    split = materialize(named.unionByName(outer.where("side = 'holdout'")), "split")
+    scores = _Scores(split, features, label, task, key, params or {})
+
+    def loss(rows: DataFrame, score: Column) -> float:
+        """Loss on the validation rows by which families are compared."""
+        picked = rows.where("side = 'validation'").select(F.col(label).alias("_y"), score.alias("_p"))
+        if task == MULTICLASS:
+            names = F.array(*[F.lit(c) for c in scores.classes])
+            own = F.get("_p", F.array_position(names, F.col("_y").cast("string")).cast("int") - 1)
+            return picked.agg(-F.avg(F.ln(F.greatest(own, F.lit(1e-15))))).first()[0]
+        y, p = F.col("_y").cast("double"), F.col("_p")
+        if task == REGRESSION:
+            return picked.agg(F.avg((y - p) * (y - p))).first()[0]
+        p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+        return picked.agg(-F.avg(y * F.ln(p) + (1 - y) * F.ln(1 - p))).first()[0]
+
+    def experiment(number: int, index: int, at: int) -> tuple:
+        plan, cycle = TEMPLATES[at % len(TEMPLATES)], at // len(TEMPLATES)
+        head = (number, f"r{number}_exp{index + 1}", at, plan["intent"])
         try:
-            tables = {f: scored(f) for f in families}
-            if task == MULTICLASS:
-                width = [F.transform(F.col(f"p_{f}"), lambda x: x) for f in families]
-                rows = None
-                for f, table in tables.items():
-                    part = table.select(key, label, F.col("probability").alias(f"p_{f}"), F.col("prediction").alias(f"c_{f}"))
-                    rows = part if rows is None else rows.join(part.drop(label), key)
-                if plan["ensemble"]:
-                    total = width[0]
-                    for w in width[1:]:
-                        total = F.zip_with(total, w, lambda a, b: a + b)
-                    names = F.array(*[F.lit(c) for c in _classes(train, label, task)])
-                    rows = rows.withColumn("prediction", F.element_at(names, F.array_position(total, F.array_max(total)).cast("int")))
-                else:
-                    rows = rows.withColumn("prediction", F.col(f"c_{families[0]}"))
-                values = _evaluate(rows, label, task, 0.5)
+            own = [f for f in plan["families"] if families is None or f in families]
+            if not own:
+                raise ValueError(f"no family of {plan['families']} is among {tuple(families)}")
+            rows = None
+            for f in own:
+                part = scores(f, bag_folds + cycle - 1 if cycle else 0).withColumnRenamed("score", f)
+                rows = part if rows is None else rows.join(part.select(key, f), key)
+            rows = materialize(rows, "level")
+            if plan["ensemble"] and task != MULTICLASS:
+                weights = weighted_ensemble(rows.where("side = 'validation'"), own, label, "root_mean_squared_error" if task == REGRESSION else "log_loss")
+            elif plan["ensemble"]:
+                weights = {f: 1 / len(own) for f in own}
             else:
-                rows = None
-                for f, table in tables.items():
-                    part = table.select(key, label, F.col("score").alias(f))
-                    rows = part if rows is None else rows.join(part.drop(label), key)
-                rows = materialize(rows, "level")
-                select_on = "root_mean_squared_error" if task == REGRESSION else "log_loss"
-                weights = weighted_ensemble(rows, families, label, select_on) if plan["ensemble"] else {families[0]: 1.0}
-                mixed = blend(rows, weights, "score")
-                threshold = 0.5
-                if plan["calibrate"] and task == BINARY:
-                    threshold = calibrate_threshold(mixed, label, "f1").first()["threshold"]
-                values = _evaluate(mixed, label, task, threshold)
-            second = {k: float(v) for k, v in values.items() if k != metric}
-            return (number, name, index, plan["intent"], "completed", metric, float(values[metric]), second, None)
+                weights = {min(own, key=lambda f: (loss(rows, F.col(f)), own.index(f))): 1.0}
+            mixed = rows.withColumn("score", _mean([F.col(f) for f in weights], task, list(weights.values())))
+            threshold = 0.5
+            if plan["calibrate"] and task == BINARY:
+                threshold = calibrate_threshold(mixed.where("side = 'validation'"), label, "f1").first()["threshold"]
+            held = mixed.where("side = 'holdout'")
+            if task == MULTICLASS:
+                names = F.array(*[F.lit(c) for c in scores.classes])
+                held = held.withColumn("prediction", F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")))
+            values = _evaluate(held, label, task, threshold)
+            second = {k: float(v) for k, v in values.items() if k != metric} | {"validation_loss": float(loss(mixed, F.col("score")))}
+            return (*head, "completed", metric, float(values[metric]), second, None)
         except Exception as error:  # a failed experiment is a result of the round
-            return (number, name, index, plan["intent"], "failed", metric, None, {}, str(error)[:500])
+            return (*head, "failed", metric, None, {}, str(error))
 
     log: list[tuple] = []
     for number in range(1, max_rounds + 1):
-        order = list(range(per_round))
-        for family in {f for i in order for f in TEMPLATES[i % len(TEMPLATES)]["families"] if not small or f in SMALL_DATA_FAMILIES}:
-            try:
-                scored(family)
-            except Exception:  # the experiments that need it report the failure
-                pass
         with ThreadPoolExecutor(parallel) as pool:
-            results = list(pool.map(lambda i: experiment(number, (number - 1) * per_round + i), order))
+            results = list(pool.map(lambda i: experiment(number, i, (number - 1) * per_round + i), range(per_round)))
         log += results
         if not any(r[4] == "completed" for r in results):
             break

@@ -2,59 +2,100 @@
 
 from __future__ import annotations
 
+import itertools
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from trialmesh.functions.config import goal_to_metric
+from trialmesh.functions.config import EXPANSIONS, PIPELINES, goal_to_metric
 from trialmesh.operators import retrieval as rt
-from trialmesh.operators.chunking import build_corpus, chunk_token
+from trialmesh.operators.chunking import build_corpus, chunk_recursive, chunk_token
 from trialmesh.session import materialize
 
+# Words of a description that call for chunks with more overlap, and the two ways of chunking.
+VISUAL_WORDS = ("table", "tables", "image", "images", "figure", "figures", "diagram")
+VISUAL_CHUNKS = ("recursive", 1200, 200)
+PLAIN_CHUNKS = ("token", 1024, 128)
+
+FUSION_KS = tuple(range(10, 81, 10))
+
 
 @dataclass(frozen=True)
 class Setup:
-    """One retrieval configuration."""
+    """One point of the search grid."""
 
-    name: str
     pipeline: str
     top_k: int
-    final_top_k: int
+    fusion_k: int
     expansion: str
     prompt_style: str
 
 
+def chunk_plan(description: str | Column) -> Column:
+    """struct<method, size, overlap, add_file_name> for the description of a collection."""
+    text = F.lower(F.coalesce(F.col(description) if isinstance(description, str) else description, F.lit("")))
+    visual = F.lit(False)
+    for word in VISUAL_WORDS:
+        visual = visual | text.contains(word)
+
+    def plan(method: str, size: int, overlap: int) -> Column:
+        return F.struct(F.lit(method).alias("method"), F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.lit(True).alias("add_file_name"))
+    return F.when(visual, plan(*VISUAL_CHUNKS)).otherwise(plan(*PLAIN_CHUNKS))
+
+
 def plan_goal(spark, goal: str) -> dict:
     """Metric, prompt style and result counts for a goal text."""
     return spark.range(1).select(goal_to_metric(F.lit(goal)).alias("g")).first()["g"].asDict()
 
 
-def candidates(plan: dict, number: int, best: dict | None, per_round: int) -> list[Setup]:
-    """First round: three baselines.  Later rounds: the best so far, refined, narrowed and widened."""
-    style, tops = plan["prompt_style"], list(plan["top_k"])
-    if best is None:
-        wide, wider = tops[min(1, len(tops) - 1)], tops[min(2, len(tops) - 1)]
-        options = [Setup("baseline_semantic", "semantic_only", tops[0], tops[0], "none", style),
-                   Setup("broader_semantic", "semantic_only", wide, wide, "multi_query_expansion", "evidence_first"),
-                   Setup("hybrid_precision_probe", "hybrid_rrf", wider, tops[0], "none", "strict_grounding")]
-    else:
-        tighten = plan["primary_metric"] == "retrieval_precision"
-        k = max(1, min(10, best["top_k"] + (-1 if tighten else 1)))
-        kept = best["final_top_k"]
-        base = Setup("best_small_mutation", best["pipeline"], k, min(k, kept), "none" if tighten else "multi_query_expansion", style)
-        options = [base, replace(base, name="precision_variant", top_k=max(1, k - 1), final_top_k=kept - 1, expansion="none", prompt_style="strict_grounding"),
-                   replace(base, name="recall_variant", top_k=min(10, k + 1), final_top_k=kept + 1, expansion="multi_query_expansion", prompt_style="evidence_first")]
-    picked = [options[i % len(options)] for i in range(per_round)]
-    return [replace(s, name=f"r{number}_exp{i + 1}_{s.name}", final_top_k=max(1, min(8, s.final_top_k, s.top_k))) for i, s in enumerate(picked)]
+def search_grid(plan: dict) -> list[Setup]:
+    """Every setup of a goal: pipeline x result count x fusion constant x expansion x prompt style.
+
+    The fusion constant only matters where lists are fused, so the other pipelines have it once.
+    """
+    counts = sorted({int(k) for k in plan["top_k"]})
+    rows = itertools.product(PIPELINES, counts, FUSION_KS, EXPANSIONS, [plan["prompt_style"], *(s for s in rt.PROMPTS if s != plan["prompt_style"])])
+    return [Setup(*row) for row in rows if row[0] == "hybrid_rrf" or row[2] == FUSION_KS[0]]
+
+
+def next_setups(grid: list[Setup], log: list[tuple[Setup, float | None]], n: int) -> list[Setup]:
+    """The ``n`` untried setups that promise most, given the scores of all earlier rounds.
+
+    A setup promises the sum, over its five choices, of the mean score measured with that choice; a choice not
+    measured yet counts as the best mean of its kind, so it gets its turn.  Failed experiments count as zero.  Of
+    setups that promise the same, the one that differs most from those already picked comes first, then grid order.
+    """
+    means: dict[tuple[str, object], list[float]] = {}
+    for setup, score in log:
+        for choice in asdict(setup).items():
+            means.setdefault(choice, []).append(score or 0.0)
+    known = {choice: sum(v) / len(v) for choice, v in means.items()}
+    hopes = {kind: max((m for (k, _), m in known.items() if k == kind), default=0.0) for kind in asdict(grid[0])}
+    tried, picked = {setup for setup, _ in log}, []
+
+    def promise(setup: Setup) -> float:
+        return round(sum(known.get((kind, value), hopes[kind]) for kind, value in asdict(setup).items()), 12)
+
+    def distance(setup: Setup) -> int:
+        own = asdict(setup)
+        return sum(own[kind] != value for other in [*tried, *picked] for kind, value in asdict(other).items())
+    left = [s for s in grid if s not in tried]
+    while left and len(picked) < n:
+        top = max(map(promise, left))
+        picked.append(max((s for s in left if promise(s) == top), key=distance))
+        left.remove(picked[-1])
+    return picked
 
 
 class Collection:
     """The tables all experiments of a run share, each written once."""
 
-    def __init__(self, docs: DataFrame, n_questions: int, seed: int):
-        chunks = chunk_token(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), 512, 64)
-        self.corpus = materialize(build_corpus(chunks), "corpus")
+    def __init__(self, docs: DataFrame, n_questions: int, seed: int, description: str = ""):
+        way = docs.sparkSession.range(1).select(chunk_plan(F.lit(description)).alias("p")).first()["p"]
+        cut = {"token": chunk_token, "recursive": chunk_recursive}[way["method"]]
+        chunks = cut(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), way["size"], way["overlap"])
+        self.corpus = materialize(build_corpus(chunks, add_file_name=way["add_file_name"]), "corpus")
         self.qa = materialize(rt.drop_dont_know(rt.synthesize_qa(self.corpus, n_questions, seed)), "qa")
         self.index = materialize(rt.postings(self.corpus), "postings")
         self.stems = materialize(rt.stemmed(self.index), "stems")
@@ -75,14 +116,11 @@ class Collection:
         if setup.pipeline in ("lexical_bm25", "hybrid_rrf"):
             lists.append(rt.bm25_topk(parts, None, setup.top_k, stem=True, index=self.stems, size=self.size, index_stemmed=True))
         lists = [df.withColumn("qid", F.split_part("qid", F.lit("#"), F.lit(1))).groupBy("qid", "doc_id").agg(F.min("rank").alias("rank")) for df in lists]
-        if len(lists) == 2:
-            return rt.rrf_fuse(lists, 60, setup.final_top_k).select("qid", "doc_id", "rank")
-        order = [F.col("rank"), F.col("doc_id")]
-        return rt.top_rows(lists[0].withColumnRenamed("rank", "_r"), ["qid"], [F.col("_r"), order[1]], setup.top_k, "rank").select("qid", "doc_id", "rank")
+        return rt.rrf_fuse(lists, setup.fusion_k, setup.top_k).select("qid", "doc_id", "rank")
 
 
 def evaluate(collection: Collection, setup: Setup) -> dict:
-    """Retrieval metrics of a setup and ROUGE-1 of the answers it extracts."""
+    """Retrieval metrics of a setup, ROUGE-1 of the answers it extracts, and the mean length of its prompts."""
     hits = materialize(collection.retrieve(setup), "hits")
     passages = hits.join(collection.corpus.select("doc_id", "contents"), "doc_id").join(collection.qa.select("qid", "query"), "qid")
     answers = rt.extract_answers(passages)
@@ -90,40 +128,38 @@ def evaluate(collection: Collection, setup: Setup) -> dict:
         collection.qa.select("qid", F.col("generation_gt").alias("reference")), "qid")
     scores = rt.retrieval_metrics(hits, collection.qrels).first().asDict()
     scores["rouge"] = rt.rouge(pairs, ["qid"], ["rouge1"]).agg(F.avg("rouge1")).first()[0] or 0.0
+    scores["prompt_chars"] = rt.make_prompts(passages, setup.prompt_style).agg(F.avg(F.char_length("prompt"))).first()[0] or 0.0
     return scores
 
 
 def run_rag_rounds(docs: DataFrame, goal: str, rounds: int = 3, per_round: int = 3, n_questions: int = 24, seed: int = 42,
-                   parallel: int = 3) -> DataFrame:
+                   parallel: int = 3, description: str = "") -> DataFrame:
     """Search retrieval setups in rounds; returns the log, one row per experiment (eager).
 
-    ``docs``: doc_id, text.  From round 2 on the setups vary the best one so far (earliest
-    on a tie).  A goal judged by a language model is scored by ROUGE instead.
+    ``docs``: doc_id, text.  Every round takes the setups that promise most after all earlier rounds; a setup is
+    tried once.  The description of the collection decides how it is cut into chunks.  A goal judged by a language
+    model is scored by ROUGE instead.  A round without any success is the last one.
     """
     spark = docs.sparkSession
     plan = plan_goal(spark, goal)
     metric = "rouge" if plan["primary_metric"] == "g_eval" else plan["primary_metric"]
-    shared, log, best = Collection(docs, n_questions, seed), [], None
+    shared, log, grid = Collection(docs, n_questions, seed, description), [], search_grid(plan)
 
     def attempt(setup: Setup) -> dict:
         try:
             scores = evaluate(shared, setup)
             return {"status": "completed", "score": float(scores[metric]), "metrics": {k: float(v) for k, v in scores.items()}, "error": None}
         except Exception as error:  # a failed experiment is a result of the round
-            return {"status": "failed", "score": None, "metrics": {}, "error": str(error)[:500]}
+            return {"status": "failed", "score": None, "metrics": {}, "error": str(error)}
 
     for number in range(1, rounds + 1):
-        setups = candidates(plan, number, best, per_round)
+        setups = next_setups(grid, [(setup, row["score"]) for setup, row in log], per_round)
         with ThreadPoolExecutor(parallel) as pool:
             results = list(pool.map(attempt, setups))
-        for setup, row in zip(setups, results):
-            log.append({"round": number, "experiment_id": setup.name, "seq": len(log), "pipeline": setup.pipeline, "top_k": setup.top_k,
-                        "final_top_k": setup.final_top_k, "query_expansion": setup.expansion, "prompt_style": setup.prompt_style,
-                        "primary_metric": metric, **row})
-        scored = [r for r in log if r["score"] is not None]
-        if not any(r["round"] == number for r in scored):
+        for i, (setup, row) in enumerate(zip(setups, results, strict=True), 1):
+            log.append((setup, {"round": number, "experiment_id": f"r{number}_exp{i}", "seq": len(log), "primary_metric": metric, **row}))
+        if not any(row["score"] is not None for row in results):
             break
-        best = max(scored, key=lambda r: (r["score"], -r["seq"]))
-    return spark.createDataFrame([tuple(r.values()) for r in log], """round int, experiment_id string, seq int, pipeline string, top_k int,
-        final_top_k int, query_expansion string, prompt_style string, primary_metric string, status string, score double,
-        metrics map<string,double>, error_summary string""")
+    kind = """round int, experiment_id string, seq int, primary_metric string, status string, score double, metrics map<string,double>, error_summary string,
+        pipeline string, top_k int, fusion_k int, query_expansion string, prompt_style string"""
+    return spark.createDataFrame([(*row.values(), *asdict(setup).values()) for setup, row in log], kind)

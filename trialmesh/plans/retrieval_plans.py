@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialmesh import catalog as fx
 from trialmesh.operators import retrieval as ops
-from trialmesh.operators.rag_rounds import run_rag_rounds
+from trialmesh.operators.rag_rounds import chunk_plan, run_rag_rounds
 from trialmesh.plans.registry import query, rounded
 from trialmesh.session import materialize
 
@@ -66,28 +66,32 @@ def _(t):
     return rounded(ops.vector_topk(_label_centres(t), _vectors(t), 10))
 
 
-@query("vector_topk_lsh")
+@query("vector_topk_lsh", "SELECT label AS qid, true AS scores_are_exact, true AS recall_reached FROM embeddings GROUP BY 1")
 def _(t):
-    return rounded(ops.vector_topk(_label_centres(t), _vectors(t), 10, method="lsh"))
+    """What the approximate search finds has the exact scores, and at least half of the exact list is found."""
+    exact = ops.vector_topk(_label_centres(t), _vectors(t), 10).select("qid", "doc_id", F.col("score").alias("exact"))
+    found = ops.vector_topk(_label_centres(t), _vectors(t), 10, method="lsh").select("qid", "doc_id", "score")
+    both = exact.join(found, ["qid", "doc_id"], "left")
+    same = F.bool_and(F.coalesce(F.abs(F.col("exact") - F.col("score")) < 1e-8, F.lit(True)))
+    return both.groupBy("qid").agg(same.alias("scores_are_exact"), (F.count("score") >= F.count("exact") / 2).alias("recall_reached"))
 
 
-@query("hash_vectors")
+@query("hash_vectors", f"SELECT doc_id, 256 AS dims, CASE WHEN len({TERMS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS squared_norm FROM documents")
 def _(t):
     vectors, _model = ops.hash_vectors(_corpus(t))
     return vectors.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_norm"))
 
 
 @query("rrf_fuse", f"""
-WITH {BM25_SQL}, other AS (SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score / sqrt(n_chars + 1) DESC, doc_id) AS INTEGER) AS rank
-  FROM lexical JOIN documents USING (doc_id)),
-u AS (SELECT qid, doc_id, rank FROM lexical UNION ALL SELECT qid, doc_id, rank FROM other WHERE rank <= 5),
-g AS (SELECT k, qid, doc_id, round(sum(1.0 / (k + rank)), 12) AS score FROM u, (VALUES (10), (45), (80)) ks(k) GROUP BY 1, 2, 3)
+WITH {BM25_SQL}, {VECTOR_SQL},
+u AS (SELECT CAST(qid AS BIGINT) AS qid, doc_id, rank FROM lexical UNION ALL SELECT CAST(qid AS BIGINT), doc_id, rank FROM semantic),
+g AS (SELECT k, qid, doc_id, round(sum(1.0 / (k + rank)), 12) AS score FROM u, (SELECT CAST(unnest(range(10, 81)) AS INTEGER) AS k) GROUP BY 1, 2, 3)
 SELECT k, qid, doc_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY k, qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 5""")
 def _(t):
-    lexical = materialize(_bm25(t), "lexical")
-    other = lexical.join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("s", F.col("score") / F.sqrt(F.col("n_chars") + 1))
-    other = ops.top_rows(other.drop("rank"), ["qid"], [F.col("s").desc(), F.col("doc_id")], 5, "rank")
-    return rounded(ops.rrf_fuse([lexical, other], [10, 45, 80], 5), 9)
+    """A lexical and a vector list of the same query numbers, fused with every constant of the search range."""
+    lexical = _bm25(t).select(F.col("qid").cast("bigint").alias("qid"), "doc_id", "rank")
+    semantic = ops.vector_topk(_label_centres(t), _vectors(t), 10).select(F.col("qid").cast("bigint").alias("qid"), "doc_id", "rank")
+    return rounded(ops.rrf_fuse([lexical, semantic], range(10, 81), 5), 9)
 
 
 @query("expand_queries", f"""
@@ -266,7 +270,21 @@ def _(t):
     return ops.route_problem(t.documents.select("doc_id", "text")).drop("text")
 
 
-@query("run_rag_rounds")
+@query("chunk_plan", """
+WITH d AS (SELECT doc_id, text LIKE '%a%' AS has, lower(coalesce(CASE doc_id % 4 WHEN 0 THEN 'Many TABLES of ' || lang WHEN 1 THEN 'a Diagram' WHEN 2 THEN text END, '')) AS t FROM documents)
+SELECT doc_id, CASE WHEN v THEN 'recursive' ELSE 'token' END AS method, CASE WHEN v THEN 1200 ELSE 1024 END AS size, CASE WHEN v THEN 200 ELSE 128 END AS overlap, true AS add_file_name
+FROM (SELECT doc_id, contains(t, 'table') OR contains(t, 'image') OR contains(t, 'figure') OR contains(t, 'diagram') AS v FROM d)""")
 def _(t):
-    log = run_rag_rounds(t.documents.select("doc_id", "text"), "Stop hallucinations but keep broad coverage", 2, 3)
-    return log.withColumn("metrics", F.to_json("metrics"))
+    described = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Many TABLES of "), "lang")).when(F.col("doc_id") % 4 == 1, "a Diagram").when(F.col("doc_id") % 4 == 2, F.col("text"))
+    return t.documents.select("doc_id", chunk_plan(described).alias("p")).select("doc_id", "p.*")
+
+
+@query("run_rag_rounds", """
+SELECT CAST(n AS INTEGER) AS rounds, CAST(3 * n AS BIGINT) AS experiments, true AS all_differ, true AS all_scored, true AS best_is_maximum
+FROM (SELECT 3 AS n FROM documents HAVING count(*) > 0)""")
+def _(t):
+    log = run_rag_rounds(t.documents.select("doc_id", "text"), "Stop hallucinations but keep broad coverage")
+    setups = F.count_distinct("pipeline", "top_k", "fusion_k", "query_expansion", "prompt_style")
+    best = F.max_by("score", F.struct("score", -F.col("seq")))
+    return log.agg(F.max("round").alias("rounds"), F.count(F.lit(1)).alias("experiments"), (setups == F.count(F.lit(1))).alias("all_differ"),
+                   F.bool_and((F.col("status") == "completed") & F.col("score").between(0, 1)).alias("all_scored"), (best == F.max("score")).alias("best_is_maximum"))
