@@ -53,3 +53,12 @@ def whole_text(column: str = "text") -> Column:
 def in_fold(key: str = "doc_id") -> Column:
     """Whether a row belongs to the held-out fold: crc32 of the id as text, modulo 4, is 2 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
+
+
+def dealt_anew(df: DataFrame, column: str) -> DataFrame:
+    """``df`` in another order of partitions than its grouping left it.
+
+    A join that reuses the partitioning of a grouping cannot be split where the other side has a hot key; after this
+    both sides get a shuffle of their own for the join, and adaptive execution splits it.
+    """
+    return df.repartition(column)

@@ -6,6 +6,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trialmesh.llm.common import dealt_anew
+
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -35,7 +37,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     lines = lines.select("_id", "_version", "_at", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= min_chars)
     lines = lines.select("_id", "_version", "_at", F.unhex(F.md5("_key")).alias("_key"))
     held = lines.select("_key", "_id").distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_keeper"))
-    repeated = held.where(F.col("_docs") >= min_docs).select("_key", "_keeper")
+    repeated = dealt_anew(held.where(F.col("_docs") >= min_docs).select("_key", "_keeper"), "_keeper")
     gone = lines.join(repeated, "_key").where("_id <> _keeper")
     gone = gone.groupBy("_id", "_version").agg(F.collect_set("_at").alias("_gone"))
     found = rows.join(gone, ["_id", "_version"], "left").withColumn("_lines", F.split("_text", "\n", -1))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialmesh.llm.common import map_batches, remove, store, whole_text
+from trialmesh.llm.common import dealt_anew, map_batches, remove, store, whole_text
 from trialmesh.llm.components import components
 from trialmesh.llm.shingles import WordHashes, mixed, set_key, shingle_set
 
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
     entries = classes.select("id", "n", F.explode("bands").alias("key"))
     centres = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("_last"))
     centres = centres.where("c.id < _last").select("key", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"))
-    crowded = keep(entries.join(centres, "key"), "buckets")
+    crowded = keep(entries.join(dealt_anew(centres, "a"), "key"), "buckets")
 
     star = crowded.where("id > a").select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b")).where(_could_link(percent))
     links = _confirm(keep(star.select("a", "b").distinct(), "pairs"), docs, size, percent, used)
