@@ -136,3 +136,20 @@ def test_usage_and_poll(spark):
     page = ev.poll_events(log, 1, 3, "b").collect()
     assert [(r["kind"], r["id"]) for r in page] == [("cursor", 4)]
     assert ev.poll_events(log, 8, 3, "b").first()["id"] == 8
+
+
+def test_metrics_are_rounded_from_their_binary_value(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from trialmesh.functions import text as tx
+    draw = random.Random(9)
+    values = [0.00015, 0.00025, 0.03125, 0.09375, -0.03125, 2.00005, 1e-5, -1e-5, 0.0, 12345678.00005, 0.99995, 99.99995, 1.00345, 5e-5, -0.00015]
+    values += [draw.randrange(10 ** 6) / 20000 * draw.choice([1, -1]) for _ in range(2000)] + [draw.random() for _ in range(200)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", tx.format_metric("v").alias("f"), tx.display_value("v").alias("d")).collect()
+    for r in rows:
+        assert r["f"] == f"{r['v']:.4f}", r["v"]
+        digits = 2 if abs(r["v"]) >= 100 else 4
+        want = f"{Decimal(abs(r['v'])).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP):f}"
+        want = want if digits == 2 else want.rstrip("0").rstrip(".")
+        assert r["d"].lstrip("-") == want, r["v"]

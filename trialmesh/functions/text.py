@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -76,11 +78,32 @@ def normalize_hits(df: DataFrame, size: int = 500, title: str = "Untitled datase
         url_domain("url").alias("domain"))
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text.  Decimals are rendered in generated code; what a decimal cannot show
-    (not a number, infinite, a negative that rounds to zero) goes through the slower formatter."""
-    plain = (F.abs(value) >= 10.0 ** -digits) & (F.abs(value) < 1e15) | (value == 0)
-    return F.when(plain, value.try_cast(f"decimal(38,{digits})").cast("string")).otherwise(F.format_string(f"%.{digits}f", value))
+def _split_double(x: Column) -> tuple[Column, Column]:
+    """A double as the exact sum of two halves whose products are exact."""
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    return high, x - high
+
+
+def _fixed(value: Column, digits: int, ties_up: bool = False) -> Column:
+    """Fixed-point text of the exact binary value, ties to even or away from zero, all in generated code.
+
+    The product with the power of ten is taken exactly, as a double and its error term, so a value just beside a
+    midpoint is not mistaken for one.  What exceeds 15 digits or is not finite goes through the slower formatter.
+    """
+    power, size = float(10 ** digits), F.abs(value)
+    high, low = _split_double(size)
+    power_high, power_low = _split_double(F.lit(power))
+    product = size * power
+    error = ((high * power_high - product) + high * power_low + low * power_high) + low * power_low
+    whole = F.floor(product).cast("double")
+    over = (product - whole) - 0.5
+    tie = F.lit(True) if ties_up else whole % 2 == 1
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & tie)))
+    count = (whole + F.when(up, 1.0).otherwise(0.0)).try_cast("decimal(18,0)")
+    text = (count * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(38,{digits})").cast("string")
+    signed = F.concat(F.when(value < 0, "-").otherwise(""), text)
+    return F.when(size * power < 1e15, signed).otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def format_metric(col: str | Column) -> Column:
@@ -91,8 +114,8 @@ def format_metric(col: str | Column) -> Column:
 def display_value(col: str | Column) -> Column:
     """Two decimals from 100 on, else four with trailing zeros cut; N/A for null."""
     v = _c(col).cast("double")
-    short = F.regexp_replace(_fixed(v, 4), r"\.?0+$", "")
-    return F.when(v.isNull(), "N/A").when(F.abs(v) >= 100, _fixed(v, 2)).otherwise(short)
+    short = F.regexp_replace(_fixed(v, 4, ties_up=True), r"\.?0+$", "")
+    return F.when(v.isNull(), "N/A").when(F.abs(v) >= 100, _fixed(v, 2, ties_up=True)).otherwise(short)
 
 
 # Display names of the known metrics.

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from trialmesh.scale import exact_percentile
+from trialmesh.session import materialize
 
 # Limits per plan; None means unlimited.
 PLAN_LIMITS = {
@@ -100,22 +101,25 @@ def profile_shape(df: DataFrame) -> DataFrame:
         (F.col("missing") / F.greatest(F.col("rows") * width, F.lit(1))).alias("missing_cells_ratio"))
 
 
-def profile_target(df: DataFrame, target: str, top: int = 50) -> DataFrame:
-    """One row per frequent class with the target's type, cardinality, missing ratio and imbalance.
+def profile_target(df: DataFrame, target: str, top: int | None = None) -> DataFrame:
+    """One row per class with the target's type, cardinality, missing ratio and imbalance.
 
-    Imbalance is the largest over the smallest count among the ``top`` classes.  The
-    class table is pre-aggregated and read once more for the totals.
+    Imbalance is the largest over the smallest count of the classes shown.  With ``top`` only the most frequent
+    classes are shown; ``hidden_classes`` and ``hidden_rows`` say what is left out.  The class table is
+    pre-aggregated and read once more for the totals.
     """
     dtype = dict(df.dtypes)[target]
     counts = df.groupBy(F.col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.agg(
         F.count("class").alias("unique_count"),
-        (F.coalesce(F.sum(F.when(F.col("class").isNull(), F.col("n"))), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("missing_ratio"))
-    best = counts.where("class is not null").orderBy(F.col("n").desc(), "class").limit(top)
-    spread = best.agg((F.max("n") / F.min("n")).alias("imbalance_ratio"))
+        (F.coalesce(F.sum(F.when(F.col("class").isNull(), F.col("n"))), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("missing_ratio"),
+        F.coalesce(F.sum(F.when(F.col("class").isNotNull(), F.col("n"))), F.lit(0)).alias("_present"))
+    best = counts.where("class is not null")
+    best = best.orderBy(F.col("n").desc(), "class").limit(top) if top is not None else best
+    spread = best.agg((F.max("n") / F.min("n")).alias("imbalance_ratio"), F.count(F.lit(1)).alias("_shown"), F.sum("n").alias("_rows"))
     return best.join(F.broadcast(totals)).join(F.broadcast(spread)).select(
         F.lit(target).alias("name"), F.lit(dtype).alias("dtype"), "unique_count", "missing_ratio", "class", "n",
-        "imbalance_ratio")
+        "imbalance_ratio", (F.col("unique_count") - F.col("_shown")).alias("hidden_classes"), (F.col("_present") - F.col("_rows")).alias("hidden_rows"))
 
 
 def _column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -184,9 +188,20 @@ def column_schema(df: DataFrame) -> DataFrame:
 
 
 def class_labels(df: DataFrame, label: str) -> DataFrame:
-    """Sorted distinct labels as one array; only distinct labels reach the final task."""
-    return df.select(F.col(label).alias("label")).where("label is not null").distinct().agg(
-        F.sort_array(F.collect_list("label")).alias("labels"))
+    """The distinct labels with their positions from 0 in ascending order: (label, position), one row each.
+
+    Labels are dealt out by ranges and written once (eager); counts per range give where its positions begin, so a
+    column of ids does not meet in one task.
+    """
+    distinct = df.select(F.col(label).alias("label")).where("label is not null").distinct()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = distinct.repartitionByRange(tasks, "label").sortWithinPartitions("label").select(
+        "label", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    placed = materialize(placed, "labels")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = counts.select("_part", before.alias("_begin"))
+    return placed.join(begins, "_part").select("label", (F.col("_begin") + F.col("_at")).alias("position"))
 
 
 def profile_documents(files: DataFrame, supported: Sequence[str]) -> DataFrame:

@@ -180,14 +180,14 @@ _by_value(_block_topk)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, method: str = "exact", max_queries: int = MAX_BROADCAST_QUERIES,
-                block_rows: int = BLOCK_ROWS, tables: int = 6, bits: int = 6) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, tables: int = 8, bits: int = 6) -> DataFrame:
     """Cosine top-k: qid, doc_id, score, rank.  ``queries``: qid, embedding; ``vectors``: doc_id, embedding.
 
     ``exact``: up to ``max_queries`` queries go to every task as one matrix, each Arrow
     batch of vectors is one matrix product and leaves only ``k`` rows per query.  More
     queries than that meet the vectors in blocks of bounded size.  ``lsh`` compares only
-    vectors that share a sign pattern with the query in one of the ``tables``; a crowded
-    pattern is cut into blocks, never dropped.
+    vectors that share a sign pattern with the query, or all but one sign of it, in one of
+    the ``tables``; a crowded pattern is cut into blocks, never dropped.
     """
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["doc_id"]
     schema = f"qid {kinds[0]}, doc_id {kinds[1]}, score double"
@@ -224,18 +224,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, method: str = "e
     planes = np.random.default_rng(42).standard_normal((width, tables * bits))
     weights = 1 << np.arange(bits, dtype="int64")
 
-    def signs(df: DataFrame, key: str) -> DataFrame:
+    def signs(df: DataFrame, key: str, flips: Sequence[int]) -> DataFrame:
         def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 on = np.asarray(batch["embedding"].tolist(), dtype="float64").reshape(len(batch), width) @ planes > 0
                 codes = on.reshape(len(batch), tables, bits) @ weights
-                yield batch.assign(cells=[[f"{t}:{c}" for t, c in enumerate(row)] for row in codes])
+                yield batch.assign(cells=[[f"{t}:{c ^ flip}" for t, c in enumerate(row) for flip in flips] for row in codes])
 
         kinds = dict(df.dtypes)
         coded = df.select(key, "embedding").mapInPandas(code, f"{key} {kinds[key]}, embedding {kinds['embedding']}, cells array<string>")
         return coded.select(key, "embedding", F.explode("cells").alias("cell"))
 
-    v, q = signs(vectors, "doc_id"), signs(queries, "qid")
+    v, q = signs(vectors, "doc_id", [0]), signs(queries, "qid", [0, *weights.tolist()])
     parts_of = v.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     q = q.join(parts_of, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))).withColumn(
         "qpart", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // max_queries)))))

@@ -33,10 +33,10 @@ def filter_rows(df: DataFrame, predicate: Column | Callable[..., pd.Series], col
 
 
 def register_chunk_udtf(spark: SparkSession, name: str = "chunk_text") -> None:
-    """Make ``SELECT … FROM t, LATERAL chunk_text(text, 'token', 512, 64)`` available."""
+    """Make ``SELECT … FROM t, LATERAL chunk_text(text, 'token', 512, 64)`` available; rows travel in Arrow batches."""
     chunkers = pt.CHUNKERS
 
-    @F.udtf(returnType="chunk_index int, contents string")
+    @F.udtf(returnType="chunk_index int, contents string", useArrow=True)
     class ChunkText:
         def eval(self, text: str, method: str, size: int, overlap: int):
             if method not in chunkers:
@@ -52,5 +52,6 @@ def chunk_udtf(df: DataFrame, key: str, method: str, size: int, overlap: int, te
     spark = df.sparkSession
     register_chunk_udtf(spark)
     return spark.sql(
-        f"SELECT d.{key}, c.chunk_index, c.contents FROM {{docs}} d, LATERAL chunk_text(d.{text}, '{method}', {int(size)}, {int(overlap)}) c",
-        docs=df)
+        "SELECT d.key, c.chunk_index, c.contents FROM {docs} d, LATERAL chunk_text(d.text, :method, :size, :overlap) c",
+        args={"method": method, "size": size, "overlap": overlap},
+        docs=df.select(F.col(key).alias("key"), F.col(text).alias("text"))).withColumnRenamed("key", key)

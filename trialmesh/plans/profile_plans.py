@@ -79,10 +79,10 @@ def _(t):
 
 @query("profile_target", f"""
 WITH {fx.CUSTOMER_NULLS_SQL}, c AS (SELECT c_mktsegment AS class, count(*) AS n FROM cust GROUP BY 1),
-best AS (SELECT * FROM c WHERE class IS NOT NULL ORDER BY n DESC, class LIMIT 50)
+best AS (SELECT * FROM c WHERE class IS NOT NULL)
 SELECT 'c_mktsegment' AS name, 'string' AS dtype, (SELECT count(class) FROM c) AS unique_count,
   (SELECT coalesce(sum(n) FILTER (WHERE class IS NULL), 0) / sum(n) FROM c) AS missing_ratio, class, n,
-  (SELECT max(n) / min(n) FROM best) AS imbalance_ratio FROM best""")
+  (SELECT max(n) / min(n) FROM best) AS imbalance_ratio, 0::BIGINT AS hidden_classes, 0::BIGINT AS hidden_rows FROM best""")
 def _(t):
     return ops.profile_target(fx.customer_nulls(t), "c_mktsegment")
 
@@ -114,10 +114,9 @@ def _(t):
                                                          fx.cents("c_acctbal").alias("c_balance"), "c_mktsegment"))
 
 
-@query("class_labels", """
-SELECT string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS labels FROM lineitem""")
+@query("class_labels", "SELECT l_suppkey AS label, row_number() OVER (ORDER BY l_suppkey) - 1 AS position FROM lineitem GROUP BY 1")
 def _(t):
-    return ops.class_labels(t.lineitem, "l_returnflag").select(F.array_join("labels", ",").alias("labels"))
+    return ops.class_labels(t.lineitem, "l_suppkey")
 
 
 @query("profile_documents", """

@@ -89,12 +89,13 @@ LABELS = {"roc_auc": "ROC AUC", "f1": "F1", "log_loss": "Log Loss", "g_eval": "G
 
 
 @query("format_metric", """
-WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE WHEN l_quantity >= 5 THEN l_discount * l_quantity * l_quantity END AS v FROM lineitem)
+WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE WHEN l_quantity >= 5 THEN l_discount * l_quantity * l_quantity / 800 END AS v FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE WHEN v IS NULL THEN 'N/A' ELSE printf('%.4f', v) END AS formatted,
-  CASE WHEN v IS NULL THEN 'N/A' WHEN abs(v) >= 100 THEN printf('%.2f', v) ELSE regexp_replace(regexp_replace(printf('%.4f', v), '0+$', ''), '\\.$', '') END AS display,
+  CASE WHEN v IS NULL THEN 'N/A' WHEN abs(v) >= 100 THEN printf('%.2f', v + CASE WHEN abs(v * 8) % 2 = 1 THEN 1e-4 ELSE 0 END)
+    ELSE regexp_replace(regexp_replace(printf('%.4f', v + CASE WHEN abs(v * 32) % 2 = 1 THEN 1e-6 ELSE 0 END), '0+$', ''), '\\.$', '') END AS display,
   CASE l_linenumber """ + " ".join(f"WHEN {i + 1} THEN '{v}'" for i, v in enumerate(LABELS.values())) + """ END AS label FROM v""")
 def _(t):
-    value = F.when(F.col("l_quantity") >= 5, F.col("l_discount") * F.col("l_quantity") * F.col("l_quantity"))
+    value = F.when(F.col("l_quantity") >= 5, F.col("l_discount") * F.col("l_quantity") * F.col("l_quantity") / 800)
     name = F.element_at(F.array(*[F.lit(k) for k in LABELS]), F.col("l_linenumber"))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", tx.format_metric(value).alias("formatted"),
                              tx.display_value(value).alias("display"), tx.metric_label(name).alias("label"))
