@@ -3,8 +3,8 @@
 Every ``gram`` code points are hashed; of every ``window`` neighbouring hashes the smallest is kept, the rightmost of
 equal ones, with its position.  Two texts that share ``gram + window - 1`` code points in a row share a mark.
 
-A mark is one long: 31 bits of hash above 32 bits that fall as the position grows, so the smallest long of a window is
-the smallest hash at its rightmost place.
+A mark is one long: 32 bits of hash, shifted by 32 places, minus the position, so the smallest long of a window is the
+smallest hash at its rightmost place.
 """
 
 from __future__ import annotations
@@ -17,15 +17,23 @@ _LOW = (1 << 32) - 1
 
 
 def _mark(hashed: Column, at: Column) -> Column:
-    return F.shiftleft(hashed.bitwiseAND((1 << 31) - 1), 32).bitwiseOR(F.lit(_LOW) - at)
+    return F.shiftleft(hashed, 32) - at
+
+
+def _hash_of(mark: Column) -> Column:
+    return F.shiftright(mark + _LOW, 32)
+
+
+def _place_of(mark: Column) -> Column:
+    return F.negative(mark).bitwiseAND(_LOW)
 
 
 def mark_hashes(marks: Column) -> Column:
-    return F.transform(marks, lambda m: F.shiftright(m, 32))
+    return F.transform(marks, _hash_of)
 
 
 def positions(marks: Column) -> Column:
-    return F.transform(marks, lambda m: F.lit(_LOW) - m.bitwiseAND(_LOW))
+    return F.transform(marks, _place_of)
 
 
 def _held(value: Column, use) -> Column:
@@ -38,33 +46,29 @@ def _hashed(gram: int):
     def of(code: Column) -> Column:
         count = (F.octet_length(code) / 4).cast("int") - (gram - 1)
         return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1),
-                                             lambda i: _mark(F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * gram))), i.cast("long")))).when(
-            F.octet_length(code) > 0, F.array(_mark(F.xxhash64(code), F.lit(0).cast("long")))).otherwise(F.array().cast("array<long>"))
+                                             lambda i: _mark(F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * gram))), i))).when(
+            F.octet_length(code) > 0, F.array(_mark(F.xxhash64(code), F.lit(0)))).otherwise(F.array().cast("array<long>"))
     return of
 
 
 def _smallest(step: int):
-    """Minima over four places that lie ``step`` apart; a list too short for that is left as it is."""
-    def of(marks: Column) -> Column:
-        last = F.size(marks) - 1 - 3 * step
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.least(*[marks[i + j * step] for j in range(4)]))).otherwise(marks)
-    return of
+    """Minima over two places that lie ``step`` apart; at the end, where there is one only, that one."""
+    return lambda marks: F.zip_with(marks, F.slice(marks, step + 1, F.size(marks)), lambda x, y: F.least(x, y))
 
 
 def add_marks(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Add the marks of column ``text`` (not null) in the order of their positions.
 
     A text shorter than ``gram`` is hashed as a whole; one too short for a window keeps its smallest hash; an empty
-    text has no mark.  ``window`` is a power of four: minima over 4, 16, 64 neighbours take one pass each.
+    text has no mark.  ``window`` is a power of two: minima over 2, 4, 8 ... neighbours take one pass each.
     """
-    steps = [4 ** i for i in range(window.bit_length() // 2)]
-    if 4 ** len(steps) != window:
-        raise ValueError("window must be a power of four")
-    marks = _held(F.encode(F.col(text), "UTF-32"), _hashed(gram))
-    marks = _held(marks, lambda m: F.when((F.size(m) < window) & (F.size(m) > 0), F.array(F.array_min(m))).otherwise(m))
-    for step in steps:
-        marks = _held(marks, _smallest(step))
-    return df.withColumn(out, F.array_distinct(marks))
+    if window & (window - 1) or window < 2:
+        raise ValueError("window must be a power of two")
+    marks, step = _held(F.encode(F.col(text), "UTF-32"), _hashed(gram)), 1
+    while step < window:
+        marks, step = _held(marks, _smallest(step)), step * 2
+    whole = _held(marks, lambda m: F.slice(m, 1, F.greatest(F.size(m) - (window - 1), F.lit(1))))  # windows that are whole
+    return df.withColumn(out, F.array_distinct(whole))
 
 
 def _until(marks: Column, last: Column, window: int) -> Column:
@@ -72,11 +76,9 @@ def _until(marks: Column, last: Column, window: int) -> Column:
 
     A mark is first chosen either when it enters a window as the new minimum, or when the one before it has left.
     """
-    at = lambda m: F.lit(_LOW) - m.bitwiseAND(_LOW)
-
     def first(m: Column, i: Column) -> Column:
         before = marks[i - 1]
-        return F.when(i == 0, F.lit(0)).when(m < before, F.greatest(at(m) - (window - 1), F.lit(0))).otherwise(at(before) + 1)
+        return F.when(i == 0, F.lit(0)).when(m < before, F.greatest(_place_of(m) - (window - 1), F.lit(0))).otherwise(_place_of(before) + 1)
     return F.filter(marks, lambda m, i: first(m, i) <= last)
 
 
@@ -89,7 +91,7 @@ def likeness(left: Column, right: Column) -> Column:
 
 def as_string(marks: Column) -> Column:
     """The hashes as 8 hexadecimal digits each, in the order of the text."""
-    return F.array_join(F.transform(marks, lambda m: F.lpad(F.hex(F.shiftright(m, 32)), 8, "0")), "")
+    return F.array_join(F.transform(marks, lambda m: F.lpad(F.hex(_hash_of(m).bitwiseAND(_LOW)), 8, "0")), "")
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -141,13 +143,14 @@ def against_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     n = F.length("text")
     every = every.withColumn("n_chars", n.cast("long")).withColumn("_cut", F.floor(n / 2).cast("int"))
     every = every.withColumn("_left", F.expr("left(text, n_chars - _cut)")).withColumn("_right", F.expr("left(_next.text, _cut)"))
-    left, right = F.length("_left"), F.length("_right")
+    every = every.withColumn("_n_left", F.length("_left")).withColumn("_n_right", F.length("_right"))  # not once per mark
+    left, right = F.col("_n_left"), F.col("_n_right")
     short = left + right < span
     every = every.withColumn("_seam", F.when(short, F.concat("_left", "_right")).otherwise(
         F.concat(F.expr(f"right(_left, {span - 1})"), F.expr(f"left(_right, {span - 1})"))))
     every = add_marks(every, "_seam", "_across", gram, window)
-    moved = lambda marks, by: F.transform(marks, lambda m: m - by)
-    across = F.when(F.length("_seam") >= span, moved(F.col("_across"), F.greatest(left - (span - 1), F.lit(0)))).otherwise(F.array().cast("array<long>"))
+    moved = lambda marks, by: F.transform(marks, lambda m: m - by)  # noqa: E731  a mark falls as its place grows
+    across = F.when(~short, moved(F.col("_across"), F.greatest(left - (span - 1), F.lit(0)))).otherwise(F.array().cast("array<long>"))
     joined = F.array_distinct(F.concat(_until(F.col("marks"), left - span, window), across,
                                        moved(_until(F.col("_next.marks"), right - span, window), left)))
     every = every.withColumn("_edited", F.when(short, F.col("_across")).otherwise(joined))
