@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-GRAM, WINDOW = 8, 16
+GRAM, WINDOW = 8, 32
 _LOW = (1 << 32) - 1
 
 
@@ -83,15 +83,16 @@ def _until(marks: Column, last: Column, window: int) -> Column:
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Shared hashes over all hashes of two mark lists; two empty ones are alike."""
-    a, b = mark_hashes(left), mark_hashes(right)
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    """Shared over all hashes of two lists of distinct hashes; two empty ones are alike."""
+    def of(both: Column) -> Column:
+        either = F.size(left) + F.size(right) - both
+        return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    return _held(F.size(F.array_intersect(left, right)), of)
 
 
 def as_string(marks: Column) -> Column:
-    """The hashes as 8 hexadecimal digits each, in the order of the text."""
-    return F.array_join(F.transform(marks, lambda m: F.lpad(F.hex(_hash_of(m).bitwiseAND(_LOW)), 8, "0")), "")
+    """The hashes as decimal numbers, in the order of the text."""
+    return F.array_join(mark_hashes(marks).cast("array<string>"), " ")
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -137,9 +138,9 @@ def against_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
         heads = rows.join(F.broadcast(small), (rows["doc_id"].eqNullSafe(small["doc_id"])) & (rows["_cell"] == small["_cell"]) & (rows["_null"] == small["_null"]))
         heads = heads.select(rows["doc_id"], "text", F.col("_to").alias("_cell"), F.col("_to_null").alias("_null"))
     every = rows.withColumn("_head", F.lit(False)).unionByName(heads.withColumn("_head", F.lit(True))).repartition(tasks, "_null", "_cell")
-    every = add_marks(every, "text", "marks", gram, window)
+    every = add_marks(every, "text", "marks", gram, window).withColumn("_hashes", F.array_distinct(mark_hashes(F.col("marks"))))
     following = W.partitionBy("_null", "_cell").orderBy("_head", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    every = every.withColumn("_next", F.lead(F.struct("text", "marks")).over(following)).where("NOT _head")
+    every = every.withColumn("_next", F.lead(F.struct("text", "marks", "_hashes")).over(following)).where("NOT _head")
     n = F.length("text")
     every = every.withColumn("n_chars", n.cast("long")).withColumn("_cut", F.floor(n / 2).cast("int"))
     every = every.withColumn("_left", F.expr("left(text, n_chars - _cut)")).withColumn("_right", F.expr("left(_next.text, _cut)"))
@@ -154,7 +155,8 @@ def against_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     joined = F.array_distinct(F.concat(_until(F.col("marks"), left - span, window), across,
                                        moved(_until(F.col("_next.marks"), right - span, window), left)))
     every = every.withColumn("_edited", F.when(short, F.col("_across")).otherwise(joined))
+    every = every.withColumn("_edited_hashes", F.array_distinct(mark_hashes(F.col("_edited"))))
     return every.select(
         "doc_id", "n_chars", F.sha2(F.concat("_left", "_right"), 256).alias("edited_sha256"), as_string(F.col("marks")).alias("fingerprint"),
-        as_string(F.col("_edited")).alias("edited_fingerprint"), likeness(F.col("marks"), F.col("_edited")).alias("near_edited"),
-        likeness(F.col("marks"), F.col("_next.marks")).alias("near_next"), F.size("marks").cast("long").alias("n_marks"))
+        as_string(F.col("_edited")).alias("edited_fingerprint"), likeness(F.col("_hashes"), F.col("_edited_hashes")).alias("near_edited"),
+        likeness(F.col("_hashes"), F.col("_next._hashes")).alias("near_next"), F.size("marks").cast("long").alias("n_marks"))
