@@ -22,7 +22,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialmesh.operators.tabular import bag_folds, binary_metrics, calibrate_threshold, multiclass_metrics, regression_metrics, split_holdout
-from trialmesh.session import materialize
+from trialmesh.session import materialize, scratch
 
 HASHED_SLOTS = 16
 BINARY, MULTICLASS, REGRESSION = "binary_classification", "multiclass_classification", "regression"
@@ -408,24 +408,24 @@ def run_rounds(df: DataFrame, features: Sequence[str], label: str, task: str, me
             for f in own:
                 part = scores(f, bag_folds + cycle - 1 if cycle else 0).withColumnRenamed("score", f)
                 rows = part if rows is None else rows.join(part.select(key, f), key)
-            rows = materialize(rows, "level")
-            if plan["ensemble"] and task != MULTICLASS:
-                weights = weighted_ensemble(rows.where("side = 'validation'"), own, label, "root_mean_squared_error" if task == REGRESSION else "log_loss")
-            elif plan["ensemble"]:
-                weights = {f: 1 / len(own) for f in own}
-            else:
-                weights = {min(own, key=lambda f: (loss(rows, F.col(f)), own.index(f))): 1.0}
-            mixed = rows.withColumn("score", _mean([F.col(f) for f in weights], task, list(weights.values())))
-            threshold = 0.5
-            if plan["calibrate"] and task == BINARY:
-                threshold = calibrate_threshold(mixed.where("side = 'validation'"), label, "f1").first()["threshold"]
-            held = mixed.where("side = 'holdout'")
-            if task == MULTICLASS:
-                names = F.array(*[F.lit(c) for c in scores.classes])
-                held = held.withColumn("prediction", F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")))
-            values = _evaluate(held, label, task, threshold)
-            second = {k: float(v) for k, v in values.items() if k != metric} | {"validation_loss": float(loss(mixed, F.col("score")))}
-            return (*head, "completed", metric, float(values[metric]), second, None)
+            with scratch(rows, "level") as rows:
+                if plan["ensemble"] and task != MULTICLASS:
+                    weights = weighted_ensemble(rows.where("side = 'validation'"), own, label, "root_mean_squared_error" if task == REGRESSION else "log_loss")
+                elif plan["ensemble"]:
+                    weights = {f: 1 / len(own) for f in own}
+                else:
+                    weights = {min(own, key=lambda f: (loss(rows, F.col(f)), own.index(f))): 1.0}
+                mixed = rows.withColumn("score", _mean([F.col(f) for f in weights], task, list(weights.values())))
+                threshold = 0.5
+                if plan["calibrate"] and task == BINARY:
+                    threshold = calibrate_threshold(mixed.where("side = 'validation'"), label, "f1").first()["threshold"]
+                held = mixed.where("side = 'holdout'")
+                if task == MULTICLASS:
+                    names = F.array(*[F.lit(c) for c in scores.classes])
+                    held = held.withColumn("prediction", F.element_at(names, F.array_position("score", F.array_max("score")).cast("int")))
+                values = _evaluate(held, label, task, threshold)
+                second = {k: float(v) for k, v in values.items() if k != metric} | {"validation_loss": float(loss(mixed, F.col("score")))}
+                return (*head, "completed", metric, float(values[metric]), second, None)
         except Exception as error:  # a failed experiment is a result of the round
             return (*head, "failed", metric, None, {}, str(error))
 

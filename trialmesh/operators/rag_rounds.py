@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialmesh.functions.config import EXPANSIONS, PIPELINES, goal_to_metric
 from trialmesh.operators import retrieval as rt
 from trialmesh.operators.chunking import build_corpus, chunk_recursive, chunk_token
-from trialmesh.session import materialize
+from trialmesh.session import materialize, scratch
 
 # Words of a description that call for chunks with more overlap, and the two ways of chunking.
 VISUAL_WORDS = ("table", "tables", "image", "images", "figure", "figures", "diagram")
@@ -121,15 +121,15 @@ class Collection:
 
 def evaluate(collection: Collection, setup: Setup) -> dict:
     """Retrieval metrics of a setup, ROUGE-1 of the answers it extracts, and the mean length of its prompts."""
-    hits = materialize(collection.retrieve(setup), "hits")
-    passages = hits.join(collection.corpus.select("doc_id", "contents"), "doc_id").join(collection.qa.select("qid", "query"), "qid")
-    answers = rt.extract_answers(passages)
-    pairs = answers.select("qid", F.col("answer").alias("candidate")).join(
-        collection.qa.select("qid", F.col("generation_gt").alias("reference")), "qid")
-    scores = rt.retrieval_metrics(hits, collection.qrels).first().asDict()
-    scores["rouge"] = rt.rouge(pairs, ["qid"], ["rouge1"]).agg(F.avg("rouge1")).first()[0] or 0.0
-    scores["prompt_chars"] = rt.make_prompts(passages, setup.prompt_style).agg(F.avg(F.char_length("prompt"))).first()[0] or 0.0
-    return scores
+    with scratch(collection.retrieve(setup), "hits") as hits:
+        passages = hits.join(collection.corpus.select("doc_id", "contents"), "doc_id").join(collection.qa.select("qid", "query"), "qid")
+        answers = rt.extract_answers(passages)
+        pairs = answers.select("qid", F.col("answer").alias("candidate")).join(
+            collection.qa.select("qid", F.col("generation_gt").alias("reference")), "qid")
+        scores = rt.retrieval_metrics(hits, collection.qrels).first().asDict()
+        scores["rouge"] = rt.rouge(pairs, ["qid"], ["rouge1"]).agg(F.avg("rouge1")).first()[0] or 0.0
+        scores["prompt_chars"] = rt.make_prompts(passages, setup.prompt_style).agg(F.avg(F.char_length("prompt"))).first()[0] or 0.0
+        return scores
 
 
 def run_rag_rounds(docs: DataFrame, goal: str, rounds: int = 3, per_round: int = 3, n_questions: int = 24, seed: int = 42,

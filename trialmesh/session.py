@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,7 +41,10 @@ def build_session(app: str = "trialmesh", master: str | None = None, shuffle_par
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    In local mode without that setting a temporary one, which goes when the process ends.
+    """
     global _fallback_folder
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -46,6 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if _fallback_folder is None:
         _fallback_folder = tempfile.mkdtemp(prefix="trialmesh-")
+        atexit.register(shutil.rmtree, _fallback_folder, ignore_errors=True)
     return _fallback_folder
 
 
@@ -61,6 +69,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder through the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(df: DataFrame, name: str = "stage") -> Iterator[DataFrame]:
+    """``df`` written to the shared folder for the length of a block, for steps that finish inside it."""
+    path = new_path(df.sparkSession, name)
+    try:
+        df.write.mode("overwrite").parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_path(df.sparkSession, path)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than ``max_rows + 1``."""
     return df.limit(max_rows + 1).count() <= max_rows
