@@ -105,14 +105,28 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs, ["doc_id", "text"], listed, "id long, shingles array<long>")
 
 
+def likely(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in column ``doc_id`` of ``ids``, and a few more; no text moves.
+
+    Ids set bits of a map of ``2 ** bits`` places, 64 to a row, so what is broadcast is at most 2 ** 18 rows of two
+    longs whatever the input's size.  With very many ids the map fills up and more rows pass.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    marked = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias("_bits"))
+    placed = docs.withColumn("_p", place)
+    held = placed.join(F.broadcast(marked), F.shiftright(F.col("_p"), 6) == F.col("_word"))
+    return held.where(F.expr("shiftright(_bits, CAST(_p & 63 AS INT)) & 1 = 1")).select(*docs.columns)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Sets are built again from the texts of the documents that occur in a pair; no other text moves.
+    Sets are built again from the texts of the documents that occur in a pair; only the sets move.
     """
     spark = pairs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets, path = store(full_sets(docs.join(ids, "doc_id", "left_semi"), size), "sets")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets, path = store(full_sets(likely(docs, ids), size), "sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a")), "a")
     common = F.size(F.array_intersect("_a", "_b"))
@@ -193,7 +207,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
         if rest.isEmpty():
             break
         if sketched is None:
-            some = docs.join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            some = likely(docs, rest.select(F.col("id").alias("doc_id")))
             sketched = keep(wide_sketches(some, size).groupBy("id").agg(F.min("bits").alias("bits")), "sketches")
         slot = F.pmod(F.xxhash64("label"), F.lit(fan))
         chosen = keep(rest.groupBy("key", slot.alias("_slot")).agg(F.min("id").alias("id")).select("id").distinct(), "centres")
