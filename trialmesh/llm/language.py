@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from trialmesh.llm.common import in_fold, map_batches, whole_text
+from trialmesh.llm.common import in_fold, map_batches, store
 
 PROFILE = 300
 SPACE = 32
@@ -50,10 +50,11 @@ def profiles(docs: DataFrame, size: int = PROFILE, per_language: int = 10_000) -
     """(lang, gram, place): the ``size`` most frequent n-grams of each language of documents outside the held-out fold.
 
     At most about ``per_language`` documents of a language are read for it, chosen by the hash of their ids: the
-    stated bound of the training sample.  Counts are added up per group of documents, then over groups.
+    stated bound of the training sample.  The shares (a row per language) are written first, so the planner knows
+    their size and no text moves by language.  Counts are added up per group of documents, then over groups.
     """
     train = docs.where(~in_fold() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    share = train.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share"))
+    share, _ = store(train.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share")), "shares")
     chosen = train.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
