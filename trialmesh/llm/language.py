@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
@@ -14,10 +12,14 @@ PROFILE = 300
 SPACE = 32
 
 
-@lru_cache
+_TABLES: dict[str, np.ndarray] = {}  # not lru_cache, which would be looked up by name where the package is not installed
+
+
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    if "letters" not in _TABLES:
+        _TABLES["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _TABLES["letters"]
 
 
 def grams(text: str) -> np.ndarray:

@@ -10,8 +10,6 @@ sketch of one bit a bin drops pairs that are clearly below the similarity before
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,11 +22,15 @@ BINS, ROWS = 128, 4
 WIDE = 4096
 
 
-@lru_cache
+_ORDERS: dict[int, np.ndarray] = {}  # not lru_cache, which would be looked up by name where the package is not installed
+
+
 def _donors(bins: int) -> np.ndarray:
     """For each bin, all bins in an order of its own."""
-    rng = np.random.default_rng(17)
-    return np.stack([rng.permutation(bins).astype(np.int16) for _ in range(bins)])
+    if bins not in _ORDERS:
+        rng = np.random.default_rng(17)
+        _ORDERS[bins] = np.stack([rng.permutation(bins).astype(np.int16) for _ in range(bins)])
+    return _ORDERS[bins]
 
 
 def sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
