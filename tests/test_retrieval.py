@@ -181,3 +181,28 @@ def test_rag_rounds(spark):
     log = rag_rounds.run_rag_rounds(df.withColumnRenamed("contents", "text"), "Less noise", 2, 2, n_questions=6).collect()
     assert [(r["round"], r["status"]) for r in log] == [(1, "completed"), (1, "completed"), (2, "completed"), (2, "completed")], log
     assert {r["primary_metric"] for r in log} == {"retrieval_precision"}
+
+
+def test_lsh_finds_nine_of_ten_neighbours_of_every_query(spark):
+    m, df = vectors(spark, n=600, dims=64, seed=5)
+    q = df.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    lists = [{}, {}]
+    for found, method in zip(lists, ("exact", "lsh")):
+        for r in rt.vector_topk(q, df, 10, method=method).collect():
+            found.setdefault(r["qid"], {})[r["doc_id"]] = r["score"]
+    exact, near = lists
+    assert set(exact) == set(near) == set(range(0, 600, 20))
+    assert all(len(exact[i].keys() & near[i].keys()) >= 9 for i in exact)
+    assert all(near[i][d] == pytest.approx(exact[i][d], abs=1e-9) for i in exact for d in exact[i].keys() & near[i].keys())
+
+
+def test_vector_queries_take_every_twentieth_row_and_give_recall(spark):
+    from trialmesh.plans import all_plans
+    found = all_plans().QUERIES["vector_topk_lsh_rows"](spark, "/root/testdata/sf0.001").collect()
+    exact = all_plans().QUERIES["vector_topk_rows"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["qid"] for r in found} == {r["qid"] for r in exact} == set(range(0, 500, 20))
+    right = {(r["qid"], r["doc_id"]) for r in exact}
+    for i in range(0, 500, 20):
+        mine = [r for r in found if r["qid"] == i]
+        recall = sum((i, r["doc_id"]) in right for r in mine) / 10
+        assert recall >= 0.9 and all(r["recall"] == pytest.approx(recall) for r in mine)
