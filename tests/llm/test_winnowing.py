@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+from trialmesh.llm.queries import QUERIES
 from trialmesh.llm.winnowing import against_next, fingerprints
 
 
@@ -65,3 +67,17 @@ def test_empty_table_single_row_null_ids_and_repeats(spark, docs_of):
 def test_main_path_is_native(docs_of):
     plan = against_next(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_marks_every_run_of_23_code_points(spark, docs_of, tmp_path):
+    draw = random.Random(9)
+    made = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for i in range(0, 120, 2):
+        run = made(23)
+        rows += [(i, made(60) + run + made(60)), (i + 1, made(70) + run + made(50))]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["fingerprint"].split() for r in QUERIES["op7_fingerprints"](spark, str(tmp_path)).collect()}
+    assert all(set(found[i]) & set(found[i + 1]) for i in range(0, 120, 2))
+    for (i, _), h in zip(rows, gram_hashes(spark, [t for _, t in rows], 8)):
+        assert found[i] == [str(h[at]) for at in brute(h, 16)], i
