@@ -81,3 +81,14 @@ def test_query_marks_every_run_of_23_code_points(spark, docs_of, tmp_path):
     assert all(set(found[i]) & set(found[i + 1]) for i in range(0, 120, 2))
     for (i, _), h in zip(rows, gram_hashes(spark, [t for _, t in rows], 8)):
         assert found[i] == [str(h[at]) for at in brute(h, 16)], i
+
+
+def test_long_texts_followed_by_empty_ones(spark, docs_of):
+    draw = random.Random(4)
+    rows = [(i, "" if i % 2 else "".join(draw.choice("abcdefgh ") for _ in range(draw.randint(77, 160)))) for i in range(1200)]
+    rows = [(i + 1 if i % 2 == 0 else i - 1, t) for i, t in rows]  # every text before an empty one in the order of falling ids
+    for window in (16, 32):
+        got = {r["doc_id"]: r["edited_fingerprint"] for r in against_next(docs_of(rows), window=window).collect()}
+        kept = [(i, t[:len(t) - len(t) // 2]) for i, t in rows]
+        direct = {r["doc_id"]: r["fingerprint"] for r in fingerprints(docs_of([r for r in kept if r[1]]), window=window).collect()}
+        assert len(direct) == 600 and {i: got[i] for i in direct} == direct

@@ -123,7 +123,7 @@ def against_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 
     Documents are dealt out once, by ranges of doc_id; into every range goes a copy of the first row of the following
     one.  Marks are computed once per text: those of an edited text are the ones that windows inside its two parts
-    choose, and those of the few windows across the seam.
+    choose, and those of the few windows across the seam; without a right part there is no seam.
     """
     spark, span = docs.sparkSession, gram + window - 1
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -151,7 +151,7 @@ def against_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
         F.concat(F.expr(f"right(_left, {span - 1})"), F.expr(f"left(_right, {span - 1})"))))
     every = add_marks(every, "_seam", "_across", gram, window)
     moved = lambda marks, by: F.transform(marks, lambda m: m - by)  # noqa: E731  a mark falls as its place grows
-    across = F.when(~short, moved(F.col("_across"), F.greatest(left - (span - 1), F.lit(0)))).otherwise(F.array().cast("array<long>"))
+    across = F.when(~short & (right > 0), moved(F.col("_across"), F.greatest(left - (span - 1), F.lit(0)))).otherwise(F.array().cast("array<long>"))
     joined = F.array_distinct(F.concat(_until(F.col("marks"), left - span, window), across,
                                        moved(_until(F.col("_next.marks"), right - span, window), left)))
     every = every.withColumn("_edited", F.when(short, F.col("_across")).otherwise(joined))
