@@ -77,3 +77,12 @@ def test_leaks_equal_comparing_everything(spark, docs_of):
     kept = dc.decontaminated(docs_of(rows), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == docs_of(rows).columns
     assert dc.leaks(docs_of([]), bench).count() == 0 and dc.leaks(docs_of(rows), bench.limit(0)).count() == 0
+
+
+def test_short_items_are_found_exactly_between_words(spark, docs_of):
+    rows = [(1, "is it the Red \n fox?"), (2, "the red foxes"), (3, "red fxo"), (4, "ired fox, then red fox"), (5, "x (b) y"), (6, None), (7, "forty two")]
+    bench = spark.createDataFrame([(20, "red fox"), (21, "(b)"), (22, "forty     " + " " * 20 + " two"), (23, "  "), (24, None)], "item_id long, text string")
+    got = dc.leaks(docs_of(rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["distance"], r["allowed"]) for r in got) == [
+        (1, 20, 10, 19, 0, 0), (4, 20, 15, 22, 0, 0), (5, 21, 2, 5, 0, 0), (7, 22, 0, 9, 0, 0)]
+    assert sorted(r["doc_id"] for r in dc.decontaminated(docs_of(rows), bench).collect()) == [2, 3, 6]

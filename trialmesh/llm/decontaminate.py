@@ -83,12 +83,19 @@ def occurrence(item: str, text: str, edits: int) -> tuple[int, int, int] | None:
     return best, end - length, end
 
 
+def between_words(text: str, start: int, end: int) -> bool:
+    """Whether the part cuts no word of ``text`` at its ends."""
+    joined = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not joined(start) and not joined(end)
+
+
 class Matcher:
     """All pieces of a bounded block of items as one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int, min_chars: int = 20):
         import ahocorasick
-        self.items = [(number, item, budget(len(item), rate, min_piece)) for number, item in items]
+        self.items = [(number, item, budget(len(item), rate, min_piece) if len(item) >= min_chars else 0) for number, item in items]
+        self.short = {at for at, (_, item, _) in enumerate(self.items) if len(item) < min_chars}
         owners = defaultdict(list)
         for at, (_, item, edits) in enumerate(self.items):
             for offset, piece in pieces(item, edits):
@@ -108,6 +115,8 @@ class Matcher:
         starts = defaultdict(set)
         for end, (size, owners) in self.search.iter(plain):
             for at, offset in owners:
+                if at in self.short and (at in starts or not between_words(plain, end - size + 1, end + 1)):
+                    continue
                 starts[at].add(end - size + 1 - offset)
         found, origin = [], None
         for at, begun in sorted(starts.items()):
@@ -129,14 +138,14 @@ class Matcher:
         return found
 
 
-def _matched(known: list[tuple[int, str]], rate: float, min_piece: int):
+def _matched(known: list[tuple[int, str]], rate: float, min_piece: int, min_chars: int):
     """The search of one block of items over an Arrow array; the automaton is built once a task."""
     made: list[Matcher] = []
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32()), ("allowed", pa.int32())]))
 
     def matched(texts):
         if not made:
-            made.append(Matcher(known, rate, min_piece))
+            made.append(Matcher(known, rate, min_piece, min_chars))
         return pa.array([made[0](t) for t in texts.to_pylist()], kind)
     matched.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return matched
@@ -149,18 +158,17 @@ def add_matches(docs: DataFrame, benchmark: DataFrame, out: str = "matches", rat
     Items and texts are compared in lower case with white space as one space.  The item set is the query: it is read
     in blocks of about ``block_chars`` characters, each of which travels with the tasks of one expression, so a larger
     benchmark costs more passes over a text in its task and no more memory than two blocks.
-    Items of fewer than ``min_chars`` characters cannot be told from chance and are not searched.
+    Items of fewer than ``min_chars`` characters are searched without edits, and only where they cut no word.
     Null or empty text and null items: no match.  Repeated items are reported each under its id.  All columns of
     ``docs`` are passed on, ``out`` is replaced.
     """
-    items = benchmark.where(F.length("text") >= min_chars).select("item_id", "text")
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     columns = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        known = [(r["item_id"], item) for r in own if len(item := normalized(r["text"])) >= min_chars]
-
-        columns.append(F.arrow_udf(_matched(known, rate, min_piece), MATCHES)(whole_text()))
+        known = [(r["item_id"], item) for r in own if (item := normalized(r["text"]))]
+        columns.append(F.arrow_udf(_matched(known, rate, min_piece, min_chars), MATCHES)(whole_text()))
     return docs.withColumn(out, F.concat(*columns) if len(columns) > 1 else columns[0])
 
 
