@@ -202,7 +202,7 @@ def _classes(train: DataFrame, label: str, task: str) -> list[str]:
 
 
 def fit_family(train: DataFrame, features: Sequence[str], label: str, task: str, family: str, params: dict | None = None) -> Fitted:
-    """Fit one family (eager)."""
+    """Fit one family (eager).  KNN reads the numeric features only; text and boolean ones are left out, none left is an error."""
     classes = _classes(train, label, task)
     if task == REGRESSION:
         target = F.col(label).cast("double")
