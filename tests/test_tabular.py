@@ -42,6 +42,18 @@ def test_split_edges(spark):
     assert sides(table(spark, 41), "t", "regression").where("side = 'holdout'").count() == 11
 
 
+@pytest.mark.parametrize("n, train, holdout", [(0, 0, 0), (1, 1, 1), (7, 7, 7), (8, 6, 2)])
+def test_split_of_few_rows(spark, n, train, holdout):
+    for label, task in (("y", "binary_classification"), ("t", "regression")):
+        out = sides(table(spark, 8).where(F.substring("key", 2, 9).cast("int") < n), label, task)
+        assert {r["side"]: r["count"] for r in out.groupBy("side").count().collect()} == {k: v for k, v in (("train", train), ("holdout", holdout)) if v}
+
+
+def test_split_of_few_rows_plain(spark):
+    out = tb.split_holdout(table(spark, 7).withColumn("y", F.lit(None).cast("int")), "y", "binary_classification", "key", whole_below=0)
+    assert {r["side"]: r["count"] for r in out.groupBy("side").count().collect()} == {"train": 5, "holdout": 2}
+
+
 def test_split_many_buckets(spark, monkeypatch):
     df = table(spark, 300)
     one = {r["key"]: r["side"] for r in sides(df, "k", "multiclass_classification").collect()}

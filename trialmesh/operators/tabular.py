@@ -15,14 +15,14 @@ BUCKET_ROWS = 100_000
 
 
 def split_holdout(df: DataFrame, label: str, task: str, key: str, seed: int = 42, frac: float = 0.25,
-                  whole_below: int = 0) -> DataFrame:
+                  whole_below: int = 8) -> DataFrame:
     """Add ``side`` (train / holdout): ``ceil(frac · n)`` rows held out, in md5 order of the key.
 
     Stratified for a classification with more than one class when every class (null is
     one) has two rows and both sides can hold all classes; quotas by largest remainder.
-    With ``whole_below`` (off by default) a table of fewer rows has every row on both sides.  Rows are counted per class and hash
-    prefix; only rows with the prefix at the quota's edge are sorted, so the table
-    itself is never shuffled.  The counts per class and prefix are written first (eager).
+    A table of fewer than ``whole_below`` rows has every row on both sides; 0 asks for the plain split
+    at every size.  Rows are counted per class and hash prefix; only rows with the prefix at the quota's
+    edge are sorted, so the table itself is never shuffled.  The counts per class and prefix are written first (eager).
     """
     classify = task in ("binary_classification", "multiclass_classification")
     total = df.count()
