@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trialmesh.session import new_path
 
 
-SLICE = 200
+SLICE, SLICE_BYTES = 200, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,45 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
     return df.select(*columns).mapInArrow(each, schema)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; its Python worker lives on for later tasks."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of strings; at least one row each."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(total), 0
+    while start < batch.num_rows:
+        past = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right"))
+        end = min(max(past, start + 1), start + rows, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def map_slices(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+               rows: int = SLICE, size: int = SLICE_BYTES) -> DataFrame:
+    """``map_batches`` with slices that are bounded in bytes as well; the task's memory is given back when it ends."""
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for part in slices(batch, rows, size):
+                    yield fn(part)
+        finally:
+            release()
+    return df.select(*columns).mapInArrow(each, schema)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
