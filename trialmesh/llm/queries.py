@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialmesh.llm import byte_bpe, decontaminate, fill_middle, filter_audit, language, line_dedup, main_text, minhash, quality, token_counts, warc, winnowing
+from trialmesh.llm import byte_bpe, context_tree, decontaminate, fill_middle, filter_audit, language, line_dedup, main_text, minhash, quality, token_counts, warc, winnowing
 from trialmesh.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                         F.sha2(fill_middle.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+@query("op13_lm_score")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_texts(table(spark, sf_dir, "documents"))
