@@ -34,7 +34,7 @@ def test_stages_equal_a_plain_version(spark, small):
     want = [(i, lines[i][2]) for i, _ in want]
     groups = {i: c for i, _, c in brute(want, 5, 80)}
     want = [(i, t) for i, t in want if groups[i] == i]
-    want = [(i, t) for i, t in want if not t or edit_distance(item, dc.normalized(t)) > dc.budget(len(item), 0.05, 12)]
+    want = [(i, t) for i, t in want if not t or edit_distance(item, dc.normalized(t)) > dc.budget(len(item), 0.05)]
     steps = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         steps = stage(spark, steps, folder)

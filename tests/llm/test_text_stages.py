@@ -66,7 +66,7 @@ def test_leaks_equal_comparing_everything(spark, docs_of):
             (8, f"{item} and {item}"), (None, item)]
     bench = spark.createDataFrame([(10, item), (11, other), (12, None), (13, "short"), (14, item)], "item_id long, text string")
     plain = dc.normalized(item)
-    allowed = dc.budget(len(plain), 0.05, 12)
+    allowed = dc.budget(len(plain), 0.05)
     want = {(i, n) for i, t in rows for n in (10, 14) if edit_distance(plain, dc.normalized(t or "")) <= allowed}
     for block in (1_000_000, 100):
         got = dc.leaks(docs_of(rows), bench, block_chars=block).collect()
@@ -74,8 +74,11 @@ def test_leaks_equal_comparing_everything(spark, docs_of):
         texts = dict(rows)
         for r in got:
             assert edit_distance(plain, dc.normalized(texts[r["doc_id"]][r["start"]:r["end"]])) == r["distance"]
-    kept = dc.decontaminated(docs_of(rows), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == docs_of(rows).columns
+    docs = docs_of(rows).selectExpr("*", "9 AS _matches", "8 AS m")
+    for block in (1_000_000, 100):
+        kept = dc.decontaminated(docs, bench, block_chars=block)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == docs.columns
+        assert {(r["_matches"], r["m"]) for r in kept.collect()} == {(9, 8)}
     assert dc.leaks(docs_of([]), bench).count() == 0 and dc.leaks(docs_of(rows), bench.limit(0)).count() == 0
 
 
@@ -86,3 +89,12 @@ def test_short_items_are_found_exactly_between_words(spark, docs_of):
     assert sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["distance"], r["allowed"]) for r in got) == [
         (1, 20, 10, 19, 0, 0), (4, 20, 15, 22, 0, 0), (5, 21, 2, 5, 0, 0), (7, 22, 0, 9, 0, 0)]
     assert sorted(r["doc_id"] for r in dc.decontaminated(docs_of(rows), bench).collect()) == [2, 3, 6]
+
+
+def test_budget_is_one_edit_in_twenty_from_the_shortest_item_on(spark, docs_of):
+    assert [dc.budget(n, 0.05) for n in (19, 20, 23, 39, 40, 100)] == [0, 1, 1, 1, 2, 5]
+    item = "which word was missing"  # 22 characters
+    changed = [item[:i] + "#" + item[i + 1:] for i in range(len(item))] + [item[:i] + item[i + 1:] for i in range(len(item))]
+    rows = [(i, f"so {t} then") for i, t in enumerate(changed)] + [(100, "so wh#ch word was m#ssing then")]
+    got = dc.leaks(docs_of(rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(len(changed)))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trialmesh.llm.common import map_batches, whole_text
+from trialmesh.llm.common import map_slices, whole_text
 from trialmesh.llm.pretokens import Pieces
 
 
@@ -121,7 +121,7 @@ def encode(docs: DataFrame, path: str, pattern: str, spans: bool = False) -> Dat
             columns += [_lists([b[i] for b in both], np.int32) for i in (0, 1)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", *(["starts", "ends"] if spans else [])])
     schema = "doc_id long, ids array<int>" + (", starts array<int>, ends array<int>" if spans else "")
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], encoded, schema)
+    return map_slices(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], encoded, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -135,7 +135,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         data = [None if ids is None else codec().decode(ids) for ids in batch.column(1).to_pylist()]
         text = [None if d is None else d.decode("utf-8", "replace") for d in data]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(text, pa.string())], ["doc_id", "data", "text"])
-    return map_batches(encoded, ["doc_id", "ids"], decoded, "doc_id long, data binary, text string")
+    return map_slices(encoded, ["doc_id", "ids"], decoded, "doc_id long, data binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, contents: bool = False) -> DataFrame:
@@ -157,4 +157,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, contents: bool = False)
             columns |= {"ids": _lists(found, np.int32), "text": pa.array([d.decode("utf-8", "replace") for d in data])}
         return pa.RecordBatch.from_pydict(columns)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, text string" if contents else "")
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], both, schema)
+    return map_slices(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], both, schema)

@@ -103,3 +103,30 @@ def dealt_anew(df: DataFrame, column: str) -> DataFrame:
     both sides get a shuffle of their own for the join, and adaptive execution splits it.
     """
     return df.repartition(column)
+
+
+def bit_map(rows: DataFrame, key: Column, bits: int = 24) -> DataFrame:
+    """Bits of the keys' places, 64 to a row: (_word, _bits), at most ``2 ** (bits - 6)`` rows whatever the input's size."""
+    return rows.select(F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias("_bits"))
+
+
+def marked(rows: DataFrame, found: DataFrame, key: Column, out: str, bits: int = 24) -> DataFrame:
+    """``rows`` with the boolean ``out``: false only where no row of the bit map had this key. The map is broadcast."""
+    placed = rows.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(1 << bits))).withColumn("_word", F.shiftright("_p", 6))
+    return placed.join(F.broadcast(found), "_word", "left").withColumn(
+        out, F.coalesce(F.expr("shiftright(_bits, CAST(_p & 63 AS INT)) & 1 = 1"), F.lit(False))).drop("_p", "_word", "_bits")
+
+
+def likely(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in column ``doc_id`` of ``ids``, and a few more; no text moves.
+
+    Ids set bits of a map of ``2 ** bits`` places, 64 to a row, so what is broadcast is at most 2 ** 18 rows of two
+    longs whatever the input's size.  With very many ids the map fills up and more rows pass.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    marked = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias("_bits"))
+    placed = docs.withColumn("_p", place)
+    held = placed.join(F.broadcast(marked), F.shiftright(F.col("_p"), 6) == F.col("_word"))
+    return held.where(F.expr("shiftright(_bits, CAST(_p & 63 AS INT)) & 1 = 1")).select(*docs.columns)

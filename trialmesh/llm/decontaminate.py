@@ -8,11 +8,12 @@ bit-parallel edit distance, so what is reported is within the budget and nothing
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from trialmesh.llm.common import whole_text
+from trialmesh.llm.common import remove, slices, store, whole_text
 
 MATCHES = "array<struct<item_id: long, start: long, end: long, distance: int, allowed: int>>"
 
@@ -37,9 +38,9 @@ def places(text: str) -> list[int]:
     return found
 
 
-def budget(size: int, rate: float, min_piece: int) -> int:
-    """Edits allowed for an item of ``size`` characters, so that no piece is shorter than ``min_piece``."""
-    return max(0, min(int(size * rate), size // min_piece - 1))
+def budget(size: int, rate: float) -> int:
+    """Edits allowed for an item of ``size`` characters; with one more piece than edits, each has a character at least."""
+    return max(0, min(int(size * rate), size - 1))
 
 
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
@@ -92,9 +93,9 @@ def between_words(text: str, start: int, end: int) -> bool:
 class Matcher:
     """All pieces of a bounded block of items as one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int, min_chars: int = 20):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = 20):
         import ahocorasick
-        self.items = [(number, item, budget(len(item), rate, min_piece) if len(item) >= min_chars else 0) for number, item in items]
+        self.items = [(number, item, budget(len(item), rate) if len(item) >= min_chars else 0) for number, item in items]
         self.short = {at for at, (_, item, _) in enumerate(self.items) if len(item) < min_chars}
         owners = defaultdict(list)
         for at, (_, item, edits) in enumerate(self.items):
@@ -138,49 +139,69 @@ class Matcher:
         return found
 
 
-def _matched(known: list[tuple[int, str]], rate: float, min_piece: int, min_chars: int):
+def _matched(known: list[tuple[int, str]], rate: float, min_chars: int):
     """The search of one block of items over an Arrow array; the automaton is built once a task."""
     made: list[Matcher] = []
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32()), ("allowed", pa.int32())]))
 
     def matched(texts):
         if not made:
-            made.append(Matcher(known, rate, min_piece, min_chars))
-        return pa.array([made[0](t) for t in texts.to_pylist()], kind)
+            made.append(Matcher(known, rate, min_chars))
+        found = [made[0](t) for part in slices(pa.record_batch([texts], ["text"])) for t in part.column(0).to_pylist()]
+        return pa.array(found, kind)
     matched.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return matched
 
 
-def add_matches(docs: DataFrame, benchmark: DataFrame, out: str = "matches", rate: float = 0.05, min_piece: int = 12, min_chars: int = 20,
-                block_chars: int = 1_000_000) -> DataFrame:
-    """``docs`` with the benchmark items that occur in ``text``, at most ``rate`` edits a character.
-
-    Items and texts are compared in lower case with white space as one space.  The item set is the query: it is read
-    in blocks of about ``block_chars`` characters, each of which travels with the tasks of one expression, so a larger
-    benchmark costs more passes over a text in its task and no more memory than two blocks.
-    Items of fewer than ``min_chars`` characters are searched without edits, and only where they cut no word.
-    Null or empty text and null items: no match.  Repeated items are reported each under its id.  All columns of
-    ``docs`` are passed on, ``out`` is replaced.
-    """
+def _searches(benchmark: DataFrame, rate: float, min_chars: int, block_chars: int) -> Iterator[Column]:
+    """The matches of column ``text`` with each block of items, one block read after the other; one at least."""
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    columns = []
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id").collect()
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id").collect()  # about block_chars
         known = [(r["item_id"], item) for r in own if (item := normalized(r["text"]))]
-        columns.append(F.arrow_udf(_matched(known, rate, min_piece, min_chars), MATCHES)(whole_text()))
-    return docs.withColumn(out, F.concat(*columns) if len(columns) > 1 else columns[0])
+        yield F.arrow_udf(_matched(known, rate, min_chars), MATCHES)(whole_text())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_chars: int = 20, block_chars: int = 1_000_000) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, start, end, distance, allowed.
 
     start and end are code points of the text; of several occurrences the best is given, the first of equals.
+    Items and texts are compared in lower case with white space as one space; an item of n characters is found with up
+    to floor(n * ``rate``) edits.  Items of fewer than ``min_chars`` characters are searched without edits, and only
+    where they cut no word.
+
+    The item set is the query: it is read in blocks of about ``block_chars`` characters.  Where there are several, each
+    block is a pass over the documents that is written before the next one is read, so a task holds one automaton
+    and the driver one block.
+    Null or empty text and null items: no match.  Repeated items are reported each under its id, repeated rows each
+    time; other columns are not used.
     """
-    found = add_matches(docs.select("doc_id", "text"), benchmark, "_matches", **options)
-    return found.select("doc_id", F.explode("_matches").alias("m")).select("doc_id", "m.*")
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item occurs; one pass, no join, columns as they are."""
-    return add_matches(docs, benchmark, "_matches", **options).where(F.size("_matches") == 0).drop("_matches")
+    found, rows = None, docs.select("doc_id", "text")
+    searches = _searches(benchmark, rate, min_chars, block_chars)
+    search, following = next(searches), next(searches, None)
+    while True:
+        own = rows.withColumn("_found", search).select("doc_id", F.explode("_found").alias("m")).select("doc_id", "m.*")
+        if found is None and following is None:
+            return own
+        own, _ = store(own, "leaks")
+        found = own if found is None else found.unionByName(own)
+        if following is None:
+            return found
+        search, following = following, next(searches, None)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_chars: int = 20, block_chars: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item occurs, columns as they are; no join and no shuffle.
+
+    Found as by ``leaks``; of several blocks of items each reads what the one before it has left and written.
+    """
+    kept, before = docs, None
+    for search in _searches(benchmark, rate, min_chars, block_chars):
+        if kept is not docs:
+            kept, path = store(kept, "clean")
+            if before:
+                remove(docs.sparkSession, before)
+            before = path
+        kept = kept.where(F.size(search) == 0)
+    return kept

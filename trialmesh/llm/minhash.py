@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trialmesh.llm.common import dealt_anew, map_batches, remove, store, whole_text
+from trialmesh.llm.common import dealt_anew, likely, map_slices, remove, store, whole_text
 from trialmesh.llm.components import components
 from trialmesh.llm.shingles import WordHashes, mixed, set_key, shingle_set
 
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -
         bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), bands],
                                           ["doc_id", "n_shingles", "set_key", "bands"])
-    return map_batches(docs, ["doc_id", "text"], sketched, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return map_slices(docs, ["doc_id", "text"], sketched, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -104,21 +104,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         values = pa.array(np.concatenate(sets).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "shingles"])
-    return map_batches(docs, ["doc_id", "text"], listed, "id long, shingles array<long>")
-
-
-def likely(docs: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in column ``doc_id`` of ``ids``, and a few more; no text moves.
-
-    Ids set bits of a map of ``2 ** bits`` places, 64 to a row, so what is broadcast is at most 2 ** 18 rows of two
-    longs whatever the input's size.  With very many ids the map fills up and more rows pass.
-    """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    marked = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(_p & 63 AS INT))")).alias("_bits"))
-    placed = docs.withColumn("_p", place)
-    held = placed.join(F.broadcast(marked), F.shiftright(F.col("_p"), 6) == F.col("_word"))
-    return held.where(F.expr("shiftright(_bits, CAST(_p & 63 AS INT)) & 1 = 1")).select(*docs.columns)
+    return map_slices(docs, ["doc_id", "text"], listed, "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -148,7 +134,7 @@ def wide_sketches(docs: DataFrame, size: int) -> DataFrame:
         bits = [bit_sketch(s) if len(s) else np.zeros(WIDE // 64, np.int64) for s in sets]
         ends = np.arange(0, WIDE // 64 * len(bits) + 1, WIDE // 64, dtype=np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits)))], ["id", "bits"])
-    return map_batches(docs, ["doc_id", "text"], sketched, "id long, bits array<long>")
+    return map_slices(docs, ["doc_id", "text"], sketched, "id long, bits array<long>")
 
 
 def _could_link(percent: int):

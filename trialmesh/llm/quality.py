@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialmesh.llm.common import in_fold, map_batches, remove, store, whole_text
+from trialmesh.llm.common import in_fold, likely, map_slices, remove, slices, store, whole_text
 
 FEATURES, FOLDS, SUMS = 256, 2, 16
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
@@ -41,7 +41,7 @@ def _measured(docs: DataFrame) -> DataFrame:
         rows = np.array([statistics(t) for t in batch.column(1).to_pylist()])
         ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))], ["doc_id", "x"])
-    return map_batches(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], measured, "doc_id long, x array<double>")
+    return map_slices(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], measured, "doc_id long, x array<double>")
 
 
 class Features:
@@ -89,30 +89,34 @@ class Model:
         model = self
 
         def scored(texts: pa.Array) -> pa.Array:
-            return pa.array(model(np.array([statistics(t) for t in texts.to_pylist()]).reshape(len(texts), -1)))
+            rows = [statistics(t) for part in slices(pa.record_batch([texts], ["text"])) for t in part.column(0).to_pylist()]
+            return pa.array(model(np.array(rows).reshape(len(texts), -1)))
         scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         return F.arrow_udf(scored, "double")(F.coalesce(text, F.lit("")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 200_000, width: float = 3.0, ridge: float = 1e-3,
-        steps: int = 400) -> tuple[Model | None, DataFrame, str]:
-    """The model (None without a labelled row), the statistics of all documents (doc_id, x), and the path of that table.
+def taught(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 200_000) -> DataFrame:
+    """doc_id, y of the rows to learn from: labelled, outside the held-out fold, at most about ``max_train`` of them.
 
-    Learned from labelled rows outside the held-out fold, at most about ``max_train`` of them, chosen by the hash of
-    their ids (the stated bound).  Each of ``SUMS`` tasks adds up its part of the normal equations, once per half of
-    the training rows; the ridge solution of all parts scores the documents, and those of the halves score the other
-    half, whose labels calibrate the scores isotonically over ``steps`` steps of the raw score.
+    Beyond that number they are chosen by the hash of their ids (the stated bound).
     """
-    spark = docs.sparkSession
-    stats, used = store(_measured(docs), "statistics")
-    known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y"))
-    train = stats.where(~in_fold()).join(known, "doc_id")
-    total = train.count()
-    if total == 0:
-        return None, stats, used
-    if total > max_train:
-        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < max_train / total * (1 << 30))
-    train, path = store(train.select("x", "y", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("half")).repartition(SUMS), "labelled")
+    known = labels.where(F.col(label).isNotNull() & ~in_fold()).select("doc_id", F.col(label).cast("double").alias("y"))
+    total = docs.select("doc_id").join(known, "doc_id").count()
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < max_train / total * (1 << 30)) if total > max_train else known
+
+
+def fit(stats: DataFrame, known: DataFrame, width: float = 3.0, ridge: float = 1e-3, steps: int = 400) -> Model | None:
+    """The model of statistics (doc_id, x) and the labels of some of them (doc_id, y); None where nothing is labelled.
+
+    Each of ``SUMS`` tasks adds up its part of the normal equations, once per half of the training rows; the ridge
+    solution of all parts scores the documents, and those of the halves score the other half, whose labels calibrate
+    the scores isotonically over ``steps`` steps of the raw score.
+    """
+    spark = stats.sparkSession
+    train, path = store(stats.join(known, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("half")).repartition(SUMS), "labelled")
+    if train.isEmpty():
+        remove(spark, path)
+        return None
     places = range(len(statistics("")))
     row = train.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in places for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     features = Features(np.array([row[f"m{i}"] for i in places]), np.array([row[f"s{i}"] for i in places]), width)
@@ -146,10 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     bins = train.mapInArrow(judged, "step int, y double").groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")).orderBy("step").collect()
     level = isotonic(np.array([r["n"] for r in bins], float), np.array([r["y"] for r in bins]))
     remove(spark, path)
-    return Model(features, whole, np.array([r["step"] for r in bins]) / steps, level), stats, used
+    return Model(features, whole, np.array([r["step"] for r in bins]) / steps, level)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, prior: float = 1.0, **options) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, prior: float = 1.0, label: str = "quality", max_train: int = 200_000,
+                  **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row: how likely its label is 1, and whether the score reaches ``threshold``.
 
     Inputs of a score are statistics of the whole text only.  Null or empty text has zero statistics and is scored
@@ -157,19 +162,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, pr
     Null labels and null ids teach nothing.  Without any labelled row every score is ``prior``.  Other columns are
     not used.  Eager: statistics are written to the shared folder and removed when the scores are written.
     """
-    model, stats, used = fit(docs, labels, **options)
+    stats, used = store(_measured(docs), "statistics")
+    model = fit(stats, taught(stats, labels, label, max_train), **options)
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = model(_matrix(batch.column(1))) if model else np.full(batch.num_rows, float(prior))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
-    found = map_batches(stats, ["doc_id", "x"], scored, "doc_id long, score double")
+    found = map_slices(stats, ["doc_id", "x"], scored, "doc_id long, score double")
     result, _ = store(found.select("doc_id", in_fold().alias("held_out"), "score"), "scores")
     remove(docs.sparkSession, used)
     return result.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, columns as they are; all rows where nothing is labelled."""
-    model, _, used = fit(docs, labels, **options)
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, label: str = "quality", max_train: int = 200_000, **options) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, columns as they are; all rows where nothing is labelled.
+
+    Only rows that teach are measured to learn from; then every row is measured once, where it is scored.  Null or
+    empty texts are scored like others, repeated rows each time.
+    """
+    known = taught(docs, labels, label, max_train)
+    stats, used = store(_measured(likely(docs, known)), "statistics")
+    model = fit(stats, known, **options)
     remove(docs.sparkSession, used)
     return docs.where(model.column(F.col("text")) >= threshold) if model else docs

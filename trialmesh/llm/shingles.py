@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 class WordHashes(dict):
