@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _fallback_folder: str | None = None
+_work_folders: dict[str, str] = {}
 
 
 def build_session(app: str = "trialmesh", master: str | None = None, shuffle_partitions: int | None = None,
@@ -57,9 +58,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _fallback_folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; Hadoop deletes it when the application ends, also after failures."""
+    app = spark.sparkContext.applicationId
+    if app not in _work_folders:
+        folder = os.path.join(shared_folder(spark), f"trialmesh-{app}-{uuid.uuid4().hex[:8]}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _work_folders[app] = folder
+    return _work_folders[app]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path for work of this application."""
+    return os.path.join(work_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
