@@ -47,8 +47,25 @@ def test_stages_equal_a_plain_version(spark, small):
         assert r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
 
 
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _some boolean"
+    same = "one line that is shared by all of them here\nand words of its own "
+    rows = [(None, None, None, None, None, None), (None, same + "x", "en", "s", 1, True), (1, "", "en", "s", 0, None), (1, same + "one", "en", "s", 0, False),
+            (1, same + "one", "en", "s", 0, False), (2, same + "two", None, None, None, None), (3, same + "three", "en", "s", 9, None), (3, None, "en", "s", 9, None)]
+    labels, benchmark = "doc_id long, quality int, toxic int", "item_id long, text string"
+    for at, some in (("odd", rows), ("none", [])):
+        for name, table, columns in (("documents", some, kinds), ("labels", [], labels), ("benchmark", [], benchmark)):
+            spark.createDataFrame(table, columns).write.parquet(f"{tmp_path}/{at}/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    line, rest = same.split("\n")
+    want = [(None, ""), (None, same + "x"), (1, ""), (1, rest + "one"), (1, rest + "one"), (2, rest + "two"), (3, same + "three"), (3, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_operator_has_its_query():
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in queries.QUERIES)] == []
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.SQL) <= set(queries.QUERIES)
 
 

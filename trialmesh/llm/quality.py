@@ -181,7 +181,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, label:
     empty texts are scored like others, repeated rows each time.
     """
     known = taught(docs, labels, label, max_train)
-    stats, used = store(_measured(likely(docs, known)), "statistics")
+    stats, used = store(_measured(likely(docs.select("doc_id", "text"), known)), "statistics")
     model = fit(stats, known, **options)
     remove(docs.sparkSession, used)
     return docs.where(model.column(F.col("text")) >= threshold) if model else docs
