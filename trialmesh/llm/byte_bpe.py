@@ -6,6 +6,7 @@ import base64
 import codecs
 import hashlib
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from trialmesh.llm.common import map_slices, whole_text
 from trialmesh.llm.pretokens import Pieces
 
+PIECES = 2000
+
 
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself if it is visible, else the next one from 256 on."""
@@ -57,11 +60,12 @@ class Codec:
     """One task's encoder and decoder."""
 
     def __init__(self, source: str, tokens: tuple[bytes, ...], pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
         library, letters = Tokenizer.from_str(source), dict(enumerate(byte_characters()))
         self.tokens = tokens
-        self.pieces = Pieces(pattern, lambda new: [e.ids for e in library.encode_batch_fast(
-            [p.encode().decode("latin-1").translate(letters) for p in new], add_special_tokens=False)])
+        self.pieces = Pieces(pattern, lambda new: [e.ids for at in range(0, len(new), PIECES) for e in library.encode_batch_fast(
+            [p.encode().decode("latin-1").translate(letters) for p in new[at:at + PIECES]], add_special_tokens=False)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; each match of the pattern is encoded separately, and each distinct one once."""
@@ -98,7 +102,7 @@ def _codec(path: str, pattern: str):
         if not made:
             made.append(Codec(source, tokens, pattern))
         return made[0]
-    return get
+    return get, made.clear
 
 
 def _lists(rows: list[np.ndarray], kind) -> pa.ListArray:
@@ -111,7 +115,7 @@ def encode(docs: DataFrame, path: str, pattern: str, spans: bool = False) -> Dat
 
     Null or empty text: no ids.  Repeated rows are encoded one by one; other columns are not used.
     """
-    codec = _codec(path, pattern)
+    codec, done = _codec(path, pattern)
 
     def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = codec().encode(batch.column(1).to_pylist())
@@ -121,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str, spans: bool = False) -> Dat
             columns += [_lists([b[i] for b in both], np.int32) for i in (0, 1)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", *(["starts", "ends"] if spans else [])])
     schema = "doc_id long, ids array<int>" + (", starts array<int>, ends array<int>" if spans else "")
-    return map_slices(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], encoded, schema)
+    return map_slices(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], encoded, schema, done=done)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -129,13 +133,13 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Null ids give null bytes and text.
     """
-    codec = _codec(path, pattern)
+    codec, done = _codec(path, pattern)
 
     def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
         data = [None if ids is None else codec().decode(ids) for ids in batch.column(1).to_pylist()]
         text = [None if d is None else d.decode("utf-8", "replace") for d in data]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), pa.array(text, pa.string())], ["doc_id", "data", "text"])
-    return map_slices(encoded, ["doc_id", "ids"], decoded, "doc_id long, data binary, text string")
+    return map_slices(encoded, ["doc_id", "ids"], decoded, "doc_id long, data binary, text string", done=done)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, contents: bool = False) -> DataFrame:
@@ -145,7 +149,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, contents: bool = False)
     32-bit integers.  Null or empty text: no ids, empty text, digests of nothing.  Repeated rows are handled one by
     one; other columns are not used.
     """
-    codec = _codec(path, pattern)
+    codec, done = _codec(path, pattern)
 
     def both(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = codec().encode(batch.column(1).to_pylist())
@@ -157,4 +161,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, contents: bool = False)
             columns |= {"ids": _lists(found, np.int32), "text": pa.array([d.decode("utf-8", "replace") for d in data])}
         return pa.RecordBatch.from_pydict(columns)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, text string" if contents else "")
-    return map_slices(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], both, schema)
+    return map_slices(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], both, schema, done=done)

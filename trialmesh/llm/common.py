@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trialmesh.session import new_path
 
 
-SLICE, SLICE_BYTES = 200, 1 << 20
+SLICE, SLICE_BYTES, BATCH_BYTES = 200, 1 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +47,9 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch]
     return df.select(*columns).mapInArrow(each, schema)
 
 
-def release() -> None:
-    """Give memory that a task no longer uses back to the system; its Python worker lives on for later tasks."""
+def trim() -> None:
+    """Give memory that is free inside this Python worker back to the system; the worker lives on beside the JVM."""
     import ctypes
-    import gc
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -59,6 +57,21 @@ def release() -> None:
         pass
 
 
+def release() -> None:
+    """``trim`` at the end of a task, after what it dropped has been collected."""
+    import gc
+    gc.collect()
+    trim()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold at most ``BATCH_BYTES``: they are copied several times on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of strings; at least one row each."""
     total = np.zeros(batch.num_rows, np.int64)
@@ -74,15 +87,22 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE, size: int = SLICE_BYTES) ->
 
 
 def map_slices(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
-               rows: int = SLICE, size: int = SLICE_BYTES) -> DataFrame:
-    """``map_batches`` with slices that are bounded in bytes as well; the task's memory is given back when it ends."""
+               rows: int = SLICE, size: int = SLICE_BYTES, done: Callable[[], object] | None = None) -> DataFrame:
+    """``map_batches`` with slices that are bounded in bytes as well, and memory given back after every batch.
+
+    ``done`` drops what ``fn`` keeps; it is called when the task ends.
+    """
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
                 for part in slices(batch, rows, size):
                     yield fn(part)
+                trim()
         finally:
+            if done:
+                done()
             release()
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(each, schema)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialmesh.llm.common import remove, slices, store, whole_text
+from trialmesh.llm.common import remove, slices, small_batches, store, trim, whole_text
 
 MATCHES = "array<struct<item_id: long, start: long, end: long, distance: int, allowed: int>>"
 
@@ -148,6 +148,7 @@ def _matched(known: list[tuple[int, str]], rate: float, min_chars: int):
         if not made:
             made.append(Matcher(known, rate, min_chars))
         found = [made[0](t) for part in slices(pa.record_batch([texts], ["text"])) for t in part.column(0).to_pylist()]
+        trim()
         return pa.array(found, kind)
     matched.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return matched
@@ -155,6 +156,7 @@ def _matched(known: list[tuple[int, str]], rate: float, min_chars: int):
 
 def _searches(benchmark: DataFrame, rate: float, min_chars: int, block_chars: int) -> Iterator[Column]:
     """The matches of column ``text`` with each block of items, one block read after the other; one at least."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     for block in range(blocks):

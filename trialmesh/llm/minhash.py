@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, size: int, bins: int = BINS, rows: int = ROWS) -
         bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), bands],
                                           ["doc_id", "n_shingles", "set_key", "bands"])
-    return map_slices(docs, ["doc_id", "text"], sketched, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return map_slices(docs, ["doc_id", "text"], sketched, "doc_id long, n_shingles long, set_key binary, bands array<long>", done=words.clear)
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -104,7 +104,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         values = pa.array(np.concatenate(sets).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "shingles"])
-    return map_slices(docs, ["doc_id", "text"], listed, "id long, shingles array<long>")
+    return map_slices(docs, ["doc_id", "text"], listed, "id long, shingles array<long>", done=words.clear)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -134,7 +134,7 @@ def wide_sketches(docs: DataFrame, size: int) -> DataFrame:
         bits = [bit_sketch(s) if len(s) else np.zeros(WIDE // 64, np.int64) for s in sets]
         ends = np.arange(0, WIDE // 64 * len(bits) + 1, WIDE // 64, dtype=np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits)))], ["id", "bits"])
-    return map_slices(docs, ["doc_id", "text"], sketched, "id long, bits array<long>")
+    return map_slices(docs, ["doc_id", "text"], sketched, "id long, bits array<long>", done=words.clear)
 
 
 def _could_link(percent: int):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trialmesh.llm.common import in_fold, likely, map_slices, remove, slices, store, whole_text
+from trialmesh.llm.common import in_fold, likely, map_slices, remove, slices, small_batches, store, trim, whole_text
 
 FEATURES, FOLDS, SUMS = 256, 2, 16
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
@@ -90,6 +90,7 @@ class Model:
 
         def scored(texts: pa.Array) -> pa.Array:
             rows = [statistics(t) for part in slices(pa.record_batch([texts], ["text"])) for t in part.column(0).to_pylist()]
+            trim()
             return pa.array(model(np.array(rows).reshape(len(texts), -1)))
         scored.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         return F.arrow_udf(scored, "double")(F.coalesce(text, F.lit("")))
@@ -184,4 +185,5 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, label:
     stats, used = store(_measured(likely(docs.select("doc_id", "text"), known)), "statistics")
     model = fit(stats, known, **options)
     remove(docs.sparkSession, used)
+    small_batches(docs.sparkSession)
     return docs.where(model.column(F.col("text")) >= threshold) if model else docs
