@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -88,3 +90,61 @@ def test_lookup_reads_blocks_by_key(spark):
     record = warc.read_records(found.where("page_id = 1")).first()
     assert record["payload"].decode() == rows[1][2] and record["url"] == rows[1][1]
     assert warc.capture_key("http://A.Example.org/x?y#z") == "org,example,a)/x?y" and warc.capture_key(None) == ")/"
+
+
+def generated(draw):
+    """A page and the text of its article: nested wrappers, unclosed tags, svg, surroundings of every kind."""
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9)))
+    words = lambda n: " ".join(word() + draw.choice(["", "", ","]) for _ in range(n))
+    blocks, parts = [], []
+    for _ in range(draw.randint(1, 8)):
+        text, kind = words(draw.randint(4, 60)), draw.choice(["p", "open", "h2", "list", "inline", "svg", "quote"])
+        blocks.append(text)
+        first, _, rest = text.partition(" ")
+        parts.append({"p": f"<p>{text}</p>", "open": f"<p>{text}", "h2": f"<h2 class='entry-header'>{text}</h2>", "list": f"<ul><li>{text}</ul>",
+                      "inline": f"<p><b>{first}</b>\n <a href='/x'>{rest[:5]}</a>{rest[5:]}<br>", "svg": f"<p>{first} <svg viewBox='0'/> {rest}</p>",
+                      "quote": f"<blockquote>{text}<!-- no > --></blockquote>"}[kind])
+        if draw.random() < 0.3:
+            parts.append(draw.choice([f"<div class='ad-box ad'>{words(3)}</div>", f"<aside>{words(30)}</aside>", f"<form><input name=q>{words(4)}</form>",
+                                      f"<script>var a = '<p>{words(4)}</p>'</script>", f"<svg><text>{word()}</text></svg>", f"<div hidden>{words(9)}</div>"]))
+    kind = draw.choice(["article", "main", "div class='post-body'"])
+    body = f"<{kind}>" + "".join(parts) + f"</{kind.split()[0]}>"
+    if not kind.startswith("div"):
+        for _ in range(draw.randint(0, 4)):
+            wrap = draw.choice(["div class='layout has-sidebar'", "div id=no-sidebar", "form id='aspnetForm'", "div class='comments-open'", "section class='content widget-area-off'", "div class='sidebar'"])
+            body = f"<{wrap}>{body}</{wrap.split()[0]}>"
+    head = f"<nav><ul><li><a href='/'>{word()}</a></ul></nav><header class='site-header'>{words(3)}</header>"
+    tail = f"<div class='post-comments'><p>{words(40)}</p></div><footer>{words(5)}</footer>" if draw.random() < 0.5 else f"<footer>{words(5)}"
+    return f"<!DOCTYPE html><html><head><title>{word()}</title><body>{head}{body}{tail}", "\n".join(blocks)
+
+
+def test_generated_pages_give_their_article():
+    draw = random.Random(9)
+    for _ in range(400):
+        page, text = generated(draw)
+        assert main_text.extract(page)[0] == text, page
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='layout has-sidebar'><article><p>One.</article></div>", "One."), ("<div class='no-sidebar'><article>One.</article></div>", "One."),
+    ("<article class='post comments-open'><p>One.</article>", "One."), ("<form id='aspnetForm'><div><p>One text alone.</p></div></form>", "One text alone."),
+    ("<article>a <svg/> b <svg><text>no</text></svg> c</article>", "a b c"), ("<article><div class='entry-header'><h1>T</h1></div><p>x</article>", "T\nx"),
+    ("<div class='sidebar'><p>nothing else here</div>", "nothing else here"), ("<article>a<!-- never closed <p>b</article>", "ab")])
+def test_names_and_wrappers_do_not_empty_a_page(page, text):
+    assert main_text.extract(page)[0] == text
+
+
+@pytest.mark.parametrize("page", ["<div><span>" * 100_000, "<!--" * 100_000, "<a \"'" * 50_000 + ">", "<td><table>" + "<i><td></td>" * 50_000, "<iframe>" * 100_000,
+                                  "<b>" * 100_000 + "</i>" * 100_000, "<p>x" * 100_000, "<div>word, " * 50_000, "<" * 300_000])
+def test_long_and_deep_pages_take_time_in_proportion(page):
+    quarter, start = page[:len(page) // 4], time.process_time()
+    main_text.extract(quarter)
+    short, start = time.process_time() - start, time.process_time()
+    main_text.extract(page)
+    assert time.process_time() - start < 8 * short + 0.5
+
+
+def test_very_deep_paths_vote_for_what_is_above():
+    path = main_text.extract("<div>" * 1000 + "<p>one text that is long enough to be read, and more</p>")[1]
+    assert len(path.split(">")) == main_text.DEEPEST
+    assert main_text.extract("<div>" * 1000 + "<p>another text</p>", path)[0] == "another text"
