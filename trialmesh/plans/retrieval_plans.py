@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trialmesh import catalog as fx
 from trialmesh.operators import retrieval as ops
 from trialmesh.operators.rag_rounds import chunk_plan, run_rag_rounds
+from trialmesh.operators.vector_index import build_index, search
 from trialmesh.plans.registry import query, rounded
 from trialmesh.session import materialize
 
@@ -80,6 +81,21 @@ def _(t):
     return rounded(ops.vector_topk(_row_queries(t), _vectors(t), 10))
 
 
+@query("vector_index_rows", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS x FROM e),
+s AS (SELECT q.vec_id AS qid, v.vec_id AS key, round(list_distance(q.x, v.x), 9) AS distance FROM u q, u v WHERE q.vec_id % 20 = 0)
+SELECT qid, key, round(distance, 5) AS distance, CAST(row_number() OVER (PARTITION BY qid ORDER BY s.distance, key) AS INTEGER) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s.distance, key) <= 10""")
+def _(t):
+    """The inverted-file index over vectors of length one, where the nearest are those of the largest cosine."""
+    x = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    rows = t.embeddings.select(F.col("vec_id").cast("long").alias("key"), F.transform(x, lambda v: v / norm).alias("vec"), F.lit(0.0).alias("payload"))
+    found = search(build_index(rows), rows.where("key % 20 = 0").withColumnRenamed("key", "qid"), 10)
+    return rounded(found.drop("payload"), 5)
+
+
 def _found_of_exact(exact, found):
     """qid, scores_are_exact, recall: what the approximate lists hold of the exact ones."""
     both = exact.select("qid", "doc_id", F.col("score").alias("exact")).join(found.select("qid", "doc_id", "score"), ["qid", "doc_id"], "left")
