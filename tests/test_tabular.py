@@ -156,3 +156,27 @@ def test_forecast_and_fixes(spark):
     assert fixed == {1: 1.0, 2: 3.0, 4: 8.0}
     with pytest.raises(ValueError):
         tb.apply_quality_fixes(holes, {"v": "guess"})
+
+
+@pytest.mark.parametrize("task, label", [("binary_classification", "y"), ("multiclass_classification", "k"), ("regression", "t")])
+def test_neighbours_equal_brute_force(spark, task, label):
+    """Distances over numbers, a hashed text and a boolean feature; rows that differ in these alone get their own votes."""
+    import numpy as np
+    df = table(spark, 700).withColumn("b", F.col("z") > 0.5).withColumn("x", F.when(F.col("key") != "k9", F.col("x")))
+    train, held, features = df.where("CAST(substring(key, 2) AS INT) < 500"), df.where("CAST(substring(key, 2) AS INT) >= 480"), ["x", "c", "b"]
+    model = md.fit_family(train, features, label, task, "KNN")
+    stage = model.stages[0]
+    vec = lambda rows: {r["_in"]["key"]: (np.array(r["vec"]), r["_in"][label]) for r in stage.vectors(md._typed(rows, features)).collect()}
+    known, asked = vec(train), vec(held)
+    x = np.array([v for v, _ in known.values()])
+    assert np.isclose(np.std(x[[k != "k9" for k in known], 0]), 1, atol=0.05) and x.shape[1] == 1 + 2 * md.HASHED_SLOTS
+    got = md.batch_predict(model, held).collect()
+    assert len(got) == 220
+    for r in got:
+        far = sorted((round(float(np.sqrt(((v - asked[r["key"]][0]) ** 2).sum())), 9), y) for v, y in known.values())
+        near = [y for _, y in far[:5]]
+        assert far[4][0] < far[5][0]
+        if task == "regression":
+            assert r["prediction"] == pytest.approx(np.mean(near))
+        else:
+            assert list(r["probability"]) == pytest.approx([np.mean([str(y) == c for y in near]) for c in model.classes])

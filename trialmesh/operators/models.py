@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import Bucketizer, FeatureHasher, HashingTF, IDF, Imputer, Tokenizer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, HashingTF, IDF, Imputer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from trialmesh.operators.vector_index import build_index, search
 from trialmesh.operators.tabular import bag_folds, binary_metrics, calibrate_threshold, multiclass_metrics, regression_metrics, split_holdout
 from trialmesh.session import materialize, scratch
 
@@ -105,61 +106,40 @@ def _feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[
     return stages, slots
 
 
-class GridNeighbours:
-    """Nearest neighbours by cells: a row takes the vote of the finest cell around it with ``k`` rows.
+class Neighbours:
+    """The ``k`` nearest training rows vote, each alike; for a regression their mean counts.
 
-    Numeric features are cut into quantile bins at several resolutions; training rows are
-    counted per (resolution, cell, class).  Prediction is one equi-join per resolution
-    level, so no pair of rows is ever formed and a crowded cell is one row of counts.
+    Distance is Euclidean over numbers divided by their spread (missing ones at the mean) and over the slots of hashed
+    text and boolean features, where two values in different slots are one apart.  Rows are found through the
+    inverted-file index, exactly; of equally far ones those of the smaller hash count.
     """
 
-    levels = (32, 16, 8, 4, 2, 1)
+    def __init__(self, prepared, scale: list[float], index, classes: list[str], k: int, regression: bool):
+        self.prepared, self.scale, self.index, self.classes, self.k, self.regression = prepared, scale, index, classes, k, regression
 
-    def __init__(self, columns: list[str], splits: dict, cells: DataFrame, classes: list[str], k: int, regression: bool):
-        self.columns, self.splits, self.cells, self.classes, self.k, self.regression = columns, splits, cells, classes, k, regression
+    def vectors(self, df: DataFrame) -> DataFrame:
+        scale = F.array(*[F.lit(x) for x in self.scale])
+        return self.prepared.transform(df).withColumn("vec", F.zip_with(vector_to_array("_x"), scale, lambda x, s: x * s))
 
     @classmethod
-    def _codes(cls, df: DataFrame, columns: list[str], splits: dict) -> DataFrame:
-        for level in cls.levels:
-            names = [f"_c_{level}_{c}" for c in columns]
-            for c, name in zip(columns, names):
-                edges = splits[level][c]
-                if not edges:
-                    df = df.withColumn(name, F.lit(0.0))
-                    continue
-                df = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=f"f_{c}", outputCol=name, handleInvalid="keep").transform(df)
-            df = df.withColumn(f"_cell_{level}", F.concat_ws(",", *[F.col(n).cast("int") for n in names])).drop(*names)
-        cells = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"_cell_{v}").alias("cell")) for i, v in enumerate(cls.levels)])
-        return df.withColumn("_cells", cells).drop(*[f"_cell_{v}" for v in cls.levels])
-
-    @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], classes: list[str], k: int, regression: bool) -> "GridNeighbours":
-        if not columns:
-            raise ValueError("nearest neighbours need a numeric feature")
-        splits = {}
-        finest = df.approxQuantile([f"f_{c}" for c in columns], [i / 32 for i in range(1, 32)], 0.005)
-        for level in cls.levels:
-            step = 32 // level
-            splits[level] = {c: sorted(set(q[step - 1::step][:level - 1])) for c, q in zip(columns, finest)}
-        coded = cls._codes(df, columns, splits).select("_label", F.inline("_cells"))
-        if regression:
-            cells = coded.groupBy("level", "cell").agg(F.count(F.lit(1)).alias("n"), F.avg("_label").alias("mean"))
-        else:
-            votes = [F.count_if(F.col("_label") == i).alias(f"v{i}") for i in range(len(classes))]
-            cells = coded.groupBy("level", "cell").agg(F.count(F.lit(1)).alias("n"), *votes)
-        return cls(columns, splits, materialize(cells, "cells"), classes, k, regression)
+    def fit(cls, df: DataFrame, source: DataFrame, features: Sequence[str], classes: list[str], k: int, regression: bool) -> "Neighbours":
+        stages, slots = _feature_stages(source, features)
+        prepared = Pipeline(stages=stages).fit(df)
+        numbers = [c for c, width in slots if width == 1]
+        spread = df.agg(*[F.stddev_pop(f"f_{c}").alias(f"s{i}") for i, c in enumerate(numbers)]).first() if numbers else []
+        scale = [1.0 / s if s else 1.0 for s in spread] + [0.5 ** 0.5] * sum(width for _, width in slots if width > 1)
+        model = cls(prepared, scale, None, classes, k, regression)
+        rows = model.vectors(df).select(F.xxhash64("vec", "_label").alias("key"), "vec", F.col("_label").alias("payload"))
+        model.index = build_index(rows)
+        return model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = self._codes(df, self.columns, self.splits)
-        for i in range(len(self.levels)):
-            side = self.cells.where((F.col("level") == i) & (F.col("n") >= (self.k if i < len(self.levels) - 1 else 1))).drop("level")
-            side = side.select(F.col("cell").alias(f"_k{i}"), F.struct(*[c for c in side.columns if c != "cell"]).alias(f"_s{i}"))
-            rows = rows.withColumn(f"_k{i}", F.col("_cells")[i]["cell"]).join(side, f"_k{i}", "left")
-        found = F.coalesce(*[F.col(f"_s{i}") for i in range(len(self.levels))])
-        rows = rows.withColumn("_found", found)
+        rows = materialize(self.vectors(df).withColumn("_row", F.monotonically_increasing_id()).select("_row", "_in", "vec"), "asked")
+        found = search(self.index, rows.select(F.col("_row").alias("qid"), "vec"), self.k).withColumnRenamed("qid", "_row")
         if self.regression:
-            return rows.withColumn("_pred", F.col("_found.mean"))
-        return rows.withColumn("probability", F.array(*[(F.col(f"_found.v{i}") / F.col("_found.n")) for i in range(len(self.classes))]))
+            return rows.join(found.groupBy("_row").agg(F.avg("payload").alias("_pred")), "_row", "left")
+        votes = [(F.count_if(F.col("payload") == i) / F.count(F.lit(1))) for i in range(len(self.classes))]
+        return rows.join(found.groupBy("_row").agg(F.array(*votes).alias("probability")), "_row", "left")
 
 
 # Default parameters per family.
@@ -202,7 +182,7 @@ def _classes(train: DataFrame, label: str, task: str) -> list[str]:
 
 
 def fit_family(train: DataFrame, features: Sequence[str], label: str, task: str, family: str, params: dict | None = None) -> Fitted:
-    """Fit one family (eager).  KNN reads the numeric features only; text and boolean ones are left out, none left is an error."""
+    """Fit one family (eager); KNN writes its training rows as an index, and the rows it is asked about."""
     classes = _classes(train, label, task)
     if task == REGRESSION:
         target = F.col(label).cast("double")
@@ -211,8 +191,7 @@ def fit_family(train: DataFrame, features: Sequence[str], label: str, task: str,
     rows = _typed(train.where(F.col(label).isNotNull()).withColumn("_label", target), features)
     options = {**FAMILY_PARAMS.get(family, {}), **(params or {})}
     if family == "KNN":
-        numbers, _ = _kinds(train, features)
-        model = GridNeighbours.fit(rows.drop("_in"), numbers, classes, options["k"], task == REGRESSION)
+        model = Neighbours.fit(rows.drop("_in"), train, features, classes, options["k"], task == REGRESSION)
         return Fitted(family, task, list(features), classes, [model])
     stages, slots = _feature_stages(train, features)
     estimator = _estimator(family, task, options, sum(w for _, w in slots), len(classes))

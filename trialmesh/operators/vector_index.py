@@ -89,7 +89,7 @@ def build_index(vectors: DataFrame, cells: int | None = None, sample: int = SAMP
 
 def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of a block of vectors for each query of a block, equal ones at the edge by key."""
-    parts = []
+    qids, found = [], [(np.empty(0, "int64"), np.empty(0), np.empty(0))]
     if len(left) and len(right):
         v, keys, payload = _matrix(right["vec"]), right["key"].to_numpy(), right["payload"].to_numpy(dtype="float64")
         for at in range(0, len(left), 256):
@@ -100,8 +100,9 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
                 near = np.flatnonzero(rough[i] <= edge[i] + 1e-6 * (1 + np.abs(q[i]).max()))  # rounding never decides
                 far = np.round(np.sqrt(((v[near] - q[i]) ** 2).sum(axis=1)), 9)
                 order = np.lexsort((keys[near], far))[:k]
-                parts.append(pd.DataFrame({"qid": qid, "key": keys[near][order], "payload": payload[near][order], "distance": far[order]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"qid": [], "key": [], "payload": [], "distance": []})
+                qids += [qid] * len(order)
+                found.append((keys[near[order]], payload[near[order]], far[order]))
+    return pd.DataFrame({"qid": qids} | {name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("key", "payload", "distance"))})
 
 
 def _probed(queries: DataFrame, index: CellIndex, cells: Column | str, k: int) -> DataFrame:
