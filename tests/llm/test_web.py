@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import time
 
@@ -92,6 +93,23 @@ def test_lookup_reads_blocks_by_key(spark):
     assert warc.capture_key("http://A.Example.org/x?y#z") == "org,example,a)/x?y" and warc.capture_key(None) == ")/"
 
 
+def test_lookup_of_every_address_finds_every_capture(spark):
+    rows = rows_of(300) + [(3000 + i, None, f"no address {i}") for i in range(40)] + [(4000 + i, "http://hot.example.org/", f"capture {i}") for i in range(90)]
+    folder = new_path(spark, "archive")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    captures = warc.write_archive(pages, folder)
+    parts = warc.build_index(captures, folder, per_block=7)
+    asked = pages.selectExpr("coalesce(url, '') AS url")
+    found = lambda: sorted((r["file"], r["at"]) for r in warc.lookup(parts, asked).collect())
+    assert found() == sorted((r["file"], r["at"]) for r in captures.collect())
+    files, path = warc.file_system(max(parts.collect(), key=lambda r: r["captures"])["directory"])
+    with files.open_input_file(path) as stream:
+        sparse = json.loads(stream.read())
+    with files.open_output_stream(path, compression=None) as stream:  # every block one place too late: what it names is not found
+        stream.write(json.dumps([[key, at, size] for (key, _, _), (_, at, size) in zip(sparse, sparse[1:] + sparse[:1], strict=True)]).encode())
+    assert len(found()) < len(rows)
+
+
 def generated(draw):
     """A page and the text of its article: nested wrappers, unclosed tags, svg, surroundings of every kind."""
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9)))

@@ -183,10 +183,6 @@ class IndexPart:
             self.held = number, [json.loads(line) for line in zlib.decompress(self.data.read_at(size, at)).decode().split("\n")]
         return self.held[1]
 
-    def every(self) -> Iterator[list]:
-        for number in range(len(self.sparse)):
-            yield from self.block(number)
-
     def find(self, key: str) -> Iterator[list]:
         """Captures of a key: its first block is the last one that starts before it."""
         number = max(0, bisect.bisect_left(self.first, key) - 1)
@@ -216,21 +212,14 @@ def _in_lists(rows: Iterator[list], size: int = 5000) -> Iterator[pa.RecordBatch
         yield _captures(held)
 
 
-def scan_index(parts: DataFrame) -> DataFrame:
-    """All captures of an index, read block by block."""
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, directory in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from _in_lists(IndexPart(part, directory).every())
-    return parts.select("part", "directory").repartition("part").mapInArrow(read, CAPTURE)
-
-
 def lookup(parts: DataFrame, urls: DataFrame) -> DataFrame:
     """Captures of the addresses in column ``url``: parts by range, block by binary search, then one range read.
 
     The parts' ranges (one row per index part, so as many as tasks wrote it) are joined by comparison to the distinct
-    keys; each part is opened by the task that gets its keys in order.  Null addresses find nothing.
+    keys; each part is opened by the task that gets its keys in order.  Null addresses find nothing; the empty address
+    finds the captures without one.
     """
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = urls.where("url IS NOT NULL").select("url").distinct()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +246,7 @@ def lookup(parts: DataFrame, urls: DataFrame) -> DataFrame:
                 if part != name:
                     name, index = part, IndexPart(part, directory)
                 yield from _in_lists(index.find(key))
-    placed = keys.mapInArrow(routed, "part string, directory string, wanted string").repartition("part").sortWithinPartitions("part", "wanted")
+    placed = keys.mapInArrow(routed, "part string, directory string, wanted string").repartition(tasks, "part").sortWithinPartitions("part", "wanted")
     return placed.mapInArrow(read, CAPTURE)
 
 
@@ -291,11 +280,15 @@ def read_records(captures: DataFrame, payload: bool = True) -> DataFrame:
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every row, as its record says when read back.
 
+    Records are found as a reader of the archive finds them: the distinct addresses of the pages are looked up in the
+    index, blocks by binary search in the sparse directories, and the records named there are range-read.  Pages
+    without an address share one key, which spreads over index parts like any other.
     Archives and index are written below the shared folder and removed when the result is written.
     """
     folder = new_path(spark, "archive")
     index = build_index(write_archive(pages, folder), folder)
-    captures, path = store(scan_index(index), "captures")
+    asked = pages.select(F.coalesce("url", F.lit("")).alias("url"))
+    captures, path = store(lookup(index, asked), "captures")
     found = read_records(captures, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     result, _ = store(found, "records")
     remove(spark, folder, path)
