@@ -1,8 +1,12 @@
+import functools
 import hashlib
 import random
 
+import pytest
+import xxhash
+
 from trialmesh.llm.queries import QUERIES
-from trialmesh.llm.winnowing import against_next, fingerprints
+from trialmesh.llm.winnowing import BASE, PRIME, against_next, fingerprints
 
 
 def brute(hashes, window):
@@ -20,24 +24,53 @@ def brute(hashes, window):
     return found
 
 
-def gram_hashes(spark, texts, gram):
-    """The hash of every gram, one row a gram: 31 bits, as the operator takes them."""
-    rows = [(i, j, t[j:j + gram].encode("utf-32-be")) for i, t in enumerate(texts) for j in (range(len(t) - gram + 1) if len(t) >= gram else [0] if t else [])]
-    made = spark.createDataFrame(rows, "i int, j int, b binary").selectExpr("i", "j", "shiftright(shiftleft(xxhash64(b), 32), 32) AS h").collect()
-    found = [dict() for _ in texts]
-    for r in made:
-        found[r["i"]][r["j"]] = r["h"]
-    return [[f[j] for j in range(len(f))] for f in found]
+def signed(data):
+    """The engine's 64-bit hash of bytes."""
+    value = xxhash.xxh64(data, seed=42).intdigest()
+    return value - (1 << 64) if value >> 63 else value
+
+
+def gram_hashes(texts, gram):
+    """The hash of every gram by Horner's rule over its own symbols; of the whole text, 32 bits, where it is shorter."""
+    found = []
+    for t in texts:
+        symbols = [signed(c.encode("utf-32-be")) & (PRIME - 1) for c in t]
+        if 0 < len(t) < gram:
+            low = signed(t.encode("utf-32-be")) & 0xFFFFFFFF
+            found.append([low - (1 << 32) if low >> 31 else low])
+        else:
+            found.append([functools.reduce(lambda h, v: (h * BASE + v) % PRIME, symbols[i:i + gram], 0) for i in range(len(t) - gram + 1)])
+    return found
 
 
 def test_fingerprints_equal_brute_force(spark, docs_of, prose):
     rows = [r for r in prose if len(r[1] or "") < 800]
     found = {r["doc_id"]: r["fingerprint"] for r in fingerprints(docs_of(rows)).collect()}
-    hashes = gram_hashes(spark, [t or "" for _, t in rows], 8)
+    hashes = gram_hashes([t or "" for _, t in rows], 8)
     for (i, _), h in zip(rows, hashes):
         assert found[i] == " ".join(str(h[at]) for at in brute(h, 32)), i
 
 
+@pytest.mark.parametrize("gram", [1, 2, 3, 5, 6, 7, 13])
+def test_rolled_hashes_of_any_length(spark, docs_of, gram):
+    draw = random.Random(gram)
+    rows = [(i, "".join(draw.choice("ab é世🙂") for _ in range(draw.choice([0, 1, 5, 6, 7, 13, 14, 60])))) for i in range(60)]
+    found = {r["doc_id"]: r["fingerprint"] for r in fingerprints(docs_of(rows), gram=gram, window=4).collect()}
+    for (i, _), h in zip(rows, gram_hashes([t for _, t in rows], gram)):
+        assert found[i] == " ".join(str(h[at]) for at in brute(h, 4)), i
+
+
+def test_order_of_equal_and_missing_ids(spark, docs_of):
+    draw = random.Random(3)
+    rows = [(draw.choice([7, 7, None, -5, *range(40), 1 << 60, (1 << 60) + 1]), f"text {i} " + "w" * draw.randint(0, 30)) for i in range(400)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1].encode())))
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        want.append((str(i), hashlib.sha256((t[:len(t) - len(t) // 2] + n[:len(t) // 2]).encode()).hexdigest()))
+    got = against_next(docs_of(rows)).collect()
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_edited_texts_and_neighbours(spark, docs_of, prose):
     got = {r["doc_id"]: r for r in against_next(docs_of(prose)).collect()}
     order = sorted(prose, key=lambda r: -r[0])
@@ -79,7 +112,7 @@ def test_query_marks_every_run_of_23_code_points(spark, docs_of, tmp_path):
     docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: r["fingerprint"].split() for r in QUERIES["op7_fingerprints"](spark, str(tmp_path)).collect()}
     assert all(set(found[i]) & set(found[i + 1]) for i in range(0, 120, 2))
-    for (i, _), h in zip(rows, gram_hashes(spark, [t for _, t in rows], 8)):
+    for (i, _), h in zip(rows, gram_hashes([t for _, t in rows], 8)):
         assert found[i] == [str(h[at]) for at in brute(h, 16)], i
 
 

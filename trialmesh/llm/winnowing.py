@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing. DataFrame functions only.
 
-Every ``gram`` code points are hashed; of every ``window`` neighbouring hashes the smallest is kept, the rightmost of
+Every ``gram`` code points have a rolling hash: a polynomial of their symbols, in which a run takes over the values of
+the shorter runs that it is made of; of every ``window`` neighbouring hashes the smallest is kept, the rightmost of
 equal ones, with its position.  Two texts that share ``gram + window - 1`` code points in a row share a mark.
 
 A mark is one long: 32 bits of hash, shifted by 32 places, minus the position, so the smallest long of a window is the
@@ -9,11 +10,15 @@ smallest hash at its rightmost place.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 GRAM, WINDOW = 8, 32
 _LOW = (1 << 32) - 1
+CELL_BYTES = 64 << 20
+PRIME, BASE = (1 << 31) - 1, 1_403_580_307
 
 
 def _mark(hashed: Column, at: Column) -> Column:
@@ -41,13 +46,37 @@ def _held(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _rolled(gram: int, symbols: Column) -> Column:
+    """Polynomial values of all runs of ``gram`` symbols, by the places they start at; null where a run is not whole.
+
+    The value of a run is rolled from those of its parts: twice as many symbols with every pass, each place adding the
+    value that lies as far behind it.  Factors are below 2 ** 31, so no step leaves the range of a long.
+    """
+    def rest(parts: Column, length: int, done: Column | None, taken: int) -> Column:
+        if gram & length:
+            joined = parts if done is None else F.zip_with(done, F.slice(parts, taken + 1, F.size(parts)), _joined(length))
+            done, taken = joined, taken + length
+        if taken == gram:
+            return done
+        if gram & length:  # read again below: hold both
+            both = F.struct(parts.alias("parts"), done.alias("done"))
+            return _held(both, lambda h: rest(F.zip_with(h["parts"], F.slice(h["parts"], length + 1, F.size(h["parts"])), _joined(length)), 2 * length, h["done"], taken))
+        return _held(parts, lambda h: rest(F.zip_with(h, F.slice(h, length + 1, F.size(h)), _joined(length)), 2 * length, done, taken))
+    return rest(symbols, 1, None, 0)
+
+
+def _joined(length: int):
+    factor = F.lit(pow(BASE, length, PRIME))
+    return lambda left, right: (left * factor + right) % PRIME
+
+
 def _hashed(gram: int):
     """Marks of all grams of a text given as four bytes a code point; of the whole text where it is shorter."""
     def of(code: Column) -> Column:
-        count = (F.octet_length(code) / 4).cast("int") - (gram - 1)
-        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1),
-                                             lambda i: _mark(F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4 * gram))), i))).when(
-            F.octet_length(code) > 0, F.array(_mark(F.xxhash64(code), F.lit(0)))).otherwise(F.array().cast("array<long>"))
+        n = (F.octet_length(code) / 4).cast("int")
+        symbols = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.substring(code, i * 4 + 1, F.lit(4))).bitwiseAND(PRIME - 1))
+        grams = F.slice(_rolled(gram, symbols), 1, n - (gram - 1))
+        return F.when(n >= gram, F.transform(grams, _mark)).when(n > 0, F.array(_mark(F.xxhash64(code), F.lit(0)))).otherwise(F.array().cast("array<long>"))
     return of
 
 
@@ -101,14 +130,32 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return add_marks(kept, "_text", "marks", gram, window).drop("_text").withColumn("fingerprint", as_string(F.col("marks")))
 
 
-def _in_cells(docs: DataFrame, cells: int) -> DataFrame:
-    """doc_id, text and _cell: ranges of doc_id of about equal numbers of rows, the largest ids first, null last."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    edges = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], cells * 20).alias("e")).first()["e"] or []
-    splits = [float("-inf"), *sorted({float(e) for e in edges} or {0.0}), float("inf")]
-    rows = rows.withColumn("_id", F.col("doc_id").cast("double"))
-    rows = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(rows)
-    return rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(-F.col("_b")).cast("int").alias("_cell"), F.col("doc_id").isNull().alias("_null"))
+def _in_cells(docs: DataFrame, tasks: int) -> tuple[DataFrame, int]:
+    """doc_id, text, _hash and _cell: ranges in the order of ``against_next`` of about equal numbers of rows.
+
+    There are as many ranges as the texts need at 64 MB each, at least two a task and at most 50,000.  An id that fills
+    several of them, and missing ids, are cut further by the hash of the text.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("named")).first()
+    cells = min(max(2 * tasks, size["bytes"] // CELL_BYTES + 1), 50_000)
+    edges = rows.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], cells * 20).alias("e")).first()["e"] or [0]
+    hot = {e: n for e, n in Counter(edges).items() if n > 1 and abs(e) < 1 << 53}  # larger ones are not exact as doubles
+    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
+    parts = {float(e): n for e, n in hot.items()}
+    starts, total = [0] * (len(splits) - 1), 0
+    for b in reversed(range(len(starts))):  # the largest ids first; of a range, the ids above its hot one
+        starts[b], total = total, total + 1 + parts.get(splits[b], 0)
+    unnamed = -(-(size["rows"] - size["named"]) * cells // max(size["rows"], 1))
+    share = lambda n: F.least((F.col("_hash") / 2.0 ** 64 + 0.5) * n, F.lit(n - 1)).cast("int")
+    inside = F.lit(0)
+    if hot:
+        known = F.try_element_at(F.create_map(*[F.lit(x) for e, n in hot.items() for x in (e, n)]), F.col("doc_id"))
+        inside = F.coalesce(1 + share(known).cast("int"), F.lit(0))
+    rows = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(rows.withColumn("_id", F.col("doc_id").cast("double")))
+    start = F.get(F.lit(starts), F.col("_b").cast("int"))
+    cell = F.when(F.col("doc_id").isNull(), total + share(F.lit(max(unnamed, 1)))).otherwise(start + inside)
+    return rows.select("doc_id", "text", "_hash", cell.cast("int").alias("_cell")), total + unnamed
 
 
 def against_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -126,20 +173,20 @@ def against_next(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     choose, and those of the few windows across the seam; without a right part there is no seam.
     """
     spark, span = docs.sparkSession, gram + window - 1
-    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = _in_cells(docs, 4 * tasks)
-    order = rows.select("doc_id", "_cell", "_null").groupBy("_null", "_cell").agg(F.max("doc_id").alias("doc_id"))
-    firsts = sorted(((r["_null"], r["_cell"], r["doc_id"]) for r in order.collect()), key=lambda r: r[:2])  # a row per range
+    rows, cells = _in_cells(docs, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    order = rows.groupBy("_cell").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("place"), "_hash")).alias("first"))
+    firsts = sorted((r["_cell"], None if r["first"]["place"] is None else ~r["first"]["place"], r["first"]["_hash"]) for r in order.collect())  # a row per range
     if not firsts:
         heads = rows.limit(0)
     else:
-        following = [(n, c, *firsts[(i + 1) % len(firsts)]) for i, (n, c, _) in enumerate(firsts)]
-        small = spark.createDataFrame(following, "_to_null boolean, _to int, _null boolean, _cell int, doc_id long")
-        heads = rows.join(F.broadcast(small), (rows["doc_id"].eqNullSafe(small["doc_id"])) & (rows["_cell"] == small["_cell"]) & (rows["_null"] == small["_null"]))
-        heads = heads.select(rows["doc_id"], "text", F.col("_to").alias("_cell"), F.col("_to_null").alias("_null"))
-    every = rows.withColumn("_head", F.lit(False)).unionByName(heads.withColumn("_head", F.lit(True))).repartition(tasks, "_null", "_cell")
+        following = [(cell, *firsts[(i + 1) % len(firsts)]) for i, (cell, _, _) in enumerate(firsts)]
+        small = spark.createDataFrame(following, "_to int, _cell int, doc_id long, _hash long")
+        heads = rows.join(F.broadcast(small), rows["doc_id"].eqNullSafe(small["doc_id"]) & (rows["_cell"] == small["_cell"]) & (rows["_hash"] == small["_hash"]))
+        heads = heads.select(rows["doc_id"], "text", rows["_hash"], F.col("_to").alias("_cell"))
+    every = rows.withColumn("_head", F.lit(False)).unionByName(heads.withColumn("_head", F.lit(True)))
+    every = every.repartitionById(max(cells, 1), "_cell")
     every = add_marks(every, "text", "marks", gram, window).withColumn("_hashes", F.array_distinct(mark_hashes(F.col("marks"))))
-    following = W.partitionBy("_null", "_cell").orderBy("_head", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    following = W.partitionBy("_cell").orderBy("_head", F.col("doc_id").desc_nulls_last(), "_hash", "text")
     every = every.withColumn("_next", F.lead(F.struct("text", "marks", "_hashes")).over(following)).where("NOT _head")
     n = F.length("text")
     every = every.withColumn("n_chars", n.cast("long")).withColumn("_cut", F.floor(n / 2).cast("int"))
