@@ -1,9 +1,8 @@
 """Model families, ensembles, bagging and the round loop, on Spark ML.
 
-Families stand in for the named libraries: RF and XT are random forests (XT without
-row sampling), GBM / XGB / CAT gradient-boosted trees with three parameter sets, LR a
-linear model, KNN a vote of the finest grid cell with enough rows, NN_TORCH / FASTAI a
-multilayer perceptron (classification only).
+Families stand in for the named libraries: RF and XT are random forests (XT without row sampling), GBM and XGB boosted
+trees of second order, CAT the same with symmetric trees and ordered target statistics (``boosting``), LR a linear model,
+KNN a vote of the nearest rows, NN_TORCH / FASTAI a multilayer perceptron (classification only).
 """
 
 from __future__ import annotations
@@ -14,15 +13,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, HashingTF, IDF, Imputer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from trialmesh.operators.boosting import Boosted
 from trialmesh.operators.vector_index import build_index, search
 from trialmesh.operators.tabular import bag_folds, binary_metrics, calibrate_threshold, multiclass_metrics, regression_metrics, split_holdout
+from trialmesh.scale import rank_rows
 from trialmesh.session import materialize, scratch
 
 HASHED_SLOTS = 16
@@ -145,8 +145,8 @@ class Neighbours:
 # Default parameters per family.
 FAMILY_PARAMS = {
     "RF": {"numTrees": 20, "maxDepth": 6, "seed": 42}, "XT": {"numTrees": 20, "maxDepth": 8, "seed": 43, "bootstrap": False, "featureSubsetStrategy": "onethird"},
-    "GBM": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "seed": 42}, "XGB": {"maxIter": 10, "maxDepth": 5, "stepSize": 0.3, "seed": 43},
-    "CAT": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "seed": 44}, "LR": {"maxIter": 50, "regParam": 0.01},
+    "GBM": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "l2": 0.1, "seed": 42}, "XGB": {"maxIter": 10, "maxDepth": 5, "stepSize": 0.3, "l2": 1.0, "patience": 3, "seed": 43},
+    "CAT": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "l2": 3.0, "symmetric": True, "seed": 44}, "LR": {"maxIter": 50, "regParam": 0.01},
     "KNN": {"k": 5}, "NN_TORCH": {"maxIter": 60, "seed": 42}, "FASTAI": {"maxIter": 40, "seed": 43},
 }
 
@@ -155,13 +155,6 @@ def _estimator(family: str, task: str, params: dict, width: int, n_classes: int)
     io = {"featuresCol": "_x", "labelCol": "_label", "predictionCol": "_pred"}
     if family in ("RF", "XT"):
         return RandomForestRegressor(**io, **params) if task == REGRESSION else RandomForestClassifier(**io, **params)
-    if family in ("GBM", "XGB", "CAT"):
-        if task == REGRESSION:
-            return GBTRegressor(**io, **params)
-        if task == BINARY:
-            return GBTClassifier(**io, **params)
-        one = GBTClassifier(featuresCol="_x", labelCol="_label", **params)
-        return OneVsRest(classifier=one, parallelism=2, **io)
     if family == "LR":
         return LinearRegression(**io, **params) if task == REGRESSION else LogisticRegression(**io, **params)
     if family in ("NN_TORCH", "FASTAI"):
@@ -193,6 +186,9 @@ def fit_family(train: DataFrame, features: Sequence[str], label: str, task: str,
     if family == "KNN":
         model = Neighbours.fit(rows.drop("_in"), train, features, classes, options["k"], task == REGRESSION)
         return Fitted(family, task, list(features), classes, [model])
+    if family in ("GBM", "XGB", "CAT"):
+        model = Boosted.fit(rows.drop("_in"), list(features), _kinds(train, features)[1], len(classes), options)
+        return Fitted(family, task, list(features), classes, [model])
     stages, slots = _feature_stages(train, features)
     estimator = _estimator(family, task, options, sum(w for _, w in slots), len(classes))
     model = Pipeline(stages=[*stages, estimator]).fit(rows.drop("_in"))
@@ -207,17 +203,48 @@ def batch_predict(model: Fitted, df: DataFrame) -> DataFrame:
 def feature_importance(model: Fitted) -> DataFrame:
     """(feature, importance, rank); the slots of a hashed feature are added up."""
     from pyspark.sql import SparkSession
-    last = model.stages[0].stages[-1]
-    if not hasattr(last, "featureImportances"):
-        raise ValueError(f"{model.family} has no importances")
-    values, at, rows = last.featureImportances.toArray(), 0, []
-    for name, width in model.slots:
-        rows.append((name, float(values[at:at + width].sum())))
-        at += width
+    rows = []
+    if isinstance(model.stages[0], Boosted):
+        rows = list(model.stages[0].importances().items())
+    else:
+        last = getattr(model.stages[0], "stages", [None])[-1]
+        if not hasattr(last, "featureImportances"):
+            raise ValueError(f"{model.family} has no importances of its own; see permutation_importance")
+        values, at = last.featureImportances.toArray(), 0
+        for name, width in model.slots:
+            rows.append((name, float(values[at:at + width].sum())))
+            at += width
     rows.sort(key=lambda r: (-r[1], r[0]))
     return SparkSession.active().createDataFrame([(n, v, i + 1) for i, (n, v) in enumerate(rows)], "feature string, importance double, rank int")
 
 
+def permutation_importance(model: Fitted, holdout: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """(feature, importance, rank) of any family: how much the loss grows when the values of a feature change rows.
+
+    Every feature's values move one place along an order of all rows by a seeded hash, the last to the first.  The
+    loss is the squared error, for classes the negative logarithm of the own class's probability, at least 1e-15; a
+    label that the model does not know counts as that.  All changed copies are scored in one pass.  ``key`` names the
+    rows, once each; rows without a label are left out.  The rows are written to the shared folder (eager).
+    """
+    rows = materialize(holdout.where(F.col(label).isNotNull()).select(*dict.fromkeys([key, label, *model.features])), "holdout")
+    n = rows.count()
+    every = rows.withColumn("_changed", F.lit(None).cast("string"))
+    for feature in model.features:
+        placed = rank_rows(rows, [], F.xxhash64(F.col(key), F.lit(feature), F.lit(seed)), [F.xxhash64(F.lit(seed), F.col(key)), key], "_at")
+        given = placed.select((F.col("_at") % n + 1).alias("_at"), F.col(feature).alias("_value"))
+        moved = placed.drop(feature).join(given, "_at").withColumnRenamed("_value", feature)
+        every = every.unionByName(moved.select(*rows.columns, F.lit(feature).alias("_changed")))
+    scored = model.transform(every)
+    if model.task == REGRESSION:
+        loss = F.pow(F.col("prediction") - F.col(label).cast("double"), 2)
+    else:
+        names = F.array(*[F.lit(c) for c in model.classes])
+        own = F.get("probability", F.array_position(names, F.col(label).cast("string")).cast("int") - 1)
+        loss = -F.ln(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(1e-15)))
+    means = {r["_changed"]: r["loss"] for r in scored.groupBy("_changed").agg(F.avg(loss).alias("loss")).collect()}  # a row per feature
+    found = sorted(((f, float(means[f] - means[None])) for f in model.features if f in means), key=lambda r: (-r[1], r[0]))
+    return holdout.sparkSession.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(found)], "feature string, importance double, rank int")
+
 
 def weighted_ensemble(preds: DataFrame, models: Sequence[str], label: str, metric: str = "log_loss", steps: int = 10) -> dict[str, float]:
     """Weights by greedy forward selection with replacement on holdout predictions (eager).
