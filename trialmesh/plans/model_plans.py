@@ -137,6 +137,23 @@ def _(t):
                      (F.transform(ranks, lambda r: r["i"]) == F.array_sort(F.transform(ranks, lambda r: r["i"]))).alias("ranks_follow"))
 
 
+#: Features and factors of a label that they determine; a feature's importance is then twice its variance times the factor squared.
+DETERMINES = {"l_quantity": 2.0, "l_discount": 100.0, "l_tax": 50.0}
+
+
+@query("permutation_importance", f"""
+SELECT feature, CAST(row_number() OVER (ORDER BY worth DESC) AS INTEGER) AS rank, true AS near_closed_form
+FROM ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {x * x} * var_pop({c}) AS worth FROM lineitem" for c, x in DETERMINES.items())}) WHERE worth IS NOT NULL""")
+def _(t):
+    """A linear model of a determined label: which features count, and whether by as much as the closed form says."""
+    rows = fx.train_table(t).select("key", *DETERMINES).withColumn("label", sum((F.col(c) * x for c, x in DETERMINES.items()), F.lit(0.0)))
+    model = ops.fit_family(rows, list(DETERMINES), "label", ops.REGRESSION, "LR")
+    spread = rows.agg(*[(F.var_pop(c) * (2 * x * x)).alias(c) for c, x in DETERMINES.items()])
+    spread = spread.select(F.explode(F.create_map(*[y for c in DETERMINES for y in (F.lit(c), F.col(c))])).alias("feature", "expected"))  # a row per feature
+    found = ops.permutation_importance(model, rows, "label", "key").join(F.broadcast(spread), "feature")
+    return found.select("feature", "rank", (F.col("importance") / F.col("expected")).between(0.8, 1.2).alias("near_closed_form"))
+
+
 @query("text_classifier", """
 SELECT d.doc_id, l.quality IS NOT NULL AS labelled, true AS probability_is_valid FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def _(t):
