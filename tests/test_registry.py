@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trialmesh.functions import config as cf, text as tx
 from trialmesh.operators import profile as pf, registry as rg, sets
 from trialmesh.sources import files as src
-from trialmesh.streaming import events as ev
+from trialmesh.streaming import events as ev, state as st
 
 
 def one(spark, column):
@@ -122,7 +122,7 @@ def test_streams_equal_batch(spark, tmp_path):
     ev.dedupe_events(stream(), "event_id").writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).count() == 40
-    state = ev.stream_state(stream(), "user", "event_id", ["step"], str(tmp_path / "state"), str(tmp_path / "c2"))
+    state = st.stream_state(stream(), "user", "event_id", ["step"], str(tmp_path / "state"))
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, ev.merge_state(df, "user", "event_id", ["step"]).collect()))
     assert new_path(spark, "x") != new_path(spark, "x")
 

@@ -1,10 +1,12 @@
 """Streams that stop, start again and see late rows give what a batch over all rows gives."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from trialmesh.session import new_path
 from trialmesh.sources import files as src
-from trialmesh.streaming import events as ev
+from trialmesh.streaming import events as ev, state as st
 
 
 def rows_of(spark, rows, folder, kind):
@@ -13,18 +15,33 @@ def rows_of(spark, rows, folder, kind):
 
 
 def test_state_survives_restarts_with_and_without_new_data(spark):
-    kind, inbox, state, offsets = "k long, o long, a string, b string", new_path(spark, "in"), new_path(spark, "state"), new_path(spark, "offsets")
-    batches = [[(i % 9, i, f"a{i}" if i % 2 else None, None) for i in range(40)], [(3, 100, None, "b"), (77, 5, "x", "y")], [(3, 50, "late", "older"), (8, 200, "z", None)]]
-    stored, every = [], []
+    kind, inbox, state = "k long, o long, a string, b double", new_path(spark, "in"), new_path(spark, "state")
+    batches = [[(i % 9, i, f"a{i}" if i % 2 else None, None) for i in range(40)], [(3, 100, None, 0.1), (77, 5, "x", 1e300)], [(3, 50, "late", 2.0), (8, 200, "z", None), (None, 1, "", None)]]
+    every = []
     for rows in batches:
         every += rows
         for attempt in range(2):  # the second time nothing is new
             stream = rows_of(spark, rows, inbox, kind) if attempt == 0 else spark.readStream.schema(kind).parquet(inbox)
-            got = ev.stream_state(stream, "k", "o", ["a", "b"], state, offsets, parts=5)
+            got = st.stream_state(stream, "k", "o", ["a", "b"], state)
             want = ev.merge_state(spark.createDataFrame(every, kind), "k", "o", ["a", "b"])
             assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
 
 
+def test_keys_expire_by_timers_and_start_again(spark):
+    kind, inbox, state, expired = "k string, at timestamp_ntz, n long", new_path(spark, "in"), new_path(spark, "state"), new_path(spark, "expired")
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    steps = [([("a", day(0), 1), ("b", day(0), 2), ("b", day(0), 3), ("c", None, 4)], {("a", 1, True), ("b", 3, True)}),
+             ([("a", day(6), 5), ("d", day(7), 6)], {("a", 5, True), ("b", 3, True), ("d", 6, True)}),  # the watermark is an hour short
+             ([("e", day(7.1), 7)], {("a", 5, True), ("b", 3, False), ("d", 6, True), ("e", 7, True)}),
+             ([("b", day(12), 8), ("a", day(6), 9)], {("a", 5, True), ("b", 8, True), ("d", 6, True), ("e", 7, True)}),  # a's row is late
+             ([("f", day(13.5), 10)], {("a", 5, False), ("b", 8, True), ("d", 6, True), ("e", 7, True), ("f", 10, True)})]
+    for rows, want in steps:
+        stream = rows_of(spark, rows, inbox, kind)
+        got = st.stream_expire_keys(stream, "k", "at", "n", state, expired)
+        assert {(r["k"], r["n"], r["alive"]) for r in got.collect()} == want and got.count() == len(want)
+    assert got.where("k = 'e'").first()["at"] == day(7.1)
+
+
 def test_lists_keep_their_order_over_batches(spark):
     kind, inbox, log, offsets = "k long, o long, item string, s string", new_path(spark, "in"), new_path(spark, "log"), new_path(spark, "offsets")
     every = []

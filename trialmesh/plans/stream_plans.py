@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from trialmesh.plans.profile_plans import USAGE_AGG
 from trialmesh.plans.registry import query
 from trialmesh.session import new_path
 from trialmesh.sources import files as src
-from trialmesh.streaming import events as ev
+from trialmesh.streaming import events as ev, state as st
 
 
 @query("read_csv_table", "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -182,7 +182,7 @@ def _(t):
     stream = t.stream("events")
     updates = stream.select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("step"),
                             F.when(F.col("value") > 20, F.col("value")).alias("cost"))
-    return ev.stream_state(updates, "user_id", "event_id", ["step", "cost"], new_path(t.spark, "state"), new_path(t.spark, "offsets"))
+    return st.stream_state(updates, "user_id", "event_id", ["step", "cost"], new_path(t.spark, "state"))
 
 
 @query("expire_keys", """
@@ -192,6 +192,14 @@ def _(t):
     return ev.expire_keys(t.events.select("user_id", "event_id", "ts"), "user_id", "ts", datetime(2024, 1, 29, 12), tie=["event_id"])
 
 
+@query("stream_expire_keys", """
+WITH last AS (SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1)
+SELECT user_id, event_id, ts, ts + INTERVAL 6 HOUR > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS alive FROM last""")
+def _(t):
+    """Users are over six hours after their last event, by timers in event time."""
+    return st.stream_expire_keys(t.stream("events"), "user_id", "ts", "event_id", new_path(t.spark, "state"), new_path(t.spark, "expired"), timedelta(hours=6))
+
+
 @query("run_progress", """
 SELECT user_id AS experiment_id, event_id AS seq, round(value, 3) AS elapsed_seconds, greatest(0.0, 300.0 - value) AS remaining_seconds,
   event_id % 6 AS completed, round(event_id % 6 / 5 * 100, 1) AS progress_percent, event_id % 6 >= 5 AS is_terminal

@@ -123,59 +123,6 @@ def merge_state(updates: DataFrame, key: str, order: str, fields: Sequence[str])
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields], F.max(order).alias(order))
 
 
-def stream_state(updates: DataFrame, key: str, order: str, fields: Sequence[str], folder: str, checkpoint: str, parts: int = 64) -> DataFrame:
-    """Streaming :func:`merge_state`; returns the state after all input that is there, also when nothing is new.
-
-    The state lies in ``parts`` parts by key hash.  A micro-batch reads and writes only the parts its keys fall into,
-    as a version named after the batch; of every part the newest version counts.  A batch that is retried overwrites
-    its own version and reads those of earlier batches, so it may run again at any time, also after a restart.  What a
-    version replaces goes with the next batch that touches the part, so the state is stored once or twice.
-    """
-    spark = updates.sparkSession
-    jvm = spark.sparkContext._jvm
-    place = lambda *steps: jvm.org.apache.hadoop.fs.Path("/".join([folder, *steps]))
-    files = place().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    when = [f"_at_{c}" for c in fields]  # the order value of each field, so that late updates find their place
-
-    def dated(rows: DataFrame) -> DataFrame:
-        return rows.select(key, order, *fields, *[F.when(F.col(c).isNotNull(), F.col(order)).alias(w) for c, w in zip(fields, when, strict=True)])
-
-    def folded(rows: DataFrame) -> DataFrame:
-        newest = [x for c, w in zip(fields, when, strict=True) for x in (F.max_by(c, w).alias(c), F.max(w).alias(w))]
-        return rows.groupBy(key).agg(F.max(order).alias(order), *newest).select(key, order, *fields, *when)
-    schema = dated(updates).schema
-
-    def versions(before: int | None = None) -> dict[int, list[int]]:
-        """The finished versions of every part in ascending order, on request those of earlier batches only."""
-        found: dict[int, list[int]] = {}
-        names = [f.getPath().getName() for f in files.listStatus(place())] if files.exists(place()) else []
-        for version in sorted(int(n[1:]) for n in names if n.startswith("v")):
-            if files.exists(place(f"v{version}", "_SUCCESS")) and (before is None or version < before):
-                for name in (f.getPath().getName() for f in files.listStatus(place(f"v{version}"))):
-                    if name.startswith("_part="):
-                        found.setdefault(int(name.removeprefix("_part=")), []).append(version)
-        return found
-
-    def read(chosen: dict[int, int]) -> DataFrame:
-        paths = [f"{folder}/v{version}/_part={part}" for part, version in chosen.items()]
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-        new = folded(dated(batch))
-        touched = {r["_part"] for r in new.select(part.alias("_part")).distinct().collect()}  # at most ``parts`` rows
-        have = {p: v for p, v in versions(epoch).items() if p in touched}
-        both = folded(new.unionByName(read({p: v[-1] for p, v in have.items()})))
-        both.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/v{epoch}")
-        for p, older in have.items():
-            for version in older[:-1]:
-                files.delete(place(f"v{version}", f"_part={p}"), True)
-
-    updates.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start().awaitTermination()
-    return read({p: v[-1] for p, v in versions().items()}).select(key, *fields, order)
-
-
 def expire_keys(df: DataFrame, key: str, written: str, at: datetime, ttl_days: int = 7, tie: Sequence[str] = ()) -> DataFrame:
     """Last write per key, gone ``ttl_days`` after it; a new write restarts the clock."""
     moment = F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
