@@ -1,8 +1,8 @@
 """Model families, ensembles, bagging and the round loop, on Spark ML.
 
-Families stand in for the named libraries: RF and XT are random forests (XT without row sampling), GBM and XGB boosted
-trees of second order, CAT the same with symmetric trees and ordered target statistics (``boosting``), LR a linear model,
-KNN a vote of the nearest rows, NN_TORCH / FASTAI a multilayer perceptron (classification only).
+Families stand in for the named libraries: RF is a random forest, XT extremely randomised trees (``random_trees``), GBM
+and XGB boosted trees of second order, CAT the same with symmetric trees and ordered target statistics (``boosting``), LR
+a linear model, KNN a vote of the nearest rows, NN_TORCH / FASTAI a network with embeddings (``network``).
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, HashingTF, IDF, Imputer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialmesh.operators.boosting import Boosted
+from trialmesh.operators.network import Network
+from trialmesh.operators.random_trees import RandomTrees
 from trialmesh.operators.vector_index import build_index, search
 from trialmesh.operators.tabular import bag_folds, binary_metrics, calibrate_threshold, multiclass_metrics, regression_metrics, split_holdout
 from trialmesh.scale import rank_rows
@@ -144,23 +146,19 @@ class Neighbours:
 
 # Default parameters per family.
 FAMILY_PARAMS = {
-    "RF": {"numTrees": 20, "maxDepth": 6, "seed": 42}, "XT": {"numTrees": 20, "maxDepth": 8, "seed": 43, "bootstrap": False, "featureSubsetStrategy": "onethird"},
+    "RF": {"numTrees": 20, "maxDepth": 6, "seed": 42}, "XT": {"numTrees": 20, "maxDepth": 8, "min_rows": 5, "seed": 43},
     "GBM": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "l2": 0.1, "seed": 42}, "XGB": {"maxIter": 10, "maxDepth": 5, "stepSize": 0.3, "l2": 1.0, "patience": 3, "seed": 43},
     "CAT": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "l2": 3.0, "symmetric": True, "seed": 44}, "LR": {"maxIter": 50, "regParam": 0.01},
-    "KNN": {"k": 5}, "NN_TORCH": {"maxIter": 60, "seed": 42}, "FASTAI": {"maxIter": 40, "seed": 43},
+    "KNN": {"k": 5}, "NN_TORCH": {"maxIter": 60, "hidden": 16, "seed": 42}, "FASTAI": {"maxIter": 40, "hidden": 32, "seed": 43},
 }
 
 
-def _estimator(family: str, task: str, params: dict, width: int, n_classes: int):
+def _estimator(family: str, task: str, params: dict):
     io = {"featuresCol": "_x", "labelCol": "_label", "predictionCol": "_pred"}
-    if family in ("RF", "XT"):
+    if family == "RF":
         return RandomForestRegressor(**io, **params) if task == REGRESSION else RandomForestClassifier(**io, **params)
     if family == "LR":
         return LinearRegression(**io, **params) if task == REGRESSION else LogisticRegression(**io, **params)
-    if family in ("NN_TORCH", "FASTAI"):
-        if task == REGRESSION:
-            raise ValueError(f"{family} fits classes only")
-        return MultilayerPerceptronClassifier(layers=[width, 16, n_classes], **io, **params)
     raise ValueError(f"unknown family {family!r}")
 
 
@@ -186,11 +184,12 @@ def fit_family(train: DataFrame, features: Sequence[str], label: str, task: str,
     if family == "KNN":
         model = Neighbours.fit(rows.drop("_in"), train, features, classes, options["k"], task == REGRESSION)
         return Fitted(family, task, list(features), classes, [model])
-    if family in ("GBM", "XGB", "CAT"):
-        model = Boosted.fit(rows.drop("_in"), list(features), _kinds(train, features)[1], len(classes), options)
+    own = {"GBM": Boosted, "XGB": Boosted, "CAT": Boosted, "XT": RandomTrees, "NN_TORCH": Network, "FASTAI": Network}
+    if family in own:
+        model = own[family].fit(rows.drop("_in"), list(features), _kinds(train, features)[1], len(classes), options)
         return Fitted(family, task, list(features), classes, [model])
     stages, slots = _feature_stages(train, features)
-    estimator = _estimator(family, task, options, sum(w for _, w in slots), len(classes))
+    estimator = _estimator(family, task, options)
     model = Pipeline(stages=[*stages, estimator]).fit(rows.drop("_in"))
     return Fitted(family, task, list(features), classes, [model], slots)
 
@@ -204,7 +203,7 @@ def feature_importance(model: Fitted) -> DataFrame:
     """(feature, importance, rank); the slots of a hashed feature are added up."""
     from pyspark.sql import SparkSession
     rows = []
-    if isinstance(model.stages[0], Boosted):
+    if hasattr(model.stages[0], "importances"):
         rows = list(model.stages[0].importances().items())
     else:
         last = getattr(model.stages[0], "stages", [None])[-1]
