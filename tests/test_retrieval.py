@@ -206,3 +206,17 @@ def test_vector_queries_take_every_twentieth_row_and_give_recall(spark):
         mine = [r for r in found if r["qid"] == i]
         recall = sum((i, r["doc_id"]) in right for r in mine) / 10
         assert recall >= 0.9 and all(r["recall"] == pytest.approx(recall) for r in mine)
+
+
+def test_table_function_keeps_columns_and_checks_arguments(spark):
+    df = spark.createDataFrame([(1.5, "a b c d e", 7), (2.5, None, 8), (3.5, "", 9), (None, "x", None)], "score double, body string, id long")
+    got = udfs.chunk_table(df, "token", 2, 0, "body")
+    assert got.columns == ["score", "body", "id", "chunk_index", "contents"]
+    want = {(7, i, c) for i, c in enumerate(pt.CHUNKERS["token"]("a b c d e", 2, 0))} | {(None, 0, "x")}
+    assert {(r["id"], r["chunk_index"], r["contents"]) for r in got.collect()} == want and len(want) > 2
+    df.createOrReplaceTempView("chunk_bodies")
+    parted = spark.sql("SELECT id, contents FROM chunk_table(TABLE(chunk_bodies) PARTITION BY (id), 'simple', 0, 0, 'body')")
+    assert {tuple(r) for r in parted.collect()} == {(7, "a b c d e"), (None, "x")}
+    for bad in (("nothing", "body"), ("token", "id"), ("token", "missing")):
+        with pytest.raises(Exception, match="unknown chunker|no text column"):
+            udfs.chunk_table(df, bad[0], 2, 0, bad[1]).collect()

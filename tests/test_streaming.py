@@ -42,6 +42,19 @@ def test_keys_expire_by_timers_and_start_again(spark):
     assert got.where("k = 'e'").first()["at"] == day(7.1)
 
 
+def test_completions_wait_for_outputs_of_later_batches(spark):
+    left, right, out, offsets = (new_path(spark, n) for n in ("completions", "outputs", "joined", "offsets"))
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    steps = [([("a", 1, at(0)), ("b", 2, at(0)), ("c", 3, at(1))], [("a", "x", at(2)), ("b", "early", at(-1))], {("a", 1, "x")}),
+             ([("d", 4, at(3))], [("a", "late", at(3.5)), ("c", "y", at(3))], {("a", 1, "x"), ("c", 3, "y")}),  # too late for a
+             ([("z", 9, at(9))], [("z", "w", at(9))], {("a", 1, "x"), ("c", 3, "y"), ("z", 9, "w"), ("b", 2, None), ("d", 4, None)})]
+    for completed, stored, want in steps:
+        c = rows_of(spark, completed, left, "k string, id long, done timestamp")
+        o = rows_of(spark, stored, right, "k string, what string, stored timestamp")
+        got = ev.stream_join_completed(c, o, "k", "done", "stored", "3 HOURS", "1 hour", out, offsets)
+        assert {(r["k"], r["id"], r["what"]) for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_lists_keep_their_order_over_batches(spark):
     kind, inbox, log, offsets = "k long, o long, item string, s string", new_path(spark, "in"), new_path(spark, "log"), new_path(spark, "offsets")
     every = []

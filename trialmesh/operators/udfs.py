@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from trialmesh.functions import python_text as pt
 
@@ -55,3 +57,50 @@ def chunk_udtf(df: DataFrame, key: str, method: str, size: int, overlap: int, te
         "SELECT d.key, c.chunk_index, c.contents FROM {docs} d, LATERAL chunk_text(d.text, :method, :size, :overlap) c",
         args={"method": method, "size": size, "overlap": overlap},
         docs=df.select(F.col(key).alias("key"), F.col(text).alias("text"))).withColumnRenamed("key", key)
+
+
+def register_chunk_table(spark: SparkSession, name: str = "chunk_table") -> None:
+    """Make ``SELECT * FROM chunk_table(TABLE(docs), 'token', 512, 64, 'text')`` available.
+
+    The result has all columns of the table, whatever they are, then ``chunk_index`` and ``contents``; its schema and
+    the arguments are checked when the query is planned.  A row without text has no chunks.  Rows stay where they lie;
+    with ``PARTITION BY`` they are brought together first.
+    """
+    chunkers = pt.CHUNKERS
+
+    @dataclass
+    class Plan(AnalyzeResult):
+        at: int = 0
+
+    class ChunkTable:
+        def __init__(self, plan: Plan):
+            self.at = plan.at
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, method: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument, text: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError("the first argument is a table: TABLE(name)")
+            if method.value not in chunkers:
+                raise ValueError(f"unknown chunker {method.value!r}, have {sorted(chunkers)}")
+            names = rows.dataType.names
+            if text.value not in names or not isinstance(rows.dataType[text.value].dataType, T.StringType):
+                raise ValueError(f"no text column {text.value!r} among {names}")
+            taken = {"chunk_index", "contents"} & set(names)
+            if taken:
+                raise ValueError(f"the table has {sorted(taken)} already")
+            schema = T.StructType([*rows.dataType.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("contents", T.StringType())])
+            return Plan(schema, at=names.index(text.value))
+
+        def eval(self, row: T.Row, method: str, size: int, overlap: int, text: str):
+            for i, piece in enumerate(chunkers[method](row[self.at], size, overlap) if row[self.at] else []):
+                yield (*row, i, piece)
+
+    spark.udtf.register(name, F.udtf(ChunkTable))
+
+
+def chunk_table(df: DataFrame, method: str, size: int, overlap: int, text: str = "text") -> DataFrame:
+    """A chunker chosen by name, through the SQL function over a whole table; all columns are kept."""
+    spark = df.sparkSession
+    register_chunk_table(spark)
+    return spark.sql("SELECT * FROM chunk_table(TABLE(SELECT * FROM {docs}), :method, :size, :overlap, :text)",
+                     args={"method": method, "size": size, "overlap": overlap, "text": text}, docs=df)

@@ -88,3 +88,9 @@ def _(t):
 @query("chunk_udtf", TOKEN_SQL)
 def _(t):
     return udfs.chunk_udtf(_docs(t), "doc_id", "token", 512, 64)
+
+
+@query("chunk_table", f"SELECT k.*, d.lang, d.source FROM ({TOKEN_SQL}) k JOIN documents d USING (doc_id)")
+def _(t):
+    """The table function that takes a whole table and keeps its columns."""
+    return udfs.chunk_table(t.documents.select("lang", "doc_id", "text", "source"), "token", 512, 64).drop("text")

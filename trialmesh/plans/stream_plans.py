@@ -235,6 +235,21 @@ def _(t):
     return ev.join_completed(t.events.where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id"), outputs, "user_id")
 
 
+@query("stream_join_completed", """
+WITH c AS (SELECT event_id AS id, user_id, ts AS done_at FROM events WHERE event_type = 'error'),
+o AS (SELECT event_id AS output_id, user_id, ts AS stored_at FROM events WHERE event_type = 'click'),
+mark AS (SELECT least((SELECT max(done_at) FROM c), (SELECT max(stored_at) FROM o)) - INTERVAL 1 HOUR AS moment)
+SELECT c.user_id, id, done_at, output_id, stored_at FROM c LEFT JOIN o ON o.user_id = c.user_id AND stored_at BETWEEN done_at AND done_at + INTERVAL 3 HOUR
+WHERE output_id IS NOT NULL OR done_at + INTERVAL 3 HOUR < (SELECT moment FROM mark)""")
+def _(t):
+    """Errors as completions, clicks of the same user within three hours as outputs; both as streams."""
+    moment = F.col("ts").cast("timestamp")
+    completions = t.stream("events").where("event_type = 'error'").select("user_id", F.col("event_id").alias("id"), moment.alias("done_at"))
+    outputs = t.stream("events").where("event_type = 'click'").select("user_id", F.col("event_id").alias("output_id"), moment.alias("stored_at"))
+    rows = ev.stream_join_completed(completions, outputs, "user_id", "done_at", "stored_at", "3 HOURS", "1 hour", new_path(t.spark, "joined"), new_path(t.spark, "offsets"))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("done_at", "stored_at")})
+
+
 @query("scope_and_group", f"""
 WITH {fx.RESULTS_SQL}, m AS (SELECT * FROM results WHERE run_id = 'run_1' OR starts_with(run_id, 'run_1_') OR run_id = 'autogluon')
 SELECT {RESULT_COLUMNS}, row_number() OVER (PARTITION BY engine, round ORDER BY id) AS position,

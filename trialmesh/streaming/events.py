@@ -186,6 +186,23 @@ def join_completed(completions: DataFrame, outputs: DataFrame, key: str) -> Data
     return completions.join(outputs, key, "left")
 
 
+def stream_join_completed(completions: DataFrame, outputs: DataFrame, key: str, done: str, stored: str, within: str, late: str,
+                          out: str, checkpoint: str) -> DataFrame:
+    """Completion events with the outputs of the same key stored up to ``within`` after them, both as streams.
+
+    ``done`` and ``stored`` are the times; columns other than the key have names of their own.  Rows wait in the
+    state until the watermark (the older of both streams' newest times less ``late``) is past their last match.
+    An event without output comes with nulls once no output can follow; until then it is not in the result.
+    """
+    left = completions.withWatermark(done, late).alias("c")
+    right = outputs.withColumnRenamed(key, f"_{key}").withWatermark(stored, late)
+    bound = (F.col(f"c.{key}") == F.col(f"_{key}")) & (F.col(stored) >= F.col(done)) & (F.col(stored) <= F.col(done) + F.expr(f"INTERVAL {within}"))
+    joined = left.join(right, bound, "left_outer").drop(f"_{key}")
+    joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
+        "append").trigger(availableNow=True).start().awaitTermination()
+    return completions.sparkSession.read.schema(joined.schema).parquet(out)
+
+
 # Fixed value: run id of results that belong to every scope.
 EVERYWHERE = "autogluon"
 
