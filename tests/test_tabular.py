@@ -120,11 +120,9 @@ def test_multiclass_and_regression(spark):
     for family in ("GBM", "KNN", "RF"):
         out = md.fit_family(df, ["x", "z"], "k", md.MULTICLASS, family).transform(df)
         assert out.where("prediction = k").count() > 340, family
-    for family in ("RF", "XGB", "LR", "KNN"):
+    for family in ("RF", "XGB", "LR", "KNN", "XT", "NN_TORCH"):
         out = md.fit_family(df, ["x", "z"], "t", md.REGRESSION, family).transform(df)
         assert tb.regression_metrics(out, "t").first()["r2"] > 0.8, family
-    with pytest.raises(ValueError):
-        md.fit_family(df, ["x"], "t", md.REGRESSION, "NN_TORCH")
 
 
 def test_importance_ensemble_and_stack(spark):
