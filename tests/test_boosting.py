@@ -110,3 +110,18 @@ def test_permuted_features_lose_what_they_tell(spark):
     still = md.permutation_importance(md.fit_family(constant, ["x", "z"], "t", md.REGRESSION, "LR"), constant, "t", "key")
     assert still.where("feature = 'z'").first()["importance"] == pytest.approx(0.0, abs=1e-12)
     assert md.permutation_importance(model, df.where("false"), "k", "key").count() == 0
+
+
+def test_values_move_along_one_order_cut_into_ranges(spark, monkeypatch):
+    df = rows_of(spark, 300).where("x is not null and not isnan(z)").select("key", "x", "z", "t")
+    model = md.fit_family(df, ["x", "z"], "t", md.REGRESSION, "LR")
+    rows = sorted(df.withColumn("at", F.xxhash64(F.lit(42), "key")).collect(), key=lambda r: r["at"] % (1 << 64))
+    copies = [(None, r["t"], r["x"], r["z"]) for r in rows]
+    for before, r in zip([rows[-1], *rows], rows):
+        copies += [("x", r["t"], before["x"], r["z"]), ("z", r["t"], r["x"], before["z"])]
+    scored = model.transform(spark.createDataFrame(copies, "changed string, t double, x double, z double"))
+    loss = {r["changed"]: r["loss"] for r in scored.groupBy("changed").agg(F.avg(F.pow(F.col("prediction") - F.col("t"), 2)).alias("loss")).collect()}
+    for size in (100_000, 5):
+        monkeypatch.setattr(md, "RANGE_ROWS", size)
+        got = {r["feature"]: r["importance"] for r in md.permutation_importance(model, df, "t", "key").collect()}
+        assert got == {c: pytest.approx(loss[c] - loss[None], abs=1e-9) for c in ("x", "z")}

@@ -17,17 +17,17 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, HashingTF, IDF, Imputer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from trialmesh.operators.boosting import Boosted
 from trialmesh.operators.network import Network
 from trialmesh.operators.random_trees import RandomTrees
 from trialmesh.operators.vector_index import build_index, search
 from trialmesh.operators.tabular import bag_folds, binary_metrics, calibrate_threshold, multiclass_metrics, regression_metrics, split_holdout
-from trialmesh.scale import rank_rows
+from trialmesh.scale import top_rows
 from trialmesh.session import materialize, scratch
 
-HASHED_SLOTS = 16
+HASHED_SLOTS, RANGE_ROWS = 16, 100_000
 BINARY, MULTICLASS, REGRESSION = "binary_classification", "multiclass_classification", "regression"
 
 # The five experiment templates of a round, used in turn.
@@ -220,27 +220,37 @@ def feature_importance(model: Fitted) -> DataFrame:
 def permutation_importance(model: Fitted, holdout: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """(feature, importance, rank) of any family: how much the loss grows when the values of a feature change rows.
 
-    Every feature's values move one place along an order of all rows by a seeded hash, the last to the first.  The
-    loss is the squared error, for classes the negative logarithm of the own class's probability, at least 1e-15; a
-    label that the model does not know counts as that.  All changed copies are scored in one pass.  ``key`` names the
-    rows, once each; rows without a label are left out.  The rows are written to the shared folder (eager).
+    All features' values move one place along one order of all rows by a seeded hash, the last to the first; a changed
+    copy takes those of one feature.  The loss is the squared error, for classes the negative logarithm of the own
+    class's probability, at least 1e-15; a label that the model does not know counts as that.  All copies are scored in
+    one pass.  ``key`` names the rows, once each; rows without a label are left out (eager).
+
+    Label, features and hash of the rows are written and shuffled once, whatever the number of features: the order is
+    cut into ranges of the hash, and the last row of a range is handed to the next one beside the shuffle.
     """
-    rows = materialize(holdout.where(F.col(label).isNotNull()).select(*dict.fromkeys([key, label, *model.features])), "holdout")
-    n = rows.count()
-    every = rows.withColumn("_changed", F.lit(None).cast("string"))
-    for feature in model.features:
-        placed = rank_rows(rows, [], F.xxhash64(F.col(key), F.lit(feature), F.lit(seed)), [F.xxhash64(F.lit(seed), F.col(key)), key], "_at")
-        given = placed.select((F.col("_at") % n + 1).alias("_at"), F.col(feature).alias("_value"))
-        moved = placed.drop(feature).join(given, "_at").withColumnRenamed("_value", feature)
-        every = every.unionByName(moved.select(*rows.columns, F.lit(feature).alias("_changed")))
-    scored = model.transform(every)
-    if model.task == REGRESSION:
-        loss = F.pow(F.col("prediction") - F.col(label).cast("double"), 2)
-    else:
-        names = F.array(*[F.lit(c) for c in model.classes])
-        own = F.get("probability", F.array_position(names, F.col(label).cast("string")).cast("int") - 1)
-        loss = -F.ln(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(1e-15)))
-    means = {r["_changed"]: r["loss"] for r in scored.groupBy("_changed").agg(F.avg(loss).alias("loss")).collect()}  # a row per feature
+    columns = list(dict.fromkeys([label, *model.features]))
+    spread = holdout.where(F.col(label).isNotNull()).select(*columns, F.xxhash64(F.lit(seed), F.col(key)).alias("_at"))
+    with scratch(spread, "holdout") as rows:
+        bits = max(3, (rows.count() // RANGE_ROWS).bit_length())
+        rows = rows.withColumn("_range", F.shiftrightunsigned("_at", 64 - bits))
+        order = ["_at", *columns]  # rows alike in all of them may change places
+        ends = F.broadcast(rows.groupBy("_range").agg(F.max("_at").alias("_at")))  # a row per range
+        last = top_rows(rows.join(ends, ["_range", "_at"]), ["_range"], [F.col(c).desc() for c in order])
+        before = F.coalesce(F.lag("_last").over(W.orderBy("_range")), F.first("_last").over(W.orderBy(F.col("_range").desc())))
+        given = last.select("_range", F.struct(*columns).alias("_last")).select("_range", before.alias("_given"))
+        along = W.partitionBy("_range").orderBy(*order)
+        moved = rows.withColumn("_first", F.row_number().over(along) == 1).withColumn("_before", F.lag(F.struct(*columns)).over(along))
+        moved = moved.join(F.broadcast(given), "_range").withColumn("_before", F.when(F.col("_first"), F.col("_given")).otherwise(F.col("_before")))
+        every = moved.withColumn("_changed", F.explode(F.array(F.lit(None).cast("string"), *map(F.lit, model.features))))
+        every = every.select("_changed", *[F.when(F.col("_changed") == c, F.col("_before")[c]).otherwise(F.col(c)).alias(c) for c in columns])
+        scored = model.transform(every)
+        if model.task == REGRESSION:
+            loss = F.pow(F.col("prediction") - F.col(label).cast("double"), 2)
+        else:
+            names = F.array(*[F.lit(c) for c in model.classes])
+            own = F.get("probability", F.array_position(names, F.col(label).cast("string")).cast("int") - 1)
+            loss = -F.ln(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(1e-15)))
+        means = {r["_changed"]: r["loss"] for r in scored.groupBy("_changed").agg(F.avg(loss).alias("loss")).collect()}  # a row per feature
     found = sorted(((f, float(means[f] - means[None])) for f in model.features if f in means), key=lambda r: (-r[1], r[0]))
     return holdout.sparkSession.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(found)], "feature string, importance double, rank int")
 
