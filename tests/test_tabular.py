@@ -54,6 +54,17 @@ def test_split_of_few_rows_plain(spark):
     assert {r["side"]: r["count"] for r in out.groupBy("side").count().collect()} == {"train": 5, "holdout": 2}
 
 
+def test_split_does_not_shuffle_rows_by_class(spark):
+    """With two classes such a shuffle ends in two tasks; the planner's own threshold must not decide about it."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sides(table(spark, 403), "y", "binary_classification")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_split_many_buckets(spark, monkeypatch):
     df = table(spark, 300)
     one = {r["key"]: r["side"] for r in sides(df, "k", "multiclass_classification").collect()}
