@@ -57,3 +57,31 @@ def test_few_rows_and_none(spark, groups):
     assert vi.build_index(table(spark, [], "key")) is None
     assert vi.search(None, table(spark, groups[:1], "qid"), 3).collect() == []
     assert vi.search(one, table(spark, [], "qid"), 3).collect() == []
+
+
+def test_search_by_regions_equals_brute_force(spark, groups, monkeypatch):
+    for name, size in (("REGION_ROWS", 40), ("REGION_QUERIES", 7), ("SMALL_BLOCK", 9), ("SMALL_GROUP", 5)):
+        monkeypatch.setattr(vi, name, size)
+    queries = [(i, v) for i, v in groups if i % 20 == 0] + [(5000, np.full(8, 1e3)), (5001, None)]
+    index = vi.build_regions(table(spark, groups, "key"), 10)
+    assert len(index.sizes) > 10 and index.sizes.sum() == 941 - 31  # of 41 equal vectors ten can be among the nearest
+    assert listed(vi.search_regions(index, table(spark, queries, "qid"), 10)) == brute(groups, queries, 10)
+
+
+def test_regions_of_few_rows_and_none(spark, groups):
+    one = vi.build_regions(table(spark, groups[:3], "key"), 10)
+    assert listed(vi.search_regions(one, table(spark, groups[:1], "qid"), 10)) == brute(groups[:3], groups[:1], 10)
+    assert vi.build_regions(table(spark, [], "key"), 3) is None
+    assert vi.search_regions(None, table(spark, groups[:1], "qid"), 3).collect() == []
+    assert vi.search_regions(one, table(spark, [], "qid"), 3).collect() == []
+
+
+def test_near_queries_read_few_blocks(monkeypatch):
+    """The work of a region must not grow with queries times rows."""
+    import pandas as pd
+    draw, pairs, far = np.random.default_rng(5), [0], vi._far
+    monkeypatch.setattr(vi, "_far", lambda q, v: pairs.__setitem__(0, pairs[0] + len(q) * len(v)) or far(q, v))
+    v, q = draw.random((20_000, 3)), draw.random((2_000, 3))
+    right = pd.DataFrame({"key": np.arange(len(v)), "vec": list(v), "payload": 0.0})
+    got = vi._nearest_by_boxes(pd.DataFrame({"qid": np.arange(len(q)), "vec": list(q)}), right, 5)
+    assert len(got) == 10_000 and pairs[0] < 0.25 * len(q) * len(v)
