@@ -85,3 +85,25 @@ def test_near_queries_read_few_blocks(monkeypatch):
     right = pd.DataFrame({"key": np.arange(len(v)), "vec": list(v), "payload": 0.0})
     got = vi._nearest_by_boxes(pd.DataFrame({"qid": np.arange(len(q)), "vec": list(q)}), right, 5)
     assert len(got) == 10_000 and pairs[0] < 0.25 * len(q) * len(v)
+
+
+def test_second_round_stays_within_the_bound(monkeypatch):
+    """A query that knows its k-th distance compares and returns nothing beyond it."""
+    import pandas as pd
+    draw, pairs, far = np.random.default_rng(6), [0], vi._far
+    monkeypatch.setattr(vi, "_far", lambda q, v: pairs.__setitem__(0, pairs[0] + len(q) * len(v)) or far(q, v))
+    v, q = draw.random((5_000, 3)), draw.random((300, 3)) + [1.0, 0, 0]
+    right = pd.DataFrame({"key": np.arange(len(v)), "vec": list(v), "payload": 0.0})
+    got = vi._nearest_by_boxes(pd.DataFrame({"qid": np.arange(len(q)), "vec": list(q), "bound": 0.1}), right, 5)
+    want = [sum(sorted(round(float(d), 9) for d in np.sqrt(((v - x) ** 2).sum(axis=1)))[i] <= 0.1 for i in range(5)) for x in q]
+    assert got.groupby("qid").size().reindex(range(len(q)), fill_value=0).tolist() == want and (got["distance"] <= 0.1 + 1e-5).all()
+    assert 0 < sum(want) < len(q) and pairs[0] < 0.05 * len(q) * len(v)
+
+
+def test_dimensions_alike_in_all_rows_are_not_stored(spark):
+    draw = np.random.default_rng(7)
+    rows = [(i, np.array([3.0, draw.random(), 0.0, draw.random(), -1.0])) for i in range(200)]
+    queries = [(i, draw.random(5) * 4) for i in range(20)]
+    index = vi.build_regions(table(spark, rows, "key"), 4)
+    assert {len(r["vec"]) for r in index.table.collect()} == {8 * 3}
+    assert listed(vi.search_regions(index, table(spark, queries, "qid"), 4)) == brute(rows, queries, 4)

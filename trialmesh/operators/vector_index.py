@@ -13,11 +13,12 @@ finds the regions within its bound by walking down the cuts, and inside a region
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,7 +27,8 @@ from trialmesh.session import materialize, scratch
 
 register_pickle_by_value(sys.modules[__name__])
 SAMPLE, MOST_CELLS, BLOCK_ROWS, QUERY_ROWS = 20_000, 1024, 20_000, 2048
-REGION_ROWS, MOST_REGIONS, REGION_QUERIES, SMALL_BLOCK, SMALL_GROUP = 50_000, 4096, 50_000, 128, 2048
+REGION_ROWS, MOST_REGIONS, REGION_QUERIES, SMALL_BLOCK, SMALL_GROUP = 50_000, 4096, 50_000, 64, 24
+SLICE_ROWS, MOST_PARTITIONS = 100_000, 4000
 
 
 @dataclass
@@ -40,7 +42,10 @@ class CellIndex:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.asarray(column.tolist(), dtype="float64")
+    values = column.tolist()
+    if values and isinstance(values[0], bytes):
+        return np.frombuffer(b"".join(values), "float64").reshape(len(values), -1)
+    return np.asarray(values, dtype="float64")
 
 
 def _far(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -109,16 +114,15 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"qid": qids} | {name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("key", "payload", "distance"))})
 
 
-def _probed(queries: DataFrame, index: CellIndex | RegionIndex, cells: Column | str, k: int, nearest: Callable = _nearest,
-            block_rows: int | None = None, query_rows: int | None = None) -> DataFrame:
+def _probed(queries: DataFrame, index: CellIndex, cells: Column | str, k: int) -> DataFrame:
     """The nearest rows that queries (qid, vec, and the list ``cells``) find in their cells.
 
     Cells meet queries in blocks: a large cell is cut by the hash of its keys, and the queries of a much wanted one by
     theirs, so a group is bounded in rows on both sides.
     """
     asked = queries.select("qid", "vec", F.explode(cells).alias("cell"))
-    wanted = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (query_rows or QUERY_ROWS)).cast("int").alias("qparts"))
-    sizes = queries.sparkSession.createDataFrame([(i, int(-(-n // (block_rows or BLOCK_ROWS)))) for i, n in enumerate(index.sizes.tolist()) if n], "cell int, parts int")
+    wanted = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("qparts"))
+    sizes = queries.sparkSession.createDataFrame([(i, int(-(-n // BLOCK_ROWS))) for i, n in enumerate(index.sizes.tolist()) if n], "cell int, parts int")
     blocks = F.broadcast(wanted.join(F.broadcast(sizes), "cell"))  # a row per cell
     left = asked.join(blocks, "cell").withColumn("qpart", F.pmod(F.xxhash64("qid"), F.col("qparts"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = index.table.join(blocks, "cell").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn(
@@ -126,7 +130,7 @@ def _probed(queries: DataFrame, index: CellIndex | RegionIndex, cells: Column |
     block = F.concat_ws("/", "cell", "part", "qpart").alias("block")
     left, right = left.select(block, "qid", "vec"), right.select(block, "key", "vec", "payload")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(
-        lambda a, b: nearest(a, b, k), "qid long, key long, payload double, distance double")
+        lambda a, b: _nearest(a, b, k), "qid long, key long, payload double, distance double")
 
 
 def search(index: CellIndex | None, queries: DataFrame, k: int, share: float | None = None) -> DataFrame:
@@ -172,11 +176,45 @@ def search(index: CellIndex | None, queries: DataFrame, k: int, share: float | N
 
 @dataclass
 class RegionIndex:
-    """``table``: key, vec, payload, cell; the tree of cuts (dim, value, left, right) or places of regions; vectors per region."""
+    """``table``: key, vec (compact, as bytes), payload, cell; the tree of cuts (dim, value, left, right) or places of
+    regions; vectors per region; the smallest and largest value by dimension."""
 
     table: DataFrame
     tree: tuple
     sizes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def compact(self, v: np.ndarray) -> np.ndarray:
+        """The dimensions in which the indexed vectors differ, and one for the distance along all others: distances stay."""
+        differ = self.high > self.low
+        beside = np.sqrt(((v[:, ~differ] - self.low[~differ]) ** 2).sum(axis=1))
+        return np.ascontiguousarray(np.column_stack([v[:, differ], beside]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Arrow batches put together to some ``SLICE_ROWS`` rows, and the matrix of their vectors (lists, or bytes)."""
+    def joined() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(kept).combine_chunks()
+        vec = table.column("vec").chunk(0)
+        if pa.types.is_binary(vec.type):
+            return table, np.frombuffer(b"".join(vec.to_pylist()), "float64").reshape(len(vec), -1)
+        return table, vec.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(len(vec), -1)
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) >= SLICE_ROWS:
+                yield joined()
+                kept = []
+    if kept:
+        yield joined()
+
+
+def _binary(v: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes."""
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * v.shape[1]), len(v), [None, pa.py_buffer(np.ascontiguousarray(v).tobytes())])
+    return fixed.cast(pa.binary())
 
 
 def _cut_regions(sample: np.ndarray, regions: int) -> tuple[tuple, int]:
@@ -198,60 +236,81 @@ def _cut_regions(sample: np.ndarray, regions: int) -> tuple[tuple, int]:
     return cut(sample, regions), count
 
 
-def _walk(tree: tuple, v: np.ndarray, bound: np.ndarray | None = None) -> list[tuple[np.ndarray, int]]:
+def _walk(tree: tuple, v: np.ndarray, bound: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, int]]:
     """Rows and region: of each row its own, or with ``bound`` every one that is not farther away than that."""
-    found = []
+    def own(node: tuple, rows: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        if len(node) == 1:
+            yield rows, node[0]
+            return
+        right = v[rows, node[0]] > node[1]
+        for side, kept in ((node[2], rows[~right]), (node[3], rows[right])):
+            if len(kept):
+                yield from own(side, kept)
 
-    def down(node: tuple, rows: np.ndarray, far: np.ndarray, gaps: dict[int, np.ndarray]) -> None:
+    def down(node: tuple, rows: np.ndarray, far: np.ndarray, gaps: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
         if len(node) == 1:
-            found.append((rows, node[0]))
+            yield rows, node[0]
             return
         dim, value, below, above = node
         right = v[rows, dim] > value
         gap = np.abs(v[rows, dim] - value)
         old = gaps.get(dim, np.zeros(len(rows)))
-        for side, own in ((below, ~right), (above, right)):
-            now = np.where(own, old, gap)
+        for side, inside in ((below, ~right), (above, right)):
+            now = np.where(inside, old, gap)
             reached = far - old ** 2 + now ** 2
-            kept = own if bound is None else reached <= bound[rows] ** 2
+            kept = reached <= bound[rows] ** 2
             if kept.any():
-                down(side, rows[kept], reached[kept], {d: g[kept] for d, g in gaps.items()} | {dim: now[kept]})
+                yield from down(side, rows[kept], reached[kept], {d: g[kept] for d, g in gaps.items()} | {dim: now[kept]})
     if len(v):
-        down(tree, np.arange(len(v)), np.zeros(len(v)), {})
-    return found
+        every = np.arange(len(v))
+        yield from own(tree, every) if bound is None else down(tree, every, np.zeros(len(v)), {})
+
+
+def _own_cells(tree: tuple, v: np.ndarray) -> np.ndarray:
+    cell = np.zeros(len(v), "int32")
+    for at, region in _walk(tree, v):
+        cell[at] = region
+    return cell
 
 
 def build_regions(vectors: DataFrame, k: int) -> RegionIndex | None:
     """Index of ``vectors`` (key long, vec array<double>, payload double) for searches of up to ``k`` rows; None for an empty table.  Eager.
 
     Of equal vectors only the ``k`` rows of smallest key can be among the ``k`` nearest of any query, so no more are
-    kept.  The cuts come from a sample of about 20 rows a region by the hash of the key, ``20 * MOST_REGIONS`` at most
-    (the stated bound); all other rows are assigned and written.
+    kept.  The cuts come from a sample of about 20 vectors a region by their hash, ``40 * MOST_REGIONS`` at most
+    (the stated bound); all rows are assigned, without the dimensions in which none differ, and written.
     """
-    spark = vectors.sparkSession
     rows = vectors.where("vec IS NOT NULL").select("key", "vec", "payload")
-    with scratch(top_rows(rows, ["vec"], [F.col("key"), F.col("payload")], k), "apart") as rows:
-        total = rows.count()
-        if not total:
-            return None
-        regions = max(1, min(MOST_REGIONS, -(-total // REGION_ROWS)))
-        wanted = 20 * regions
-        some = rows if total <= wanted else rows.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < wanted / total * (1 << 30))
-        picked = some.select("vec").limit(2 * wanted).toPandas()["vec"]
-        tree, regions = _cut_regions(_matrix(picked), regions) if len(picked) else ((0,), 1)
-
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    cell = np.zeros(len(batch), "int32")
-                    for at, region in _walk(tree, _matrix(batch["vec"])):
-                        cell[at] = region
-                    yield batch.assign(cell=cell)
-        table = materialize(rows.mapInPandas(assign, "key long, vec array<double>, payload double, cell int"), "regions")
-    sizes = np.zeros(regions, "int64")
-    for r in table.groupBy("cell").count().collect():  # MOST_REGIONS rows at most
-        sizes[r["cell"]] = r["count"]
-    return RegionIndex(table, tree, sizes)
+
+    def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, v in _slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(v.shape[1])), pa.array(v.min(axis=0)), pa.array(v.max(axis=0)),
+                                              pa.array(np.full(v.shape[1], len(v)))], ["dim", "low", "high", "n"])
+    limits = rows.select("vec").mapInArrow(extent, "dim long, low double, high double, n long").groupBy("dim").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).orderBy("dim").collect()  # a row per dimension
+    if not limits:
+        return None
+    index, total = RegionIndex(vectors, (0,), np.zeros(1), np.array([r["low"] for r in limits]), np.array([r["high"] for r in limits])), limits[0]["n"]
+    regions = max(1, min(MOST_REGIONS, -(-total // REGION_ROWS)))
+    wanted = 20 * regions
+    some = rows if total <= wanted else rows.where(F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(1 << 30)) < wanted / total * (1 << 30))
+    picked = some.select("vec").distinct().limit(2 * wanted).toPandas()["vec"]
+    if len(picked):
+        index.tree, regions = _cut_regions(index.compact(_matrix(picked)), regions)
+    else:
+        regions = 1
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, v in _slices(batches):
+            v = compact(v)
+            yield pa.RecordBatch.from_arrays([table["key"].chunk(0), _binary(v), table["payload"].chunk(0), pa.array(_own_cells(tree, v))], ["key", "vec", "payload", "cell"])
+    tree, compact = index.tree, RegionIndex(None, index.tree, index.sizes, index.low, index.high).compact
+    placed = rows.mapInArrow(assign, "key long, vec binary, payload double, cell int").withColumn("_h", F.xxhash64("vec"))
+    apart = top_rows(placed, ["_h", "vec"], [F.col("key"), F.col("payload")], k)  # a number first: sorted without looking into the bytes
+    index.table, index.sizes = materialize(apart.drop("_h"), "regions"), np.zeros(regions, "int64")
+    for r in index.table.groupBy("cell").count().collect():  # MOST_REGIONS rows at most
+        index.sizes[r["cell"]] = r["count"]
+    return index
 
 
 def _small_blocks(v: np.ndarray, most: int) -> list[np.ndarray]:
@@ -269,78 +328,105 @@ def _small_blocks(v: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 def _nearest_by_boxes(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """What ``_nearest`` gives; a query reads the blocks whose boxes lie within its k-th distance in the nearest one."""
+    """What ``_nearest`` gives, of the rows not farther than the ``bound`` of a query that has one.
+
+    Queries go in groups that lie close together.  A group reads the blocks whose boxes lie within the largest of its
+    bounds, or within the k-th distance that its queries find in the nearest blocks.
+    """
     found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0), np.empty(0))]
     if len(left) and len(right):
-        v, keys, payload = _matrix(right["vec"]), right["key"].to_numpy(), right["payload"].to_numpy(dtype="float64")
-        blocks = _small_blocks(v, max(SMALL_BLOCK, 2 * k))
-        low, high = np.stack([v[b].min(axis=0) for b in blocks]), np.stack([v[b].max(axis=0) for b in blocks])
-        for start in range(0, len(left), SMALL_GROUP):
-            q, qids = _matrix(left["vec"].iloc[start:start + SMALL_GROUP]), left["qid"].iloc[start:start + SMALL_GROUP].to_numpy()
-            away = np.zeros((len(q), len(blocks)))
-            for d in range(q.shape[1]):
-                if q[:, d].min() < low[:, d].max() or q[:, d].max() > high[:, d].min():
-                    away += np.maximum(np.maximum(low[None, :, d] - q[:, d, None], q[:, d, None] - high[None, :, d]), 0.0) ** 2
-            away = np.sqrt(away, out=away)
-            own, edge = away.argmin(axis=1), np.full(len(q), np.inf)
-            for b in np.unique(own):
-                if len(blocks[b]) >= k:
-                    at = np.flatnonzero(own == b)
-                    edge[at] = np.partition(_far(q[at], v[blocks[b]]), k - 1, axis=1)[:, k - 1]
-            edge += 1e-6 * (1 + np.abs(q).max(axis=1))  # rounding never decides
-            asked, near = [], []
-            for b, wanted in enumerate((away <= edge[:, None]).T):
-                at = np.flatnonzero(wanted)
-                if len(at):
-                    i, j = np.nonzero(_far(q[at], v[blocks[b]]) <= edge[at, None])
-                    asked.append(at[i])
-                    near.append(blocks[b][j])
-            asked, near = np.concatenate(asked), np.concatenate(near)
-            far = np.round(np.sqrt(((v[near] - q[asked]) ** 2).sum(axis=1)), 9)
-            order = np.lexsort((payload[near], keys[near], far, asked))
-            asked, near, far = asked[order], near[order], far[order]
-            kept = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
-            found.append((qids[asked[kept]], keys[near[kept]], payload[near[kept]], far[kept]))
+        every, most = _matrix(right["vec"]), max(SMALL_BLOCK, 2 * k)
+        blocks = _small_blocks(every, most)
+        order, ends = np.concatenate(blocks), np.cumsum([len(b) for b in blocks])
+        starts = ends - [len(b) for b in blocks]
+        v, keys, payload = every[order], right["key"].to_numpy()[order], right["payload"].to_numpy(dtype="float64")[order]
+        low, high = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+        asked, qids = _matrix(left["vec"]), left["qid"].to_numpy()
+        bounds = left["bound"].to_numpy(dtype="float64") if "bound" in left else np.full(len(left), np.inf)
+        for group in _small_blocks(asked, SMALL_GROUP):
+            q, edge = asked[group], bounds[group]
+            away = np.sqrt((np.maximum(np.maximum(low - q.max(axis=0), q.min(axis=0) - high), 0.0) ** 2).sum(axis=1))
+            if not np.isfinite(edge).all():
+                middle = q.mean(axis=0)
+                ahead = (np.maximum(np.maximum(low - middle, middle - high), 0.0) ** 2).sum(axis=1)
+                first = np.concatenate([np.arange(starts[b], ends[b]) for b in np.argsort(ahead, kind="stable")[:3]])
+                if len(first) >= k:
+                    edge = np.minimum(edge, np.partition(_far(q, v[first]), k - 1, axis=1)[:, k - 1])
+            edge = edge + 1e-6 * (1 + np.abs(q).max(axis=1))  # rounding never decides
+            wanted = np.flatnonzero(away <= edge.max())
+            if len(wanted):
+                near = np.concatenate([np.arange(starts[b], ends[b]) for b in wanted])
+                i, j = np.nonzero(_far(q, v[near]) <= edge[:, None])
+                near = near[j]
+                far = np.round(np.sqrt(((v[near] - q[i]) ** 2).sum(axis=1)), 9)
+                sort = np.lexsort((payload[near], keys[near], far, i))
+                i, near, far = i[sort], near[sort], far[sort]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append((qids[group[i[kept]]], keys[near[kept]], payload[near[kept]], far[kept]))
     return pd.DataFrame({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("qid", "key", "payload", "distance"))})
 
 
+def _met(asked: DataFrame, index: RegionIndex, k: int) -> DataFrame:
+    """What queries (qid, vec, cell, perhaps bound) find in the regions named, in blocks bounded in rows on both sides.
+
+    Regions are spread over as many partitions as there are blocks: their work is large against their bytes.
+    """
+    parts = [max(1, -(-n // (REGION_ROWS * 4))) for n in index.sizes.tolist()]
+    sizes = asked.sparkSession.createDataFrame([(i, p) for i, (p, n) in enumerate(zip(parts, index.sizes, strict=True)) if n], "cell int, parts int")
+    wanted = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / REGION_QUERIES).cast("int").alias("qparts"))
+    blocks, at = F.broadcast(wanted.join(F.broadcast(sizes), "cell")), ["cell", "part", "qpart"]  # a row per cell
+    left = asked.join(blocks, "cell").withColumn("qpart", F.pmod(F.xxhash64("qid"), F.col("qparts"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = index.table.join(blocks, "cell").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn(
+        "qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)))
+    left, right = left.select(*at, *asked.columns[:2], *asked.columns[3:]), right.select(*at, "key", "vec", "payload")
+    left = left.withColumn("qpart", F.col("qpart").cast("int"))
+    n = max(1, min(MOST_PARTITIONS, sum(parts)))
+    return left.repartition(n, *at).groupBy(*at).cogroup(right.repartition(n, *at).groupBy(*at)).applyInPandas(
+        lambda a, b: _nearest_by_boxes(a, b, k), "qid long, key long, payload double, distance double")
+
+
 def search_regions(index: RegionIndex | None, queries: DataFrame, k: int) -> DataFrame:
     """qid, key, payload, distance, rank of the ``k`` nearest rows of each query (qid long, vec array<double>), as ``search`` gives them.
 
-    ``k`` is at most that of the index.  Exact, also in ties, which go by key.  Eager: the first round, in which every
-    query reads its own region, is written, because it bounds the second.
+    ``k`` is at most that of the index.  Exact, also in ties, which go by key.  Eager: the queries with their regions are
+    written, and what each finds in its own, because that bounds the second round, which returns no row beyond the bound.
     """
     spark, kind = queries.sparkSession, "qid long, key long, payload double, distance double, rank int"
     if index is None:
         return spark.createDataFrame([], kind)
-    tree, sizes = index.tree, index.sizes
-
-    def reached(batch: pd.DataFrame, bound: np.ndarray | None) -> np.ndarray:
-        """The regions of each row, ordered by row, and where those of each row begin."""
-        walked = _walk(tree, _matrix(batch["vec"]), bound)
-        row = np.concatenate([r for r, c in walked])
-        cell = np.concatenate([np.full(len(r), c, "int32") for r, c in walked])
-        order = np.argsort(row, kind="stable")
-        return np.split(cell[order], np.cumsum(np.bincount(row, minlength=len(batch)))[:-1])
+    tree, sizes, compact = index.tree, index.sizes, RegionIndex(None, index.tree, index.sizes, index.low, index.high).compact
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch.assign(cells=reached(batch, None))
-    planned = queries.where("vec IS NOT NULL").select("qid", "vec").mapInPandas(first, "qid long, vec array<double>, cells array<int>")
-    order, sides = [F.col("distance"), F.col("key"), F.col("payload")], (_nearest_by_boxes, REGION_ROWS * 4, REGION_QUERIES)
-    near = materialize(top_rows(_probed(planned, index, "cells", k, *sides), ["qid"], order, k, "rank"), "near")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, v in _slices(batches):
+            v = compact(v)
+            yield pa.RecordBatch.from_arrays([table["qid"].chunk(0), _binary(v), pa.array(_own_cells(tree, v))], ["qid", "vec", "cell"])
+    asked = materialize(queries.where("vec IS NOT NULL").select("qid", "vec").mapInArrow(first, "qid long, vec binary, cell int"), "asked")
+    order = [F.col("distance"), F.col("key"), F.col("payload")]
+    near = _met(asked, index, k)
+    if index.sizes.max() > REGION_ROWS * 4:  # a region in parts
+        near = top_rows(near, ["qid"], order, k)
+    near = materialize(near, "near")
     bounds = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
     bounds = bounds.select("qid", F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("bound"))
 
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                bound = batch["bound"].to_numpy(dtype="float64")
-                bound = bound + 1e-6 * (1 + bound)
-                cells = [[c for c in found.tolist() if c != own[0] and sizes[c]] for found, own in zip(reached(batch, bound), batch["cells"], strict=True)]
-                yield pd.DataFrame({"qid": batch["qid"], "vec": batch["vec"], "cells": cells})
-    rest = planned.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    rest = rest.mapInPandas(others, "qid long, vec array<double>, cells array<int>").where("size(cells) > 0")
-    found = _probed(rest, index, "cells", k, *sides).unionByName(near.select("qid", "key", "payload", "distance"))
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat() -> pa.RecordBatch:
+            at, cells = np.concatenate([r for r, _ in held]), np.concatenate([np.full(len(r), c, "int32") for r, c in held])
+            return pa.RecordBatch.from_arrays([pa.array(qid[at]), _binary(v[at]), pa.array(cells), pa.array(bound[at])], ["qid", "vec", "cell", "bound"])
+        for table, v in _slices(batches):
+            qid, own, bound = np.asarray(table["qid"]), np.asarray(table["cell"]), np.asarray(table["bound"])
+            bound, held, n = bound + 1e-6 * (1 + bound), [], 0
+            for rows, region in _walk(tree, v, bound):
+                rows = rows[own[rows] != region] if sizes[region] else rows[:0]
+                if len(rows):
+                    held.append((rows, region))
+                    n += len(rows)
+                if n >= SLICE_ROWS:
+                    yield flat()
+                    held, n = [], 0
+            if held:
+                yield flat()
+    rest = asked.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))).select("qid", "vec", "cell", "bound")
+    rest = materialize(rest.mapInArrow(others, "qid long, vec binary, cell int, bound double"), "rest")
+    found = _met(rest, index, k).unionByName(near)
     return top_rows(found, ["qid"], order, k, "rank").select("qid", "key", "payload", "distance", "rank")
