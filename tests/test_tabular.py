@@ -189,3 +189,13 @@ def test_neighbours_equal_brute_force(spark, task, label):
             assert r["prediction"] == pytest.approx(np.mean(near))
         else:
             assert list(r["probability"]) == pytest.approx([np.mean([str(y) == c for y in near]) for c in model.classes])
+
+
+def test_training_rows_of_spark_ml_come_in_bounded_parts(spark, monkeypatch):
+    """What a task of a fit holds must not grow with the table."""
+    monkeypatch.setattr(md, "TASK_ROWS", 50)
+    df = table(spark, 400).coalesce(1)
+    sizes, seen = [], md._spread
+    monkeypatch.setattr(md, "_spread", lambda rows: sizes.append(seen(rows).rdd.glom().map(len).collect()) or seen(rows))
+    md.fit_family(df, ["x", "z", "c"], "y", md.BINARY, "LR")
+    assert len(sizes) == 1 and sum(sizes[0]) == 400 and max(sizes[0]) <= 60

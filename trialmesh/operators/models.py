@@ -27,7 +27,7 @@ from trialmesh.operators.tabular import bag_folds, binary_metrics, calibrate_thr
 from trialmesh.scale import top_rows
 from trialmesh.session import materialize, scratch
 
-HASHED_SLOTS, RANGE_ROWS = 16, 100_000
+HASHED_SLOTS, RANGE_ROWS, TASK_ROWS = 16, 100_000, 200_000
 BINARY, MULTICLASS, REGRESSION = "binary_classification", "multiclass_classification", "regression"
 
 # The five experiment templates of a round, used in turn.
@@ -172,6 +172,12 @@ def _classes(train: DataFrame, label: str, task: str) -> list[str]:
     return sorted(r["c"] for r in rows)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows in parts of at most about ``TASK_ROWS``: Spark ML keeps each part as objects, many times its bytes on disk."""
+    parts = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def fit_family(train: DataFrame, features: Sequence[str], label: str, task: str, family: str, params: dict | None = None) -> Fitted:
     """Fit one family (eager); KNN writes its training rows as an index, and the rows it is asked about."""
     classes = _classes(train, label, task)
@@ -190,7 +196,7 @@ def fit_family(train: DataFrame, features: Sequence[str], label: str, task: str,
         return Fitted(family, task, list(features), classes, [model])
     stages, slots = _feature_stages(train, features)
     estimator = _estimator(family, task, options)
-    model = Pipeline(stages=[*stages, estimator]).fit(rows.drop("_in"))
+    model = Pipeline(stages=[*stages, estimator]).fit(_spread(rows.drop("_in")))
     return Fitted(family, task, list(features), classes, [model], slots)
 
 
