@@ -176,6 +176,51 @@ def test_questions_and_answers(spark):
     assert {r["qid"]: r["answer"] for r in rt.extract_answers(hits).collect()} == {1: "Cats search data.", 2: rt.NO_ANSWER}
 
 
+@pytest.mark.parametrize("stem", [False, True])
+def test_document_index_gives_the_counts_and_lists_of_postings(spark, stem, monkeypatch):
+    _, df = corpus(spark, 150)
+    odd = spark.createDataFrame([(900, None), (901, ""), (902, "  .. "), (903, "Cat cat CATS")], "doc_id bigint, contents string")
+    df = df.unionByName(odd).repartition(3)
+    plain, index = rt.postings(df), rt.document_index(df)
+    plain, index = (rt.stemmed(plain), rt.stem_documents(index)) if stem else (plain, index)
+    assert sorted(map(tuple, index.select("doc_id", "dl", F.inline(F.arrays_zip("term", "tf"))).collect())) == sorted(map(tuple, plain.select("doc_id", "dl", "term", "tf").collect()))
+    assert {tuple(r) for r in rt.corpus_size(index).collect()} == {tuple(r) for r in rt.corpus_size(plain, df).collect()}
+    asked = spark.createDataFrame([("a", "running cats the the"), ("b", "data model"), ("c", "zebra"), ("d", "of a cat of happy runners")], "qid string, query string")
+    search = {"stem": stem, "size": rt.corpus_size(index)}
+    wanted = rt.bm25_topk(asked, df, 7, **search).collect()
+    assert sorted(wanted) == sorted(rt.bm25_topk(asked, None, 7, index=index, index_stemmed=stem, **search).collect()) and wanted
+    for name, few in (("SCORE_CELLS", 8), ("PRODUCTS", 5), ("INDEX_ROWS", 4)):  # small slices, the same lists
+        monkeypatch.setattr(rt, name, few)
+    assert sorted(wanted) == sorted(rt.bm25_topk(asked, None, 7, index=index, index_stemmed=stem, **search).collect())
+    monkeypatch.setattr(rt, "MAX_QUERY_TERMS", 2)  # too many terms to hand out
+    assert sorted(wanted) == sorted(rt.bm25_topk(asked, None, 7, index=index, index_stemmed=stem, **search).collect())
+
+
+def test_document_index_serves_questions_vectors_and_expansions(spark):
+    _, df = corpus(spark, 80)
+    index, asked = rt.document_index(df), spark.createDataFrame([(1, "running cats. search engine"), (2, "happily")], "qid int, query string")
+    assert sorted(rt.synthesize_qa(df, 10).collect()) == sorted(rt.synthesize_qa(df, 10, index=index).collect())
+    assert sorted(rt.hash_vectors(df)[0].collect()) == sorted(rt.hash_vectors(df, index=index)[0].collect())
+    found = rt.expansion_documents(asked, df, index=index, size=rt.corpus_size(index))
+    for method in ("none", "multi_query_expansion", "hyde", "query_decompose"):
+        own = rt.expand_queries(asked, df, method, index=index, size=rt.corpus_size(index), found=found)
+        assert sorted(own.collect()) == sorted(rt.expand_queries(asked, df, method).collect())
+
+
+def test_rag_rounds_search_once_whatever_the_setups(spark, monkeypatch):
+    """Each setup used to search the whole collection again."""
+    calls = {}
+    for name in ("bm25_topk", "vector_topk"):
+        def counted(*args, _name=name, _own=getattr(rt, name), **more):
+            calls[_name] = calls.get(_name, 0) + 1
+            return _own(*args, **more)
+        monkeypatch.setattr(rt, name, counted)
+    _, df = corpus(spark, 40)
+    log = rag_rounds.run_rag_rounds(df.withColumnRenamed("contents", "text"), "Less noise", 2, 3, n_questions=6).collect()
+    assert len(log) == 6 and all(r["status"] == "completed" for r in log)
+    assert calls == {"bm25_topk": 2, "vector_topk": 1}
+
+
 def test_rag_rounds(spark):
     _, df = corpus(spark, 40)
     log = rag_rounds.run_rag_rounds(df.withColumnRenamed("contents", "text"), "Less noise", 2, 2, n_questions=6).collect()

@@ -89,40 +89,59 @@ def next_setups(grid: list[Setup], log: list[tuple[Setup, float | None]], n: int
 
 
 class Collection:
-    """The tables all experiments of a run share, each written once."""
+    """The tables all experiments of a run share, each written once.
 
-    def __init__(self, docs: DataFrame, n_questions: int, seed: int, description: str = ""):
+    Each way of expansion is made once and all its parts are searched together, for the most documents that a setup may
+    ask for (``top_k``); a setup takes the first places of the lists of its expansion and pipeline.
+    """
+
+    def __init__(self, docs: DataFrame, n_questions: int, seed: int, description: str = "", top_k: int = 10):
         way = docs.sparkSession.range(1).select(chunk_plan(F.lit(description)).alias("p")).first()["p"]
         cut = {"token": chunk_token, "recursive": chunk_recursive}[way["method"]]
         chunks = cut(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), way["size"], way["overlap"])
-        self.corpus = materialize(build_corpus(chunks, add_file_name=way["add_file_name"]), "corpus")
-        self.qa = materialize(rt.drop_dont_know(rt.synthesize_qa(self.corpus, n_questions, seed)), "qa")
-        self.index = materialize(rt.postings(self.corpus), "postings")
-        self.stems = materialize(rt.stemmed(self.index), "stems")
-        self.size = materialize(rt.corpus_size(self.index, self.corpus), "size")
-        vectors, self.model = rt.hash_vectors(self.corpus)
+        self.corpus, self.top_k = materialize(build_corpus(chunks, add_file_name=way["add_file_name"]), "corpus"), top_k
+        self.index = materialize(rt.document_index(self.corpus), "index")
+        self.qa = materialize(rt.drop_dont_know(rt.synthesize_qa(self.corpus, n_questions, seed, index=self.index)), "qa")
+        self.stems = materialize(rt.stem_documents(self.index), "stems")
+        self.size = materialize(rt.corpus_size(self.index), "size")
+        vectors, self.model = rt.hash_vectors(self.corpus, index=self.index)
         self.vectors = materialize(vectors, "vectors")
         self.qrels = self.qa.select("qid", F.explode("retrieval_gt").alias("doc_id"))
+        self.lists = materialize(self._search(), "lists")
+        wanted = materialize(self.lists.select("doc_id").distinct(), "wanted")  # at most top_k for each part of a question
+        self.passages = materialize(self.corpus.select("doc_id", "contents").join(wanted, "doc_id"), "passages")
+
+    def _search(self) -> DataFrame:
+        """way, expansion, qid, doc_id, rank: the lists of each part of the expanded questions."""
+        plain = self.qa.select("qid", "query")
+        found = rt.expansion_documents(plain, self.corpus, index=self.index, size=self.size)
+        parts = None
+        for method in EXPANSIONS:
+            own = rt.expand_queries(plain, self.corpus, method, index=self.index, size=self.size, found=found)
+            own = own.select(F.concat_ws("#", F.lit(method), "qid", "part").alias("qid"), "query")
+            parts = own if parts is None else parts.unionByName(own)
+        parts = materialize(parts, "parts")
+        asked = materialize(rt.hash_vectors(parts, "qid", "query", model=self.model)[0], "asked")
+        semantic = rt.vector_topk(asked, self.vectors, self.top_k)
+        lexical = rt.bm25_topk(parts, None, self.top_k, stem=True, index=self.stems, size=self.size, index_stemmed=True)
+        both = semantic.withColumn("way", F.lit("semantic")).unionByName(lexical.withColumn("way", F.lit("lexical")))
+        part = F.split("qid", "#")
+        return both.select("way", part[0].alias("expansion"), part[1].alias("qid"), "doc_id", "rank")
 
     def retrieve(self, setup: Setup) -> DataFrame:
         """Top documents per question: each part of an expanded question searches, the best rank counts."""
-        plain = self.qa.select("qid", "query")
-        parts = rt.expand_queries(plain, self.corpus, setup.expansion, index=self.index, size=self.size)
-        parts = parts.select(F.concat_ws("#", "qid", "part").alias("qid"), "query")
-        lists = []
-        if setup.pipeline in ("semantic_only", "hybrid_rrf"):
-            asked, _ = rt.hash_vectors(parts, "qid", "query", model=self.model)
-            lists.append(rt.vector_topk(asked, self.vectors, setup.top_k))
-        if setup.pipeline in ("lexical_bm25", "hybrid_rrf"):
-            lists.append(rt.bm25_topk(parts, None, setup.top_k, stem=True, index=self.stems, size=self.size, index_stemmed=True))
-        lists = [df.withColumn("qid", F.split_part("qid", F.lit("#"), F.lit(1))).groupBy("qid", "doc_id").agg(F.min("rank").alias("rank")) for df in lists]
+        if setup.top_k > self.top_k:
+            raise ValueError(f"lists hold {self.top_k} documents, {setup.top_k} are asked for")
+        mine = self.lists.where((F.col("expansion") == setup.expansion) & (F.col("rank") <= setup.top_k))
+        ways = [way for way, pipelines in (("semantic", ("semantic_only", "hybrid_rrf")), ("lexical", ("lexical_bm25", "hybrid_rrf"))) if setup.pipeline in pipelines]
+        lists = [mine.where(F.col("way") == way).groupBy("qid", "doc_id").agg(F.min("rank").alias("rank")) for way in ways]
         return rt.rrf_fuse(lists, setup.fusion_k, setup.top_k).select("qid", "doc_id", "rank")
 
 
 def evaluate(collection: Collection, setup: Setup) -> dict:
     """Retrieval metrics of a setup, ROUGE-1 of the answers it extracts, and the mean length of its prompts."""
     with scratch(collection.retrieve(setup), "hits") as hits:
-        passages = hits.join(collection.corpus.select("doc_id", "contents"), "doc_id").join(collection.qa.select("qid", "query"), "qid")
+        passages = hits.join(collection.passages, "doc_id").join(collection.qa.select("qid", "query"), "qid")
         answers = rt.extract_answers(passages)
         pairs = answers.select("qid", F.col("answer").alias("candidate")).join(
             collection.qa.select("qid", F.col("generation_gt").alias("reference")), "qid")
@@ -143,7 +162,8 @@ def run_rag_rounds(docs: DataFrame, goal: str, rounds: int = 3, per_round: int =
     spark = docs.sparkSession
     plan = plan_goal(spark, goal)
     metric = "rouge" if plan["primary_metric"] == "g_eval" else plan["primary_metric"]
-    shared, log, grid = Collection(docs, n_questions, seed, description), [], search_grid(plan)
+    log, grid = [], search_grid(plan)
+    shared = Collection(docs, n_questions, seed, description, max(setup.top_k for setup in grid))
 
     def attempt(setup: Setup) -> dict:
         try:

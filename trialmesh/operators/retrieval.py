@@ -7,10 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trialmesh.functions import python_text as pt
 from trialmesh.functions.text import terms, words
@@ -22,6 +25,8 @@ from trialmesh.session import fits, materialize
 MAX_BROADCAST_QUERIES = 4096
 MAX_QUERY_TERMS = 1_000_000
 BLOCK_ROWS = 20_000
+#: Documents of an index that are counted or scored at once, and most products of a term and its queries held at once.
+INDEX_ROWS, SCORE_CELLS, PRODUCTS = 1024, 1 << 20, 1 << 21
 #: With 6 bits and one flip, 8 tables find 4 to 10 of 10 neighbours of a query in the embeddings tables; these find 9 at least.
 LSH_TABLES = 20
 
@@ -94,14 +99,154 @@ def stemmed(index: DataFrame) -> DataFrame:
     return index.join(vocabulary, "term").groupBy("doc_id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def _by_document(index: DataFrame) -> bool:
+    return isinstance(index.schema["term"].dataType, T.ArrayType)
+
+
+def _term_lists(ids: pa.Array, dl: pa.Array, flat: pa.Array, sizes: np.ndarray, tf: np.ndarray | None, stems: dict | None) -> pa.RecordBatch:
+    """Rows of a document index from the terms of some documents; a term that comes again has its counts added up."""
+    coded = flat.dictionary_encode()
+    codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    if stems is not None:
+        for word in names.to_pylist():
+            if word not in stems:
+                stems[word] = pt.porter_stem(word)
+        found = pa.array([stems[word] for word in names.to_pylist()], names.type).dictionary_encode()
+        codes, names = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes], found.dictionary
+    width = max(1, len(names))
+    pairs = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * width + codes
+    if tf is None:
+        pairs, counts = np.unique(pairs, return_counts=True)
+    else:
+        pairs, at = np.unique(pairs, return_inverse=True)
+        counts = np.bincount(at, tf, len(pairs))
+    ends = pa.array(np.searchsorted(pairs, np.arange(len(sizes) + 1, dtype=np.int64) * width), pa.int32())
+    term = pa.ListArray.from_arrays(ends, names.take(pa.array(pairs % width, pa.int64())))
+    return pa.RecordBatch.from_arrays([ids, dl, term, pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], ["doc_id", "dl", "term", "tf"])
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def document_index(corpus: DataFrame, key: str = "doc_id", text: str = "contents") -> DataFrame:
+    """(doc_id, dl, term, tf): a row per document, its distinct terms and their counts as lists.
+
+    The same counts as :func:`postings`, taken in Arrow batches.  A document lies in one row, so a search scores it
+    where it lies and moves no posting; one without a term keeps its row, with empty lists.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, INDEX_ROWS):
+                part = batch.slice(start, INDEX_ROWS)
+                lists = part.column(1)
+                yield _term_lists(part.column(0), pc.list_value_length(lists), lists.flatten(), _lengths(lists), None, None)
+    rows = corpus.select(F.col(key).alias("doc_id"), terms(text).alias("_t"))
+    return rows.mapInArrow(count, f"doc_id {dict(rows.dtypes)['doc_id']}, dl int, term array<string>, tf array<int>")
+
+
+def stem_documents(index: DataFrame) -> DataFrame:
+    """A document index by stem.  A task stems a word once; counts of one document are added up in its row."""
+    def stem(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, INDEX_ROWS):
+                if len(stems) > MAX_QUERY_TERMS:
+                    stems.clear()
+                part = batch.slice(start, INDEX_ROWS)
+                lists, tf = part.column(2), part.column(3).flatten().to_numpy(zero_copy_only=False)
+                yield _term_lists(part.column(0), part.column(1), lists.flatten(), _lengths(lists), tf, stems)
+    return index.select("doc_id", "dl", "term", "tf").mapInArrow(stem, index.schema)
+
+
+def document_frequencies(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df): in how many rows of a document index each term of ``wanted`` occurs; one that occurs in none is missing."""
+    if not fits(wanted, MAX_QUERY_TERMS):
+        return index.select(F.explode("term").alias("term")).join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    names = pa.array([r["term"] for r in wanted.select("term").collect()], pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(names), dtype=np.int64)
+        for batch in batches:
+            at = pc.index_in(batch.column(0).flatten(), names).drop_null().to_numpy(zero_copy_only=False)
+            total += np.bincount(at, minlength=len(names))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(seen, pa.int64())), pa.array(total[seen])], ["term", "df"])
+    return index.select("term").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _bm25_documents(asked: DataFrame, index: DataFrame, size: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Top-k documents by BM25 over a document index: the weights of the terms travel, each document is scored in its task."""
+    kinds = asked.schema["qid"].dataType, index.schema["doc_id"].dataType
+    df = document_frequencies(index, asked.select("term").distinct())
+    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    held = asked.join(df, "term").join(F.broadcast(size)).select("qid", "term", "avgdl", (idf * F.col("qtf")).alias("w")).toPandas()  # at most MAX_QUERY_TERMS rows
+    schema = T.StructType([T.StructField("qid", kinds[0]), T.StructField("doc_id", kinds[1]), T.StructField("score", T.DoubleType())])
+    if held.empty:
+        return asked.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
+    codes, names = pd.factorize(held["term"])
+    query, qids = pd.factorize(held["qid"])
+    order, avgdl = np.argsort(codes, kind="stable"), float(held["avgdl"].iloc[0])
+    weight, query = held["w"].to_numpy()[order], query[order]  # the queries of a term lie together
+    width = np.bincount(codes, minlength=len(names))
+    first, names = np.cumsum(width) - width, pa.array(names.tolist(), pa.string())
+    qids, n_q, rows = pa.array(qids.tolist(), to_arrow_type(kinds[0])), len(qids), max(1, min(INDEX_ROWS, SCORE_CELLS // len(qids)))
+
+    def block(ids: pa.Array, dl: np.ndarray, at: np.ndarray, sizes: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+        known = at >= 0
+        doc, at, tf = np.repeat(np.arange(len(dl)), sizes)[known], at[known], tf[known].astype(float)
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / avgdl))
+        many = width[at]
+        ends = np.cumsum(many)
+        scores, seen = np.zeros(n_q * len(dl)), np.zeros(n_q * len(dl), dtype=bool)
+        cuts = np.searchsorted(ends, np.arange(PRODUCTS, ends[-1], PRODUCTS)) if len(ends) else []
+        for own in np.split(np.arange(len(at)), cuts):
+            n = many[own]
+            posting = np.repeat(own, n)
+            place = first[at[posting]] + np.arange(len(posting)) - np.repeat(np.cumsum(n) - n, n)
+            cell = query[place] * len(dl) + doc[posting]
+            scores += np.bincount(cell, weight[place] * part[posting], len(scores))
+            seen[cell] = True
+        scores, seen = np.round(scores, 9).reshape(n_q, -1), seen.reshape(n_q, -1)
+        texts, found, docs = ids.to_numpy(zero_copy_only=False), [], []
+        for i in range(n_q):
+            near = np.flatnonzero(seen[i])
+            if len(near) > k:
+                near = near[scores[i, near] >= np.partition(scores[i, near], len(near) - k)[len(near) - k]]
+            near = near[np.lexsort((texts[near], -scores[i, near]))][:k]
+            found.append(np.full(len(near), i))
+            docs.append(near)
+        found, docs = np.concatenate(found), np.concatenate(docs)
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(found)), ids.take(pa.array(docs)), pa.array(scores[found, docs])], ["qid", "doc_id", "score"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, dl = _lengths(batch.column(2)), pc.fill_null(batch.column(1), 0).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(batch.column(2).flatten(), names), -1).to_numpy(zero_copy_only=False)
+            tf, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
+            for i in range(0, batch.num_rows, rows):
+                j = min(i + rows, batch.num_rows)
+                own = slice(ends[i], ends[j])
+                yield block(batch.column(0).slice(i, j - i), dl[i:j], at[own], sizes[i:j], tf[own])
+    return _best(index.select("doc_id", "dl", "term", "tf").mapInArrow(scan, schema), k)
+
+
 def corpus_size(index: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """One row: number of documents and their mean length (empty documents count when ``corpus`` is given)."""
+    """One row: number of documents and their mean length (empty documents count when ``corpus`` is given, or in a document index)."""
+    if _by_document(index):
+        return index.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     if corpus is not None:
         return corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(terms("contents"))).alias("avgdl"))
     per = index.groupBy("doc_id").agg(F.first("dl").alias("dl"))
     return per.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def _asked_terms(queries: DataFrame, stem: bool) -> DataFrame:
+    """(qid, term, qtf) of the queries."""
+    asked = queries.select("qid", F.inline(term_counts(terms("query")))).withColumnRenamed("tf", "qtf")
+    return asked.withColumn("term", stem_terms("term")).groupBy("qid", "term").agg(F.sum("qtf").alias("qtf")) if stem else asked
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int, stem: bool = False, k1: float = 1.5, b: float = 0.75,
               index: DataFrame | None = None, size: DataFrame | None = None, index_stemmed: bool = False) -> DataFrame:
     """Top-k documents per query by BM25: qid, doc_id, score, rank; ties by doc id.
@@ -111,14 +256,20 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int, stem: bool =
     query terms first and written once, unless ``index`` is a stored table.  They move once, by document; scoring a document against all
     queries then happens where it lies, and only ``k`` rows per query and task move again.
     With ``stem`` the stemmer runs on distinct terms only; ``index_stemmed`` says that
-    ``index`` already went through :func:`stemmed`.
+    ``index`` already went through :func:`stemmed`.  ``index`` may also be a :func:`document_index`, stemmed by
+    :func:`stem_documents`; then no posting moves at all.
     """
+    if index is not None and _by_document(index):
+        index = stem_documents(index) if stem and not index_stemmed else index
+        size = corpus_size(index) if size is None else size
+        asked = _asked_terms(queries, stem)
+        if fits(asked, MAX_QUERY_TERMS):
+            return _bm25_documents(asked, index, size, k, k1, b)
+        index, index_stemmed = index.select("doc_id", "dl", F.inline(F.arrays_zip("term", "tf"))), True
     stored = index is not None
     index = index if stored else postings(corpus)
     size = corpus_size(index, corpus) if size is None else size
-    asked = queries.select("qid", F.inline(term_counts(terms("query")))).withColumnRenamed("tf", "qtf")
-    if stem:
-        asked = asked.withColumn("term", stem_terms("term")).groupBy("qid", "term").agg(F.sum("qtf").alias("qtf"))
+    asked = _asked_terms(queries, stem)
     small = F.broadcast if fits(asked, MAX_QUERY_TERMS) else (lambda df: df)
     if stem and not index_stemmed:
         vocabulary = index.select("term").distinct().withColumn("stem", stem_terms("term"))
@@ -140,12 +291,23 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int, stem: bool =
 
 # --- vectors ------------------------------------------------------------------
 
-def hash_vectors(corpus: DataFrame, key: str = "doc_id", text: str = "contents", dims: int = 256, model=None):
-    """(vectors, model): texts as normalised hashed tf-idf vectors; pass ``model`` to embed queries alike."""
+def hash_vectors(corpus: DataFrame, key: str = "doc_id", text: str = "contents", dims: int = 256, model=None, index: DataFrame | None = None):
+    """(vectors, model): texts as normalised hashed tf-idf vectors; pass ``model`` to embed queries alike.
+
+    ``index``: the :func:`document_index` of the corpus, if it is written, spares cutting the texts into terms again;
+    the hashed counts are then written too, so that fitting and use hash them once.
+    """
     rows = corpus.select(F.col(key), terms(text).alias("_terms"))
+    if index is not None:
+        again = F.transform(F.arrays_zip("term", "tf"), lambda x: F.array_repeat(x["term"], x["tf"]))
+        rows = index.select(F.col("doc_id").alias(key), F.flatten(again).alias("_terms"))
+    hashing, weigh, normalise = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims), IDF(inputCol="_tf", outputCol="_w"), Normalizer(inputCol="_w", outputCol="_v")
+    if model is None and index is not None:
+        counts = materialize(hashing.transform(rows).select(key, "_tf"), "counts")
+        fitted = weigh.fit(counts)
+        return normalise.transform(fitted.transform(counts)).select(key, vector_to_array("_v").alias("embedding")), PipelineModel([hashing, fitted, normalise])
     if model is None:
-        model = Pipeline(stages=[HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dims), IDF(inputCol="_tf", outputCol="_w"),
-                                 Normalizer(inputCol="_w", outputCol="_v")]).fit(rows)
+        model = Pipeline(stages=[hashing, weigh, normalise]).fit(rows)
     return model.transform(rows).select(key, vector_to_array("_v").alias("embedding")), model
 
 
@@ -262,8 +424,15 @@ def rrf_fuse(lists: Sequence[DataFrame], k: int | Sequence[int] = 60, top: int =
     return top_rows(scores, ["k", "qid"], [F.col("score").desc(), F.col("doc_id")], top, "rank")
 
 
-def expand_queries(queries: DataFrame, corpus: DataFrame, method: str = "none", n_docs: int = 3, n_terms: int = 5, **search) -> DataFrame:
-    """Queries after expansion: qid, part, query.
+def expansion_documents(queries: DataFrame, corpus: DataFrame, n_docs: int = 3, **search) -> DataFrame:
+    """qid, doc_id, rank, contents of the documents that expansions draw on; written, so that no join moves the corpus."""
+    top = materialize(bm25_topk(queries, corpus, n_docs, **search).select("qid", "doc_id", "rank"), "top")
+    return materialize(corpus.select("doc_id", "contents").join(top, "doc_id").select("qid", "doc_id", "rank", "contents"), "found")
+
+
+def expand_queries(queries: DataFrame, corpus: DataFrame, method: str = "none", n_docs: int = 3, n_terms: int = 5,
+                   found: DataFrame | None = None, **search) -> DataFrame:
+    """Queries after expansion: qid, part, query.  ``found``: the :func:`expansion_documents`, when they are already there.
 
     ``multi_query_expansion`` adds the heaviest terms of the top documents as a second
     query, ``hyde`` adds the top document as a pseudo answer, ``query_decompose`` gives
@@ -274,18 +443,23 @@ def expand_queries(queries: DataFrame, corpus: DataFrame, method: str = "none",
         return plain
     if method == "query_decompose":
         return queries.select("qid", F.posexplode(sentences("query")).alias("part", "query"))
-    top = bm25_topk(queries, corpus, n_docs, **search)
+    if found is None:
+        top = bm25_topk(queries, corpus, n_docs, **search)
+        found = top.join(corpus.select("doc_id", "contents"), "doc_id")
     if method == "hyde":
-        best = top.where("rank = 1").join(corpus.select("doc_id", "contents"), "doc_id")
+        best = found.where("rank = 1")
         return plain.unionByName(best.select("qid", F.lit(1).alias("part"), F.col("contents").alias("query")))
     if method != "multi_query_expansion":
         raise ValueError(f"unknown expansion {method!r}")
-    picked = top.select("qid", "doc_id").join(corpus.select("doc_id", "contents"), "doc_id")
-    tf = picked.select("qid", F.inline(term_counts(terms("contents")))).groupBy("qid", "term").agg(F.sum("tf").alias("tf"))
+    tf = found.select("qid", F.inline(term_counts(terms("contents")))).groupBy("qid", "term").agg(F.sum("tf").alias("tf"))
     index = search.get("index")
     index = postings(corpus) if index is None else index
-    size = index.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    df = index.join(tf.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if _by_document(index):
+        size = index.agg(F.count_if(F.col("dl") > 0).alias("n"))
+        df = document_frequencies(index, tf.select("term").distinct())
+    else:
+        size = index.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
+        df = index.join(tf.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.col("tf") * F.ln((F.col("n") + 1) / (F.col("df") + 0.5))
     heavy = top_rows(tf.join(df, "term").join(F.broadcast(size)).withColumn("w", F.round(weight, 9)), ["qid"],
                      [F.col("w").desc(), F.col("term")], n_terms, "place")
@@ -295,18 +469,22 @@ def expand_queries(queries: DataFrame, corpus: DataFrame, method: str = "none",
 
 # --- questions, prompts and answers -------------------------------------------
 
-def synthesize_qa(corpus: DataFrame, n: int = 24, seed: int = 42, n_terms: int = 8) -> DataFrame:
+def synthesize_qa(corpus: DataFrame, n: int = 24, seed: int = 42, n_terms: int = 8, index: DataFrame | None = None) -> DataFrame:
     """Question-answer pairs from ``n`` sampled chunks: qid, query, retrieval_gt, generation_gt.
 
     The answer is the sentence with the highest summed idf, the question its rarest
-    terms, the ground truth the chunk itself.
+    terms, the ground truth the chunk itself.  ``index``: the :func:`document_index` of the corpus, if it is written.
     """
     picked = sample_n(corpus.select("doc_id", "contents"), "doc_id", n, seed)
+    picked = picked if index is None else materialize(picked, "picked")
     parts = picked.select("doc_id", F.posexplode(sentences("contents")).alias("pos", "sentence"))
     words_of = parts.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(terms("sentence"))).alias("term"))
     total = corpus.agg(F.count(F.lit(1)).alias("n"))
-    seen = corpus.select(F.explode(F.array_distinct(terms("contents"))).alias("term"))
-    df = seen.join(words_of.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if index is None:
+        seen = corpus.select(F.explode(F.array_distinct(terms("contents"))).alias("term"))
+        df = seen.join(words_of.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        df = document_frequencies(index, words_of.select("term").distinct())
     scored = words_of.join(df, "term").join(F.broadcast(total)).withColumn("idf", F.ln(F.col("n") / F.col("df")))
     per = scored.groupBy("doc_id", "pos", "sentence").agg(
         F.round(F.sum("idf"), 9).alias("weight"),
