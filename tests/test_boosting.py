@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,58 @@ def test_values_move_along_one_order_cut_into_ranges(spark, monkeypatch):
         monkeypatch.setattr(md, "RANGE_ROWS", size)
         got = {r["feature"]: r["importance"] for r in md.permutation_importance(model, df, "t", "key").collect()}
         assert got == {c: pytest.approx(loss[c] - loss[None], abs=1e-9) for c in ("x", "z")}
+
+
+def test_models_fitted_together_share_their_passes(spark, monkeypatch):
+    """Folds of several families take as many passes as the longest of them, and are what they are alone."""
+    from trialmesh.operators import boosting, random_trees
+    draw = np.random.default_rng(3)
+    rows = [(i, i % 2, float(draw.normal()), float(draw.integers(0, 5)), "abc"[draw.integers(0, 3)]) for i in range(240)]
+    df = spark.createDataFrame([(i, f, x, z, c, int(x + z * 0.3 + (c == "a") > 0.8)) for i, f, x, z, c in rows], "i long, fold long, x double, z double, c string, y int").coalesce(1)
+    params = {"GBM": {"maxIter": 2, "maxDepth": 3}, "CAT": {"maxIter": 2, "maxDepth": 2}, "XT": {"numTrees": 3, "maxDepth": 3}}
+    jobs = [(df.where(F.col("fold") != i), family, params[family]) for family in params for i in (0, 1)]
+    passes = {"boosted": 0, "random": 0}
+    for module, name, kind in ((boosting, "_level_sums", "boosted"), (random_trees, "_pass", "random")):
+        seen = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, seen=seen, kind=kind: passes.__setitem__(kind, passes[kind] + 1) or seen(*a))
+    together = md.fit_together(jobs, ["x", "z", "c"], "y", md.BINARY)
+    assert [m.family for m in together] == ["GBM", "GBM", "CAT", "CAT", "XT", "XT"]
+    assert passes == {"boosted": 6, "random": 6}
+    for (train, family, options), model in zip(jobs, together, strict=True):
+        alone = md.fit_family(train, ["x", "z", "c"], "y", md.BINARY, family, options)
+        got, want = ({r["i"]: r["probability"] for r in m.transform(df).select("i", "probability").collect()} for m in (model, alone))
+        assert len(got) == 240 and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+
+
+def test_scores_of_many_models_are_written_in_short_plans(spark):
+    """A round whose models were all chained in one plan did not finish planning."""
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([(str(i), int(x > 0), x) for i, x in enumerate(draw.normal(size=120).tolist())], "key string, y int, x double").coalesce(1)
+    split = df.selectExpr("*", "CASE WHEN key % 3 = 0 THEN 'validation' WHEN key % 3 = 1 THEN 'holdout' ELSE 'fit' END AS side")
+    scores = md._Scores(split, ["x"], "y", md.BINARY, "key", {f: {"maxIter": 1, "maxDepth": 1} for f in ("GBM", "CAT")})
+    scores.add([("GBM", 0), ("no such family", 0), ("CAT", 2), ("GBM", 2)])
+    assert set(scores.known) == {("GBM", 0), ("CAT", 2), ("GBM", 2)} and set(scores.failed) == {("no such family", 0)}
+    assert scores.rows(["CAT", "GBM"], 2).where("CAT IS NOT NULL AND GBM IS NOT NULL").count() == 80
+    with pytest.raises(ValueError):
+        scores.rows(["no such family"], 0)
+
+
+def test_weights_leave_out_rows_without_a_value(spark):
+    rows = [(1, 0.9, 0.2), (0, 0.1, None), (1, 0.8, 0.9), (None, 0.0, 1.0), (0, 0.3, 0.4), (1, None, 0.6), (0, float("nan"), 0.5)]
+    df = spark.createDataFrame(rows, "y int, a double, b double")
+
+    def loss(used):
+        q = [1 - 1e-15 if np.isnan(p) else min(max(p, 1e-15), 1 - 1e-15) for _, p in used]
+        return -np.mean([y * np.log(p) + (1 - y) * np.log(1 - p) for (y, _), p in zip(used, q, strict=True)])
+    taken, best, weights = {"a": 0, "b": 0}, None, None
+    for step in range(1, 5):
+        found = {}
+        for m in taken:
+            now = taken | {m: taken[m] + 1}
+            used = [(y, sum(n * v for n, v in ((now["a"], a), (now["b"], b)) if n) / step) for y, a, b in rows if y is not None and not (now["a"] and a is None) and not (now["b"] and b is None)]
+            found[m] = round(loss(used), 12)
+        pick = min(taken, key=lambda m: (found[m], m))
+        taken[pick] += 1
+        if best is None or found[pick] < best:
+            best, weights = found[pick], {m: n / step for m, n in taken.items()}
+    assert md.weighted_ensemble(df, ["a", "b"], "y", steps=4) == weights
