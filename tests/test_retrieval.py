@@ -265,3 +265,26 @@ def test_table_function_keeps_columns_and_checks_arguments(spark):
     for bad in (("nothing", "body"), ("token", "id"), ("token", "missing")):
         with pytest.raises(Exception, match="unknown chunker|no text column"):
             udfs.chunk_table(df, bad[0], 2, 0, bad[1]).collect()
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_stemmed_search_reads_texts_once(spark, monkeypatch, repeats):
+    """Ids that repeat or are missing, null and empty texts, more documents than a slice: as by postings, from one pass over the texts."""
+    draw = random.Random(8)
+    words = ["run", "running", "runs", "fly", "flies", "cat", "cats", "jump", "jumped", "stone", "Zürich", "42"]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(1, 9)))) for i in range(60)] + [(100, None), (101, ""), (102, "unrelated text")]
+    if repeats:
+        rows += [(i, " ".join(draw.choice(words) for _ in range(4))) for i in (3, 3, 3, 7)] + [(None, "cats run"), (None, "cat runs far"), rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, contents string").repartition(3)
+    queries = spark.createDataFrame([(1, "running cats"), (2, "flies jumped jumped"), (3, "nothing here"), (4, "")], "qid int, query string")
+    stored = rt.postings(docs)
+    want = rt.bm25_topk(queries, None, 7, stem=True, index=stored, size=rt.corpus_size(stored, docs)).collect()
+    asked, written, cut, write = [], [], rt.terms, rt.materialize
+    monkeypatch.setattr(rt, "INDEX_ROWS", 11)
+    monkeypatch.setattr(rt, "terms", lambda c: asked.append(c) or cut(c))
+    monkeypatch.setattr(rt, "materialize", lambda df, name: written.append(name) or write(df, name))
+    got = rt.bm25_topk(queries, docs, 7, stem=True).collect()
+    assert asked.count("contents") == 1 and ("hits" in written) == repeats
+    key = lambda r: (r["qid"], r["rank"])
+    assert len(want) == 14 and [(r["qid"], r["rank"], r["doc_id"], pytest.approx(r["score"], abs=1e-8)) for r in sorted(want, key=key)] == [
+        (r["qid"], r["rank"], r["doc_id"], r["score"]) for r in sorted(got, key=key)]

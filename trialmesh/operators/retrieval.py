@@ -20,13 +20,13 @@ from trialmesh.functions.text import terms, words
 from trialmesh.operators.chunking import sentences
 from trialmesh.operators.ranking import sample_n
 from trialmesh.scale import top_rows
-from trialmesh.session import fits, materialize
+from trialmesh.session import broadcast_if_small, fits, materialize
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_QUERY_TERMS = 1_000_000
 BLOCK_ROWS = 20_000
 #: Documents of an index that are counted or scored at once, and most products of a term and its queries held at once.
-INDEX_ROWS, SCORE_CELLS, PRODUCTS = 1024, 1 << 20, 1 << 21
+INDEX_ROWS, SCORE_CELLS, PRODUCTS, BATCH_BYTES = 1024, 1 << 20, 1 << 21, 8 << 20
 #: With 6 bits and one flip, 8 tables find 4 to 10 of 10 neighbours of a query in the embeddings tables; these find 9 at least.
 LSH_TABLES = 20
 
@@ -175,10 +175,77 @@ def document_frequencies(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return index.select("term").mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def _bm25_documents(asked: DataFrame, index: DataFrame, size: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+def _stems_asked(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """A document index by stem, cut to the stems of ``asked``; documents without one keep their row, and all their length.
+
+    A task stems a word once, and forgets all words when it has seen ``MAX_QUERY_TERMS``.
+    """
+    names = pa.array(sorted(r["term"] for r in asked.select("term").distinct().collect()), pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, known = {name: i for i, name in enumerate(names.to_pylist())}, {}
+        width = max(1, len(places))
+        for batch in batches:
+            for start in range(0, batch.num_rows, INDEX_ROWS):
+                part = batch.slice(start, INDEX_ROWS)
+                sizes, coded = _lengths(part.column(2)), part.column(2).flatten().dictionary_encode()
+                if len(known) > MAX_QUERY_TERMS:
+                    known.clear()
+                words = coded.dictionary.to_pylist()
+                for word in words:
+                    if word not in known:
+                        known[word] = places.get(pt.porter_stem(word), -1)
+                at = np.array([known[word] for word in words], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+                wanted = at >= 0
+                pairs, tf = np.unique((np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * width + at)[wanted], return_counts=True)
+                ends = pa.array(np.searchsorted(pairs, np.arange(len(sizes) + 1, dtype=np.int64) * width), pa.int32())
+                term = pa.ListArray.from_arrays(ends, names.take(pa.array(pairs % width, pa.int64())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), term, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))], ["doc_id", "dl", "term", "tf"])
+    rows = corpus.select("doc_id", terms("contents").alias("_t")).select("doc_id", F.size("_t").alias("dl"), "_t")
+    return rows.mapInArrow(count, f"doc_id {dict(rows.dtypes)['doc_id']}, dl int, term array<string>, tf array<int>")
+
+
+def _bm25_stemmed(asked: DataFrame, corpus: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Top-k documents by BM25 over stems: texts are read once, no posting moves; only ids are counted (eager).
+
+    Rows that share an id, or have none, are one document: those of one length have their counts added up, and the
+    scores of several lengths are summed.  Only their postings are grouped.
+    """
+    spark, name = corpus.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:  # long texts come in small batches
+        spark.conf.set(name, str(BATCH_BYTES))
+        index = materialize(_stems_asked(corpus, asked), "stems")
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    size, names = corpus_size(index), asked.select("term").distinct()
+    many = materialize(index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_many")), "many")
+    if many.limit(1).count() == 0:
+        return _bm25_documents(asked, index, size, document_frequencies(index, names), k, k1, b)
+    same = F.col("doc_id").eqNullSafe(F.col("_many"))
+    many = broadcast_if_small(many)
+    single, shared = index.join(many, same, "left_anti"), index.join(many, same, "left_semi")
+    hits = shared.select("doc_id", "dl", F.inline(F.arrays_zip("term", "tf"))).groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
+    hits = materialize(hits, "hits")
+    df = document_frequencies(single, names).unionByName(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    df = materialize(df.groupBy("term").agg(F.sum("df").alias("df")), "df")
+    found = _bm25_documents(asked, single, size, df, k, k1, b).select("qid", "doc_id", "score")
+    return _best(found.unionByName(_score_postings(hits, df, asked, size, k1, b, F.broadcast).select("qid", "doc_id", "score")), k)
+
+
+def _score_postings(hits: DataFrame, df: DataFrame, asked: DataFrame, size: DataFrame, k1: float, b: float, small) -> DataFrame:
+    """doc_id, qid, score by BM25 of postings (doc_id, dl, term, tf), moved once by document; ``small`` marks tables by query term."""
+    idf = df.join(F.broadcast(size)).select("term", "avgdl", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = small(asked.join(small(idf), "term").select("qid", "term", "avgdl", (F.col("idf") * F.col("qtf")).alias("w")))
+    tf = F.col("tf").cast("double")
+    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    placed = hits.repartition("doc_id").join(weights, "term")
+    return placed.groupBy("doc_id", "qid").agg(F.round(F.sum(part), 9).alias("score"))
+
+
+def _bm25_documents(asked: DataFrame, index: DataFrame, size: DataFrame, df: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     """Top-k documents by BM25 over a document index: the weights of the terms travel, each document is scored in its task."""
     kinds = asked.schema["qid"].dataType, index.schema["doc_id"].dataType
-    df = document_frequencies(index, asked.select("term").distinct())
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     held = asked.join(df, "term").join(F.broadcast(size)).select("qid", "term", "avgdl", (idf * F.col("qtf")).alias("w")).toPandas()  # at most MAX_QUERY_TERMS rows
     schema = T.StructType([T.StructField("qid", kinds[0]), T.StructField("doc_id", kinds[1]), T.StructField("score", T.DoubleType())])
@@ -255,7 +322,8 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int, stem: bool =
     and ``size`` may be passed when they are already written.  Postings are cut to the
     query terms first and written once, unless ``index`` is a stored table.  They move once, by document; scoring a document against all
     queries then happens where it lies, and only ``k`` rows per query and task move again.
-    With ``stem`` the stemmer runs on distinct terms only; ``index_stemmed`` says that
+    With ``stem`` the stemmer runs on distinct terms only, and without ``index`` a corpus is counted as a document index
+    cut to the query stems, so that no posting moves; ``index_stemmed`` says that
     ``index`` already went through :func:`stemmed`.  ``index`` may also be a :func:`document_index`, stemmed by
     :func:`stem_documents`; then no posting moves at all.
     """
@@ -264,9 +332,13 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int, stem: bool =
         size = corpus_size(index) if size is None else size
         asked = _asked_terms(queries, stem)
         if fits(asked, MAX_QUERY_TERMS):
-            return _bm25_documents(asked, index, size, k, k1, b)
+            return _bm25_documents(asked, index, size, document_frequencies(index, asked.select("term").distinct()), k, k1, b)
         index, index_stemmed = index.select("doc_id", "dl", F.inline(F.arrays_zip("term", "tf"))), True
     stored = index is not None
+    if stem and not stored and size is None:
+        asked = _asked_terms(queries, stem)
+        if fits(asked, MAX_QUERY_TERMS):
+            return _bm25_stemmed(asked, corpus, k, k1, b)
     index = index if stored else postings(corpus)
     size = corpus_size(index, corpus) if size is None else size
     asked = _asked_terms(queries, stem)
@@ -280,12 +352,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame | None, k: int, stem: bool =
     if not stored:
         hits = materialize(hits, "hits")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(size)).select("term", "avgdl", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weights = small(asked.join(small(idf), "term").select("qid", "term", "avgdl", (F.col("idf") * F.col("qtf")).alias("w")))
-    tf = F.col("tf").cast("double")
-    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    placed = hits.repartition("doc_id").join(weights, "term")
-    scored = placed.groupBy("doc_id", "qid").agg(F.round(F.sum(part), 9).alias("score"))
+    scored = _score_postings(hits, df, asked, size, k1, b, small)
     return top_rows(scored, ["qid"], [F.col("score").desc(), F.col("doc_id")], k, "rank").select("qid", "doc_id", "score", "rank")
 
 
