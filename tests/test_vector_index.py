@@ -107,3 +107,31 @@ def test_dimensions_alike_in_all_rows_are_not_stored(spark):
     index = vi.build_regions(table(spark, rows, "key"), 4)
     assert {len(r["vec"]) for r in index.table.collect()} == {8 * 3}
     assert listed(vi.search_regions(index, table(spark, queries, "qid"), 4)) == brute(rows, queries, 4)
+
+
+def test_scattered_queries_read_few_blocks(monkeypatch):
+    """Queries that lie apart do not read the blocks of each other."""
+    import pandas as pd
+    draw, pairs, far = np.random.default_rng(9), [0], vi._far
+    monkeypatch.setattr(vi, "_far", lambda q, v: pairs.__setitem__(0, pairs[0] + len(q) * len(v)) or far(q, v))
+    v, q = draw.random((20_000, 5)), draw.random((1_000, 5))
+    right = pd.DataFrame({"key": np.arange(len(v)), "vec": list(v), "payload": 0.0})
+    got = vi._nearest_by_boxes(pd.DataFrame({"qid": np.arange(len(q)), "vec": list(q)}), right, 5)
+    assert pairs[0] < 0.15 * len(q) * len(v)
+    for i in range(0, len(q), 50):
+        want = sorted((round(float(d), 9), j) for j, d in enumerate(np.sqrt(((v - q[i]) ** 2).sum(axis=1))))[:5]
+        assert list(zip(got["distance"][got["qid"] == i], got["key"][got["qid"] == i], strict=True)) == want
+
+
+def test_ties_and_many_pairs_are_cut_to_the_first_rows(monkeypatch):
+    """Pairs held at once are bounded; of many rows equally far those of the smallest keys stay."""
+    import pandas as pd
+    for name, size in (("MOST_PAIRS", 50), ("PAIR_ROWS", 13), ("SMALL_GROUP", 7), ("SMALL_BLOCK", 32)):
+        monkeypatch.setattr(vi, name, size)
+    draw = np.random.default_rng(10)
+    v, q = np.unique(draw.integers(0, 2, (4_000, 7)), axis=0).repeat(3, axis=0).astype(float), draw.integers(0, 2, (60, 7)).astype(float)
+    keys = draw.permutation(len(v))
+    got = vi._nearest_by_boxes(pd.DataFrame({"qid": np.arange(len(q)), "vec": list(q)}), pd.DataFrame({"key": keys, "vec": list(v), "payload": 0.0}), 5)
+    for i in range(len(q)):
+        want = sorted((round(float(d), 9), int(j)) for j, d in zip(keys, np.sqrt(((v - q[i]) ** 2).sum(axis=1)), strict=True))[:5]
+        assert list(zip(got["distance"][got["qid"] == i], got["key"][got["qid"] == i], strict=True)) == want

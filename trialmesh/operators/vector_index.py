@@ -27,8 +27,8 @@ from trialmesh.session import materialize, scratch
 
 register_pickle_by_value(sys.modules[__name__])
 SAMPLE, MOST_CELLS, BLOCK_ROWS, QUERY_ROWS = 20_000, 1024, 20_000, 2048
-REGION_ROWS, MOST_REGIONS, REGION_QUERIES, SMALL_BLOCK, SMALL_GROUP = 50_000, 4096, 50_000, 64, 24
-SLICE_ROWS, MOST_PARTITIONS = 100_000, 4000
+REGION_ROWS, MOST_REGIONS, REGION_QUERIES, SMALL_BLOCK, SMALL_GROUP = 50_000, 4096, 50_000, 256, 4096
+SLICE_ROWS, MOST_PARTITIONS, MOST_PAIRS, PAIR_ROWS = 100_000, 4000, 1 << 20, 1 << 16
 
 
 @dataclass
@@ -313,59 +313,99 @@ def build_regions(vectors: DataFrame, k: int) -> RegionIndex | None:
     return index
 
 
-def _small_blocks(v: np.ndarray, most: int) -> list[np.ndarray]:
-    """Places of the rows in blocks of at most ``most``, cut at the middle of the widest dimension."""
-    found, left = [], [np.arange(len(v))]
-    while left:
-        rows = left.pop()
+def _small_blocks(v: np.ndarray, most: int) -> tuple[tuple, list[np.ndarray]]:
+    """Places of the rows in blocks of at most ``most``, cut at the middle of the widest dimension, and the tree of the cuts."""
+    found: list[np.ndarray] = []
+
+    def cut(rows: np.ndarray) -> tuple:
         if len(rows) <= most:
             found.append(rows)
-            continue
+            return (len(found) - 1,)
         part = v[rows]
-        order = np.argpartition(part[:, np.argmax(part.max(axis=0) - part.min(axis=0))], len(rows) // 2)
-        left += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
-    return found
+        dim = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        order = np.argpartition(part[:, dim], len(rows) // 2)
+        below, above = order[:len(rows) // 2], order[len(rows) // 2:]
+        return dim, float(part[below, dim].max()), cut(rows[below]), cut(rows[above])  # rows at the value may lie on both sides
+    return cut(np.arange(len(v))), found
 
 
 def _nearest_by_boxes(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """What ``_nearest`` gives, of the rows not farther than the ``bound`` of a query that has one.
 
-    Queries go in groups that lie close together.  A group reads the blocks whose boxes lie within the largest of its
-    bounds, or within the k-th distance that its queries find in the nearest blocks.
+    Rows lie in small blocks, found down the tree of their cuts.  A block meets all queries that reach it at once.  A query
+    without a bound takes its k-th distance from its own block and those within half of what it finds there; then
+    every query reads the blocks whose boxes lie within its bound.
     """
     found = [(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0), np.empty(0))]
     if len(left) and len(right):
-        every, most = _matrix(right["vec"]), max(SMALL_BLOCK, 2 * k)
-        blocks = _small_blocks(every, most)
+        every = _matrix(right["vec"])
+        tree, blocks = _small_blocks(every, max(SMALL_BLOCK, 2 * k))
         order, ends = np.concatenate(blocks), np.cumsum([len(b) for b in blocks])
         starts = ends - [len(b) for b in blocks]
         v, keys, payload = every[order], right["key"].to_numpy()[order], right["payload"].to_numpy(dtype="float64")[order]
         low, high = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
         asked, qids = _matrix(left["vec"]), left["qid"].to_numpy()
-        bounds = left["bound"].to_numpy(dtype="float64") if "bound" in left else np.full(len(left), np.inf)
-        for group in _small_blocks(asked, SMALL_GROUP):
-            q, edge = asked[group], bounds[group]
-            away = np.sqrt((np.maximum(np.maximum(low - q.max(axis=0), q.min(axis=0) - high), 0.0) ** 2).sum(axis=1))
-            if not np.isfinite(edge).all():
-                middle = q.mean(axis=0)
-                ahead = (np.maximum(np.maximum(low - middle, middle - high), 0.0) ** 2).sum(axis=1)
-                first = np.concatenate([np.arange(starts[b], ends[b]) for b in np.argsort(ahead, kind="stable")[:3]])
-                if len(first) >= k:
-                    edge = np.minimum(edge, np.partition(_far(q, v[first]), k - 1, axis=1)[:, k - 1])
-            edge = edge + 1e-6 * (1 + np.abs(q).max(axis=1))  # rounding never decides
-            wanted = np.flatnonzero(away <= edge.max())
-            if len(wanted):
-                near = np.concatenate([np.arange(starts[b], ends[b]) for b in wanted])
-                i, j = np.nonzero(_far(q, v[near]) <= edge[:, None])
-                near = near[j]
-                far = np.round(np.sqrt(((v[near] - q[i]) ** 2).sum(axis=1)), 9)
-                sort = np.lexsort((payload[near], keys[near], far, i))
-                i, near, far = i[sort], near[sort], far[sort]
-                kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-                found.append((qids[group[i[kept]]], keys[near[kept]], payload[near[kept]], far[kept]))
+        edge = left["bound"].to_numpy(dtype="float64").copy() if "bound" in left else np.full(len(left), np.inf)
+
+        def reached(bound: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+            """Some queries, a block whose box is not farther than their bound, and their distances to its rows."""
+            for rows, block in _walk(tree, asked, bound):
+                part = asked[rows]
+                away = (np.maximum(np.maximum(low[block] - part, part - high[block]), 0.0) ** 2).sum(axis=1)
+                yield from compared(rows[away <= bound[rows] ** 2], block)
+
+        def compared(rows: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+            for first in range(0, len(rows), SMALL_GROUP):
+                some = rows[first:first + SMALL_GROUP]
+                yield some, block, _far(asked[some], v[starts[block]:ends[block]])
+
+        def nearest(pairs: list[tuple]) -> list[tuple]:
+            """The first ``k`` of each query among the pairs so far."""
+            i, near, far = (np.concatenate([p[n] for p in pairs]) for n in range(3))
+            sort = np.lexsort((payload[near], keys[near], far, i))
+            i, near, far = i[sort], near[sort], far[sort]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            return [(i[kept], near[kept], far[kept])]
+        free = np.flatnonzero(~np.isfinite(edge))
+        if len(free):
+            best, own = np.full((len(asked), k), np.inf), np.full(len(asked), -1)
+            for at, block in _walk(tree, asked[free]):
+                own[free[at]] = block
+                for rows, _, far in compared(free[at], block):
+                    best[rows] = _smallest(best[rows], far)
+            half = best.max(axis=1) / 2
+            known = np.flatnonzero(np.isfinite(half))  # blocks of fewer than k rows are all there is
+            if len(known):
+                bound = np.full(len(asked), np.nan)  # no block is within it
+                bound[known] = half[known]
+                for rows, block, far in reached(bound):
+                    new = own[rows] != block
+                    best[rows[new]] = _smallest(best[rows[new]], far[new])
+            edge[free] = best[free].max(axis=1)
+        edge = edge + 1e-6 * (1 + np.abs(asked).max(axis=1))  # rounding never decides
+        pairs, held = [], 0
+        for rows, block, far in reached(edge):
+            i, j = np.nonzero(far <= edge[rows][:, None])
+            i, near = rows[i], starts[block] + j
+            far = [np.sqrt(((v[near[n:n + PAIR_ROWS]] - asked[i[n:n + PAIR_ROWS]]) ** 2).sum(axis=1)) for n in range(0, len(i), PAIR_ROWS)]
+            if far:
+                pairs.append((i, near, np.round(np.concatenate(far), 9)))
+                held += len(i)
+            if held > MOST_PAIRS:
+                pairs = nearest(pairs)
+                held = 0
+        if pairs:
+            (i, near, far), = nearest(pairs)
+            found.append((qids[i], keys[near], payload[near], far))
     return pd.DataFrame({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("qid", "key", "payload", "distance"))})
 
 
+def _smallest(best: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """As many of the smallest values of each row of both as the first has columns."""
+    both = np.hstack([best, far])
+    return np.partition(both, best.shape[1] - 1, axis=1)[:, :best.shape[1]]
+
+
 def _met(asked: DataFrame, index: RegionIndex, k: int) -> DataFrame:
     """What queries (qid, vec, cell, perhaps bound) find in the regions named, in blocks bounded in rows on both sides.
 
