@@ -199,3 +199,11 @@ def test_training_rows_of_spark_ml_come_in_bounded_parts(spark, monkeypatch):
     monkeypatch.setattr(md, "_spread", lambda rows: sizes.append(seen(rows).rdd.glom().map(len).collect()) or seen(rows))
     md.fit_family(df, ["x", "z", "c"], "y", md.BINARY, "LR")
     assert len(sizes) == 1 and sum(sizes[0]) == 400 and max(sizes[0]) <= 60
+
+
+def test_vectors_of_neighbours_are_made_once(spark, monkeypatch):
+    """The index reads its rows several times; they must not be hashed and put together anew each time."""
+    plans, seen = [], md.build_regions
+    monkeypatch.setattr(md, "build_regions", lambda rows, k: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or seen(rows, k))
+    md.fit_family(table(spark, 100), ["x", "c"], "y", md.BINARY, "KNN")
+    assert len(plans) == 1 and "FileScan parquet" in plans[0] and "UDF" not in plans[0] and "f_x" not in plans[0]

@@ -139,7 +139,8 @@ class Neighbours:
         scale = [1.0 / s if s else 1.0 for s in spread] + [0.5 ** 0.5] * sum(width for _, width in slots if width > 1)
         model = cls(prepared, scale, None, classes, k, regression)
         rows = model.vectors(df).select(F.xxhash64("vec", "_label").alias("key"), "vec", F.col("_label").alias("payload"))
-        model.index = build_regions(rows, k)
+        with scratch(rows, "vectors") as rows:  # made once: the index reads them several times
+            model.index = build_regions(rows, k)
         return model
 
     def transform(self, df: DataFrame) -> DataFrame:
